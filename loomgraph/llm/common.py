@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from ..sources.shared import drop, materialise, shared_dir, sweep  # noqa: F401
 
-#: ASCII white space other than the blank, as the contracts define words.
-OTHER_SPACE = "\t\n\x0b\x0c\r"
+#: White space and what it is not, as the contracts define words.
+SPACES = r"[\x20\x09-\x0D]+"
+NO_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -20,19 +21,14 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), ddl)).alias("r")).select("r.*")
 
 
-def blanks(text: Column) -> Column:
-    """Null-free text whose ASCII white space is all blanks."""
-    return F.translate(F.coalesce(text, F.lit("")), OTHER_SPACE, " " * len(OTHER_SPACE))
-
-
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the whole text as an array; empty if there are none."""
-    return F.array_remove(F.split(F.trim(blanks(text)), " +"), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def count_chars(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are one of ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def count_chars(text: Column, class_: str) -> Column:
+    """How many characters of ``text`` a regular expression's character class holds."""
+    return F.regexp_count(text, F.lit(class_))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Language identification by compression.
 
 Each language has a raw-content dictionary for zstandard: text of its own, from labelled documents. A text
-is cut into pieces, all of which are compressed with every language's dictionary; the language with the
-smallest sum is chosen. Pieces are short, so that what the compressor learns from the text itself does not
-drown the dictionaries. Where the runner-up comes within ``NARROW`` of the winner, the choice is rejected.
+in lower case, with its ASCII signs and digits as blanks, is cut into pieces, all of which are compressed
+with every language's dictionary; the language with the smallest sum is chosen. Pieces are short, so that
+what the compressor learns from the text itself does not drown the dictionaries. Where the runner-up comes
+within ``NARROW`` of the winner, the choice is rejected.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and is rejected; with no
-labelled text, all are ``und``; ties go to the language that sorts first; repeated rows get equal results.
+labelled text, all are ``und``; ties go to the language with most labelled documents, then to the one that
+sorts first, and are rejected; repeated rows get equal results.
 Dictionaries hold at most ``DICTIONARY`` bytes of each of at most ``MAX_LANGUAGES`` languages, from at most
 about ``MAX_DOCS`` documents each.
 """
@@ -22,15 +24,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DICTIONARY = 65_536
-MAX_DOCS = 200
+DICTIONARY = 32_768
+MAX_DOCS = 100
 MAX_LANGUAGES = 64
 #: Of a training document, at most this many characters go into a dictionary.
 EXCERPT = 1_500
-PIECE = 2_048
-LEVEL = 3
+PIECE = 4_096
+#: Matches of 3 bytes count, since words share short parts; a lazy binary-tree search finds them.
+PARAMETERS = dict(min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_dict_id=0)
 #: Least saving of the winner over the runner-up, as a part of the winner's size.
-NARROW = 0.002
+NARROW = 0.001
+LETTERS_ONLY = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -47,25 +51,30 @@ def learn(labelled: DataFrame, text: Column, lang: Column, key: Column) -> dict[
         share = F.when(F.col("lang") == name, F.lit(min(top - 1, int(top * (2 * MAX_DOCS / max(n, 1)))))).otherwise(share)
     drawn = rows.where(F.col("h") <= share).select("lang", "h", F.substring("text", 1, EXCERPT).alias("text")).collect()
     out: dict[str, bytes] = {}
-    for name in counts:
+    for name in sorted(counts, key=lambda k: (-counts[k], k)):
         own = sorted(((r["h"], r["text"]) for r in drawn if r["lang"] == name))[:MAX_DOCS]
-        out[name] = "\n".join(t.lower() for _, t in own).encode("utf-8")[:DICTIONARY]
+        out[name] = b"\n".join(letters(t) for _, t in own)[:DICTIONARY]
     return {k: v for k, v in out.items() if v}
 
 
+def letters(text: str) -> bytes:
+    return b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(LETTERS_ONLY).split()) + b" "
+
+
 class Compressed:
-    """Sizes of texts under each language's dictionary."""
+    """Sizes of texts under each language's dictionary; languages come in the order of preference."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.names = sorted(dictionaries)
+        self.names = list(dictionaries)
         self.compressors = []
+        parameters = zstandard.ZstdCompressionParameters.from_level(3, **PARAMETERS)
         for name in self.names:
             d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False))
+            d.precompute_compress(compression_params=parameters)
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=d, compression_params=parameters))
 
     def sizes(self, text: str) -> list[int]:
-        data = text.lower().encode("utf-8", "surrogatepass")
+        data = letters(text)
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
@@ -74,7 +83,7 @@ class Compressed:
         if not text or not self.names or not LETTER.search(text):
             return UNKNOWN, 0.0, False
         sizes = self.sizes(text)
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], self.names[i]))
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         if len(order) == 1:
             return self.names[order[0]], 1.0, True
         margin = (sizes[order[1]] - sizes[order[0]]) / max(sizes[order[0]], 1)

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blanks, literal_table, materialise
+from .common import literal_table, materialise, words_of
 
 BLOCKS = 1024
 MAX_SOURCES = 100_000
@@ -93,7 +93,7 @@ def mix(
     """
     spark = docs.sparkSession
     ids = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    words = F.size(F.array_remove(F.split(F.trim(blanks(F.col(text_col))), " +"), "")).cast("long")
+    words = F.size(words_of(F.col(text_col))).cast("long")
     thin = materialise(
         docs.select(
             F.col(id_col).alias("doc_id"),

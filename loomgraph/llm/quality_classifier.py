@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blanks, count_chars, materialise
+from .common import NO_SPACE, count_chars, materialise, words_of
 
 MAX_LABELLED = 20_000
 #: Bounds on the prior strength, in documents.
@@ -37,21 +37,21 @@ def features(docs: DataFrame, id_col: str, text_col: str, site_col: str, path_co
     """doc_id, site, path and FEATURES; with ``carry`` also the input row as a struct ``row``."""
     row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
     t = docs.select(*row, F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    t = t.withColumn("w", F.array_remove(F.split(F.lower(F.trim(blanks(F.col("t")))), " +"), ""))
+    t = t.withColumn("w", words_of(F.lower("t")))
     n = F.greatest(F.size("w"), F.lit(1)).cast("double")
     chars = F.greatest(F.length("t"), F.lit(1)).cast("double")
-    lines = F.transform(F.array(F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x)) > 0)), lambda l: (F.size(l) - F.size(F.array_distinct(l))) / F.greatest(F.size(l), F.lit(1)))[0]
+    lines = F.transform(F.array(F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(NO_SPACE)))), lambda l: (F.size(l) - F.size(F.array_distinct(l))) / F.greatest(F.size(l), F.lit(1)))[0]
     return t.select(
         *(["row"] if carry else []), "doc_id", "site", "path",
         F.log1p(F.size("w")).alias("log_words"),
         F.least(chars / n, F.lit(30.0)).alias("word_length"),
-        F.least(count_chars(F.col("t"), "#*$%&|<>") / n, F.lit(3.0)).alias("symbols"),
-        (F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")) / chars).alias("capitals"),
-        (count_chars(F.col("t"), "0123456789") / chars).alias("digits"),
-        F.least(count_chars(F.col("t"), "!?") / n, F.lit(3.0)).alias("bangs"),
+        F.least(count_chars(F.col("t"), "[#*$%&|<>]") / n, F.lit(3.0)).alias("symbols"),
+        (count_chars(F.col("t"), r"\p{Lu}") / chars).alias("capitals"),
+        (count_chars(F.col("t"), "[0-9]") / chars).alias("digits"),
+        F.least(count_chars(F.col("t"), "[!?]") / n, F.lit(3.0)).alias("bangs"),
         (F.log1p(F.size(F.array_distinct("w"))) / F.log1p(n)).alias("distinct"),
         lines.cast("double").alias("lines_again"),
-        F.least(count_chars(F.col("t"), ".,;:") / n, F.lit(3.0)).alias("punctuation"),
+        F.least(count_chars(F.col("t"), "[.,;:]") / n, F.lit(3.0)).alias("punctuation"),
     )
 
 

@@ -17,18 +17,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blanks, count_chars, materialise
+from .common import NO_SPACE, count_chars, materialise, words_of
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: How many words a repeated window has.
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Share of good documents, and vote rates (good, abstain, bad), that the iteration starts from and
-#: that count as ``PRIOR_DOCS`` documents against the data.
+#: Share of good documents, and the rate of bad votes among those that vote, by class, that the iteration
+#: starts from and that count as ``PRIOR_DOCS`` documents against the data.
 START_GOOD = 0.85
-START_RATES = {1: (0.80, 0.17, 0.03), 0: (0.45, 0.25, 0.30)}
+START_BAD_VOTES = {1: 0.0005, 0: 0.3}
 PRIOR_DOCS = 20.0
+#: A rule is better than chance: a good document gets its bad vote at most this often, against a bad one.
+MOST_ODD = 0.2
 ITERATIONS = 40
 KEEP_AT = 0.5
 RULES = ("word_length", "symbols", "lines", "repeats", "capitals", "digits", "exclamations")
@@ -42,11 +44,18 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     """
     n = F.size(words)
 
+    def shifted(hashes: Column, step: int) -> Column:
+        """Each hash together with the one ``step`` places later (at the end with none)."""
+
+        def pairs(h: Column) -> Column:
+            return F.zip_with(h, F.slice(h, F.lit(step + 1), F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+
+        return F.transform(F.array(hashes), pairs)[0]
+
     def doubled(hashes: Column) -> Column:
         step = 1
         while step < width:
-            hashes = F.transform(F.array(hashes), lambda h, s=step: F.zip_with(h, F.slice(h, F.lit(s + 1), F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b)))[0]
-            step *= 2
+            hashes, step = shifted(hashes, step), 2 * step
         return hashes
 
     windows = F.slice(doubled(F.transform(words, lambda w: F.xxhash64(w))), F.lit(1), F.greatest(n - (width - 1), F.lit(0)))
@@ -68,18 +77,18 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of every whole text: the contract's base counts and those that the rules need."""
     raw = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    split = raw.select("doc_id", "t", blanks(F.col("t")).alias("b")).withColumn("w", F.array_remove(F.split(F.trim("b"), " +"), ""))
-    lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(blanks(x))) > 0)
+    split = raw.withColumn("w", words_of(F.col("t")))
+    lines = F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(NO_SPACE)))
     line_counts = F.transform(F.array(lines), lambda l: F.struct(F.size(l).alias("n"), (F.size(l) - F.size(F.array_distinct(l))).alias("dup")))[0]
     return split.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("b", " ", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         count_chars(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         line_counts.alias("l"),
         repeat_words(F.col("w")).alias("n_repeat_words"),
-        F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-        count_chars(F.col("t"), "0123456789").cast("long").alias("n_digits"),
+        count_chars(F.col("t"), r"\p{Lu}").cast("long").alias("n_upper"),
+        count_chars(F.col("t"), "[0-9]").cast("long").alias("n_digits"),
         count_chars(F.col("t"), "!").cast("long").alias("n_bangs"),
     ).select("*", F.col("l.n").cast("long").alias("n_lines"), F.col("l.dup").cast("long").alias("n_dup_lines")).drop("l")
 
@@ -95,7 +104,7 @@ def votes() -> dict[str, Column]:
     return {
         "word_length": rule((c("word_chars") > 14 * nw) | (2 * c("word_chars") < 5 * nw), (c("word_chars") <= 10 * nw) & (c("word_chars") >= 3 * nw), some),
         "symbols": rule(10 * c("n_symbols") > nw, 50 * c("n_symbols") <= nw, some),
-        "lines": rule(10 * c("n_dup_lines") > 3 * c("n_lines"), c("n_dup_lines") == 0, c("n_lines") > 1),
+        "lines": rule(10 * c("n_dup_lines") > 4 * c("n_lines"), 5 * c("n_dup_lines") <= c("n_lines"), c("n_lines") > 2),
         "repeats": rule(5 * c("n_repeat_words") > nw, 50 * c("n_repeat_words") <= nw, nw >= 2 * WINDOW),
         "capitals": rule(10 * c("n_upper") > 3 * c("word_chars"), 20 * c("n_upper") <= 3 * c("word_chars"), some),
         "digits": rule(5 * c("n_digits") > c("word_chars"), 20 * c("n_digits") <= c("word_chars"), some),
@@ -103,27 +112,37 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> tuple[float, list[dict[int, dict[int, float]]]]:
-    """Expectation-maximisation over (votes, documents) rows: share of good documents, and by rule, class and vote the rate."""
+def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> tuple[float, list[dict[int, float]]]:
+    """Expectation-maximisation over (votes, documents) rows: the share of good documents, and for each rule the
+    rate of bad votes among good (1) and bad (0) documents that it votes on. Abstaining is no evidence."""
     k = len(RULES)
-    start = {y: dict(zip((1, 0, -1), START_RATES[y])) for y in (1, 0)}
-    good, rates = START_GOOD, [{y: dict(start[y]) for y in (1, 0)} for _ in range(k)]
+    good, rates = START_GOOD, [dict(START_BAD_VOTES) for _ in range(k)]
     for _ in range(iterations):
         mass = {1: PRIOR_DOCS * START_GOOD, 0: PRIOR_DOCS * (1 - START_GOOD)}
-        seen = [{y: {v: PRIOR_DOCS * start[y][v] for v in (1, 0, -1)} for y in (1, 0)} for _ in range(k)]
+        voted = [{1: PRIOR_DOCS, 0: PRIOR_DOCS} for _ in range(k)]
+        against = [{y: PRIOR_DOCS * START_BAD_VOTES[y] for y in (1, 0)} for _ in range(k)]
         for vote, n in patterns:
             p = posterior(vote, good, rates)
-            for y, share in ((1, p), (0, 1 - p)):
-                mass[y] += n * share
+            for y, share in ((1, n * p), (0, n * (1 - p))):
+                mass[y] += share
                 for j, v in enumerate(vote):
-                    seen[j][y][v] += n * share
+                    if v:
+                        voted[j][y] += share
+                        if v < 0:
+                            against[j][y] += share
         good = mass[1] / (mass[1] + mass[0])
-        rates = [{y: {v: s[y][v] / sum(s[y].values()) for v in s[y]} for y in s} for s in seen]
+        rates = [{y: a[y] / v[y] for y in (1, 0)} for a, v in zip(against, voted)]
+        rates = [{1: min(r[1], MOST_ODD * r[0]), 0: r[0]} for r in rates]
     return good, rates
 
 
-def posterior(vote: tuple[int, ...], good: float, rates: list[dict[int, dict[int, float]]]) -> float:
-    z = math.log(good / (1 - good)) + sum(math.log(r[1][v] / r[0][v]) for r, v in zip(rates, vote))
+def weights(rates: dict[int, float]) -> dict[int, float]:
+    """What a rule's vote adds to the log-odds of being good."""
+    return {1: math.log((1 - rates[1]) / (1 - rates[0])), 0: 0.0, -1: math.log(rates[1] / rates[0])}
+
+
+def posterior(vote: tuple[int, ...], good: float, rates: list[dict[int, float]]) -> float:
+    z = math.log(good / (1 - good)) + sum(weights(r)[v] for r, v in zip(rates, vote))
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -135,7 +154,7 @@ def score(counted: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     good, rates = fit(patterns)
     logit = F.lit(math.log(good / (1 - good)))
     for name, r in zip(names, rates):
-        weight = {v: math.log(r[1][v] / r[0][v]) for v in (1, 0, -1)}
+        weight = weights(r)
         logit = logit + F.when(F.col(name) == 1, weight[1]).when(F.col(name) == -1, weight[-1]).otherwise(weight[0])
     nw = F.col("n_words")
     return (

@@ -1,12 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the distinct lower-case words of the whole text and their leading 4 and 5 letters (so inflected
+Terms are the distinct lower-case words of the whole text and their leading 4 to 7 letters (so inflected
 forms share a term), hashed to ``SPACE`` buckets. The score is the logistic of
 
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 with x_i = 1 for terms present, so a pair such as an insult with a mention of a group has a weight of its
-own. Buckets that fewer than ``SUPPORT`` training documents hold are left out. The model is fitted on at
+own. Buckets that fewer than ``SUPPORT`` training documents hold, or whose rates in both labels differ by
+less than ``SIGNAL`` standard errors, are left out. The model is fitted on at
 most about ``MAX_LABELLED`` labelled rows, chosen by hash and with both labels drawn alike up to half of it.
 
 Defined results: null and empty texts get the score of no terms (the intercept); words are whole, texts are
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 SPACE = 1 << 22
 MAX_LABELLED = 12_000
 SUPPORT = 4
+#: Standard errors between the rates in both labels, at least.
+SIGNAL = 5.0
 RANK = 8
-EPOCHS = 12
+EPOCHS = 30
 WORD = re.compile(r"[^\W_]+")
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7)
 MAX_KEPT = 300_000
 
 
@@ -84,18 +87,25 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def informative(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets with enough support whose rates differ between the labels, in order."""
+    if not rows:
+        return np.array([], dtype=np.int64)
+    flat, label = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
+    seen, slot = np.unique(flat, return_inverse=True)
+    n, pos = np.bincount(slot, minlength=len(seen)), np.bincount(slot, weights=label, minlength=len(seen))
+    n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
+    p = n / len(y)
+    z = (pos / n1 - (n - pos) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    return seen[(n >= SUPPORT) & (np.abs(z) >= SIGNAL)]
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, seed: int = 5) -> Machine:
-    """Adagrad on mini-batches; squared weights are held down, rarely seen buckets most."""
+    """Adagrad on mini-batches; squared weights are held down."""
     rng = np.random.default_rng(seed)
-    seen, counts = np.unique(np.concatenate(rows) if rows else np.array([], dtype=np.int64), return_counts=True)
-    active = seen[counts >= SUPPORT]
+    active = informative(rows, y)
     m = len(active)
-    ids = []
-    for r in rows:
-        at = np.searchsorted(active, r)
-        at = at[at < m]
-        r = r[np.isin(r, active, assume_unique=True)] if m else r[:0]
-        ids.append(np.searchsorted(active, r))
+    ids = [np.searchsorted(active, r[np.isin(r, active, assume_unique=True)]) for r in rows]
     w0 = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     w, v = np.zeros(m), rng.normal(0, 0.01, (m, rank))
     gw, gv, g0 = np.full(m, 1e-2), np.full((m, rank), 1e-1), 1.0
@@ -105,21 +115,25 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = E
         for start in range(0, len(order), 64):
             batch = order[start : start + 64]
             sizes = np.array([len(ids[i]) for i in batch])
-            flat = np.concatenate([ids[i] for i in batch]) if sizes.sum() else np.array([], dtype=np.int64)
+            flat = np.concatenate([ids[i] for i in batch])
             doc = np.repeat(np.arange(len(batch)), sizes)
             vf = v[flat]
-            s = np.zeros((len(batch), rank))
-            np.add.at(s, doc, vf)
+            sums = np.vstack([np.zeros(rank), np.cumsum(vf, 0)])
+            ends = np.cumsum(sizes)
+            s = sums[ends] - sums[ends - sizes]
             sq = np.bincount(doc, weights=(vf * vf).sum(1), minlength=len(batch))
             z = w0 + np.bincount(doc, weights=w[flat], minlength=len(batch)) + 0.5 * ((s * s).sum(1) - sq)
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]
-            g0 += (error.sum() / len(batch)) ** 2
-            w0 -= 0.05 * (error.sum() / len(batch)) / np.sqrt(g0)
-            used, slot = np.unique(flat, return_inverse=True)
-            dw = np.bincount(slot, weights=error[doc], minlength=len(used)) + 2e-2 * w[used]
-            dv = np.zeros((len(used), rank))
-            np.add.at(dv, slot, error[doc][:, None] * (s[doc] - vf))
-            dv += 5e-2 * v[used]
+            step = error.sum() / len(batch)
+            g0 += step**2
+            w0 -= 0.05 * step / np.sqrt(g0)
+            if not len(flat):
+                continue
+            turn = np.argsort(flat, kind="stable")
+            at = np.flatnonzero(np.r_[True, np.diff(flat[turn]) > 0])
+            used = flat[turn][at]
+            dw = np.add.reduceat(error[doc][turn], at) + 2e-2 * w[used]
+            dv = np.add.reduceat((error[doc][:, None] * (s[doc] - vf))[turn], at, axis=0) + 5e-2 * v[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
             w[used] -= 0.1 * dw / np.sqrt(gw[used])
