@@ -24,13 +24,14 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Share of good documents, and the rate of bad votes among those that vote, by class, that the iteration
-#: starts from and that count as ``PRIOR_DOCS`` documents against the data.
+#: Where the iteration starts, counting as ``PRIOR_DOCS`` documents of each class against the data: the share of
+#: good documents, and the rate of bad votes among votes of a good document, of the rule whose mode a bad
+#: document is in, and of another rule on it.
 START_GOOD = 0.85
-START_BAD_VOTES = {1: 0.0005, 0: 0.3}
+START_FALSE, START_OWN, START_OTHER = 0.002, 0.95, 0.05
 PRIOR_DOCS = 20.0
-#: A rule is better than chance: a good document gets its bad vote at most this often, against a bad one.
-MOST_ODD = 0.2
+#: A mode is known by its rule, which gives at least this rate of bad votes in it.
+LEAST_OWN = 0.5
 ITERATIONS = 40
 KEEP_AT = 0.5
 RULES = ("word_length", "symbols", "lines", "repeats", "capitals", "digits", "exclamations")
@@ -112,38 +113,46 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> tuple[float, list[dict[int, float]]]:
-    """Expectation-maximisation over (votes, documents) rows: the share of good documents, and for each rule the
-    rate of bad votes among good (1) and bad (0) documents that it votes on. Abstaining is no evidence."""
+def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> tuple[list[float], list[list[float]]]:
+    """Expectation-maximisation over (votes, documents) rows: each class's share, and each rule's rate of bad votes in it.
+
+    Class 0 is good; class j + 1 holds the documents that are bad in the way that rule j is about. Modes keep
+    rules that often agree, such as those on capitals and exclamations, from being counted as independent
+    witnesses for documents that other rules catch. Abstaining is no evidence.
+    """
     k = len(RULES)
-    good, rates = START_GOOD, [dict(START_BAD_VOTES) for _ in range(k)]
+    first = [[START_FALSE] * k] + [[START_OWN if i == j else START_OTHER for i in range(k)] for j in range(k)]
+    shares, rates = [START_GOOD] + [(1 - START_GOOD) / k] * k, [list(r) for r in first]
     for _ in range(iterations):
-        mass = {1: PRIOR_DOCS * START_GOOD, 0: PRIOR_DOCS * (1 - START_GOOD)}
-        voted = [{1: PRIOR_DOCS, 0: PRIOR_DOCS} for _ in range(k)]
-        against = [{y: PRIOR_DOCS * START_BAD_VOTES[y] for y in (1, 0)} for _ in range(k)]
+        mass = [PRIOR_DOCS * START_GOOD * k] + [PRIOR_DOCS * (1 - START_GOOD)] * k
+        voted = [[PRIOR_DOCS] * k for _ in range(k + 1)]
+        against = [[PRIOR_DOCS * r for r in row] for row in first]
         for vote, n in patterns:
-            p = posterior(vote, good, rates)
-            for y, share in ((1, n * p), (0, n * (1 - p))):
-                mass[y] += share
+            for c, p in enumerate(classes(vote, shares, rates)):
+                mass[c] += n * p
                 for j, v in enumerate(vote):
                     if v:
-                        voted[j][y] += share
-                        if v < 0:
-                            against[j][y] += share
-        good = mass[1] / (mass[1] + mass[0])
-        rates = [{y: a[y] / v[y] for y in (1, 0)} for a, v in zip(against, voted)]
-        rates = [{1: min(r[1], MOST_ODD * r[0]), 0: r[0]} for r in rates]
-    return good, rates
+                        voted[c][j] += n * p
+                        against[c][j] += n * p * (v < 0)
+        shares = [m / sum(mass) for m in mass]
+        rates = [[a / v for a, v in zip(x, y)] for x, y in zip(against, voted)]
+        for j in range(k):
+            rates[j + 1][j] = max(LEAST_OWN, rates[j + 1][j])
+    return shares, rates
 
 
-def weights(rates: dict[int, float]) -> dict[int, float]:
-    """What a rule's vote adds to the log-odds of being good."""
-    return {1: math.log((1 - rates[1]) / (1 - rates[0])), 0: 0.0, -1: math.log(rates[1] / rates[0])}
+def evidence(rate: float) -> dict[int, float]:
+    """What a vote adds to a class's log-likelihood."""
+    rate = min(1 - 1e-6, max(1e-6, rate))
+    return {1: math.log(1 - rate), 0: 0.0, -1: math.log(rate)}
 
 
-def posterior(vote: tuple[int, ...], good: float, rates: list[dict[int, float]]) -> float:
-    z = math.log(good / (1 - good)) + sum(weights(r)[v] for r, v in zip(rates, vote))
-    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+def classes(vote: tuple[int, ...], shares: list[float], rates: list[list[float]]) -> list[float]:
+    """Posterior of each class; the first is that of being good."""
+    z = [math.log(s) + sum(evidence(r)[v] for r, v in zip(row, vote)) for s, row in zip(shares, rates)]
+    top = max(z)
+    e = [math.exp(x - top) for x in z]
+    return [x / sum(e) for x in e]
 
 
 def score(counted: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
@@ -151,14 +160,20 @@ def score(counted: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     voted = counted.select("*", *(v.alias(f"vote_{k}") for k, v in votes().items()))
     names = [f"vote_{k}" for k in RULES]
     patterns = [(tuple(r[n] for n in names), r["n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
-    good, rates = fit(patterns)
-    logit = F.lit(math.log(good / (1 - good)))
-    for name, r in zip(names, rates):
-        weight = weights(r)
-        logit = logit + F.when(F.col(name) == 1, weight[1]).when(F.col(name) == -1, weight[-1]).otherwise(weight[0])
+    shares, rates = fit(patterns)
+    likelihoods = []
+    for share, row in zip(shares, rates):
+        z = F.lit(math.log(share))
+        for name, r in zip(names, row):
+            e = evidence(r)
+            z = z + F.when(F.col(name) == 1, e[1]).when(F.col(name) == -1, e[-1]).otherwise(0.0)
+        likelihoods.append(F.exp(z))
+    total = likelihoods[0]
+    for other in likelihoods[1:]:
+        total = total + other
     nw = F.col("n_words")
     return (
-        voted.withColumn("quality_p", 1 / (1 + F.exp(-logit)))
+        voted.withColumn("quality_p", likelihoods[0] / total)
         .withColumn("base_failed", (nw < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * nw))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality_p") >= keep_at))
     )
