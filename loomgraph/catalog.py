@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import changes, design, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**design.QUERIES, **changes.QUERIES, **texts.QUERIES}
+ORACLE_SQL: dict[str, str] = {**design.ORACLE_SQL, **changes.ORACLE_SQL, **texts.ORACLE_SQL}
