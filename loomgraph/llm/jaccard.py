@@ -4,16 +4,17 @@ Documents are sets of hashed 5-word shingles; two link when their Jaccard simila
 sets are one class from the start. The join is exact: no bucket, group or candidate list has a cap.
 
 1. Order. A table of the most frequent shingles (bounded in size; it orders, it does not decide) lets each
-   class keep its rarest ``n - ceil(0.8 n) + 1`` shingles. Classes that link share one of those under any
-   order that all use.
+   class keep its rarest ``n - ceil(0.8 n) + SHARED`` shingles. Classes that link share ``SHARED`` of those
+   under any order that all use (sets under four shingles link with equal sets only).
 2. Groups. Of the classes that share such a shingle, the smallest leads. Each class is checked exactly
-   against its leaders, in streams that hold one leader's set at a time; connected components of these
-   links are the groups of similar documents. A group of n copies costs n checks, not n * n.
+   against the leader of most of its rare shingles, in streams that hold one leader's set at a time;
+   connected components of these links are the groups of similar documents. A group of n copies costs n
+   checks, not n * n.
 3. Matrix. The groups' shingle unions are rows (group, shingle). For a class and another group that share
-   a rare shingle and agree in size, the overlap with the group's union bounds the overlap with each of its
-   members; groups whose bound is under 0.8 stay closed.
-4. Opening. A class is checked exactly against those members of the groups left that share a rare shingle
-   with it. Components of all links are the result.
+   ``SHARED`` rare shingles and agree in size, the overlap with the group's union bounds the overlap with
+   each of its members; groups whose bound is under 0.8 stay closed.
+4. Opening. A class is checked exactly against those members of the groups left that share ``SHARED`` rare
+   shingles with it. Components of all links are the result.
 
 Sets are hashed with 64 bits (48 in the exact check), so a false answer has odds of about 1e-9 a pair.
 
@@ -36,6 +37,8 @@ from ..operators.components import connected_components
 from .common import drop, materialise, sweep
 
 WIDTH = 5
+#: Rare shingles that linked sets share at least.
+SHARED = 4
 #: Shingles in the table of frequent ones at most, and how often one must occur to be in it.
 FREQUENT = 1 << 19
 FREQUENT_AT = 8
@@ -91,7 +94,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def prefix_length(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+    return min(n, n - (4 * n + 4) // 5 + SHARED)
 
 
 def signed(a: np.ndarray) -> pa.Array:
@@ -168,7 +171,7 @@ def shared_rare(docs: DataFrame, toks: np.ndarray, place: np.ndarray, width: int
             found, classes, sizes = [], [], []
             for t in b.column("text"):
                 s = shingles(t.as_py(), hashes, width)
-                if not len(s) or (c := class_of(s)) in seen:
+                if len(s) < SHARED or (c := class_of(s)) in seen:
                     continue
                 seen.add(c)
                 p = rare_first(s, own, places)
@@ -304,6 +307,10 @@ def bounded(candidates: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFr
     return candidates.join(overlap, ["q", "g"]).where(10 * F.col("both") >= 8 * F.greatest("n", "least")).select("q", "n", "g")
 
 
+def named_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -312,38 +319,47 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     toks, place = frequent_table(counted)
     shared = materialise(shared_rare(texts, toks, place, width), "rare")
     sweep(spark)
-    first = materialise(shared.where((F.col("cls") != F.col("leader")) & (5 * F.col("leader_n") >= 4 * F.col("n"))).select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    agree = (F.col("cls") != F.col("leader")) & (5 * F.col("leader_n") >= 4 * F.col("n"))
+    led = shared.where(agree).groupBy("cls", "leader").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
+    best = led.groupBy("cls").agg(F.max(F.struct("c", "leader")).alias("m"))
+    first = materialise(best.select(F.col("m.leader").alias("a"), F.col("cls").alias("b")), "pairs")
     # A class found by several tasks has a row of each: links may come twice, and bounds be larger than need be.
-    sets = materialise(sets_of(texts, shared.select("cls").distinct(), width), "sets")
-    sweep(spark)
+    sets = materialise(sets_of(texts, named_in(first), width), "sets")
     links = materialise(linked(first, sets), "links")
+    drop(sets)
     sweep(spark)
     groups = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("g"))
-    own = F.coalesce("g", "cls")
-    placed = shared.select("tok", "cls", "n").join(groups, "cls", "left").select("tok", "cls", "n", own.alias("g"))
-    rows = materialise(placed, "placed")
+    placed = shared.select("tok", "cls", "n").join(groups, "cls", "left").select("tok", "cls", "n", F.coalesce("g", "cls").alias("g"))
+    rows = materialise(placed.distinct(), "placed")
+    drop(shared)
     by_group = rows.groupBy("tok", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     several = by_group.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("tok")
     asked = rows.join(several, "tok").select("tok", F.col("cls").alias("q"), "n", F.col("g").alias("own"))
     fits = (F.col("own") > F.col("g")) & (5 * F.col("most") >= 4 * F.col("n")) & (4 * F.col("least") <= 5 * F.col("n"))
-    candidates = asked.join(by_group, "tok").where(fits).groupBy("q", "n", "g").agg(F.min("least").alias("least"))
-    candidates = materialise(candidates, "candidates")
-    many = groups.groupBy("g").agg(F.count("*").alias("c")).select("g")
-    wide = candidates.join(many, "g", "left_semi")
-    opened = bounded(wide, groups, sets).unionByName(candidates.join(many, "g", "left_anti").select("q", "n", "g"))
-    # Open: members that share a rare shingle with the class and agree in size, but for pairs already checked.
+    candidates = asked.join(by_group, "tok").where(fits).groupBy("q", "n", "g").agg(F.min("least").alias("least"), F.count("*").alias("c")).where(F.col("c") >= SHARED)
+    candidates = materialise(candidates.drop("c"), "candidates")
+    # Members that share enough rare shingles with a class and agree in size, but for pairs already checked.
     member = rows.select("tok", F.col("cls").alias("a"), F.col("n").alias("a_n"), "g")
-    asks = rows.select("tok", F.col("cls").alias("q")).join(opened, "q")
-    pairs = asks.join(member, ["tok", "g"]).where((5 * F.col("a_n") >= 4 * F.col("n")) & (4 * F.col("a_n") <= 5 * F.col("n"))).select("a", F.col("q").alias("b")).distinct()
+    asks = rows.select("tok", F.col("cls").alias("q")).join(candidates, "q")
+    near = asks.join(member, ["tok", "g"]).where((5 * F.col("a_n") >= 4 * F.col("n")) & (4 * F.col("a_n") <= 5 * F.col("n")))
+    pairs = near.groupBy("a", F.col("q").alias("b"), "g").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).drop("c")
     pairs = pairs.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = materialise(linked(materialise(pairs, "pairs"), sets), "links")
-    final = connected_components(links.unionByName(more)) if more.limit(1).count() else groups.select(F.col("cls").alias("node"), F.col("g").alias("component"))
+    pairs = materialise(pairs, "pairs")
+    many = groups.select("g").distinct()
+    wide = candidates.join(pairs.select(F.col("b").alias("q"), "g").distinct(), ["q", "g"], "left_semi").join(many, "g", "left_semi")
+    unions = groups.join(wide.select("g").distinct(), "g", "left_semi")
+    asking = named_in(pairs).unionByName(unions.select("cls")).distinct()
+    sets = materialise(sets_of(texts, asking, width), "sets")
+    # A group of one is its own union: its check is the exact one.
+    shut = wide.select("q", "g").join(bounded(wide, unions, sets).select("q", "g"), ["q", "g"], "left_anti").withColumnRenamed("q", "b")
+    more = materialise(linked(pairs.join(shut, ["b", "g"], "left_anti").select("a", "b"), sets), "links")
+    final = groups.select(F.col("cls").alias("node"), F.col("g").alias("component")) if more.isEmpty() else connected_components(links.unionByName(more))
     thin = counted.where(F.col("n").isNotNull()).select("doc_id", "n", "cls")
     named = thin.join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "cls").alias("c"))
     smallest = named.where(F.col("c").isNotNull()).groupBy(F.col("c").alias("k")).agg(F.min("doc_id").alias("m"))
     out = named.join(smallest, F.col("c") == F.col("k"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
     result = materialise(out, "components")
-    for used in (counted, shared, first, sets, links, rows, candidates, more):
+    for used in (counted, first, sets, links, rows, candidates, pairs, more):
         drop(used)
     return result
 
