@@ -30,7 +30,9 @@ RANK = 128
 OVERSAMPLE = 16
 POWER_STEPS = 2
 BLOCK = 2_000
-WINDOWS = (12, 24, 48)
+#: Window lengths are this times powers of three, up to that of the longest item: an item fills a third of some
+#: window, or is filled by a third of it.
+WINDOW = 16
 CANDIDATE = 0.45
 MATCH = 0.6
 ANSWER = 0.5
@@ -86,6 +88,10 @@ class Model:
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = (latent / np.where(norms > 0, norms, 1)).astype(np.float32)
         self.loaded = (basis * idf[:-1, None]).astype(np.float32)
+        longest = max(map(len, self.words), default=0)
+        self.windows = [WINDOW, 3 * WINDOW]
+        while self.windows[-1] < longest:
+            self.windows.append(3 * self.windows[-1])
         # Below this share of a window's weight, no cosine reaches the candidate bound.
         self.share = CANDIDATE**2
 
@@ -199,26 +205,35 @@ class Scanner:
         if not n:
             return []
         all_, own = np.r_[0, np.cumsum(self.weight[ids])], np.r_[0, np.cumsum(self.known[ids])]
+        starts, ends = [], []
+        for width in m.windows:
+            at = np.arange(0, max(1, n - width + 1), max(1, width // 4))
+            if n > width and at[-1] != n - width:
+                at = np.append(at, n - width)
+            to = np.minimum(at + width, n)
+            known = own[to] - own[at]
+            near = (known >= m.share * (all_[to] - all_[at])) & (known > 0)
+            starts.append(at[near])
+            ends.append(to[near])
+        starts, ends = np.concatenate(starts), np.concatenate(ends)
         best: dict[int, tuple[float, int, int]] = {}
-        for width in WINDOWS:
-            starts = np.arange(0, max(1, n - width + 1), max(1, width // 4))
-            if n > width and starts[-1] != n - width:
-                starts = np.append(starts, n - width)
-            ends = np.minimum(starts + width, n)
-            known = own[ends] - own[starts]
-            at = known >= m.share * (all_[ends] - all_[starts])
-            at &= known > 0
-            for s, e in zip(starts[at].tolist(), ends[at].tolist()):
-                inside = ids[s:e]
-                inside = inside[inside < len(m.names)]
-                z = m.loaded[inside].sum(0)
-                counts = np.unique(ids[s:e], return_counts=True)
-                norm = np.sqrt((self.m.idf[counts[0]] ** 2 * np.where(counts[0] < len(m.names), counts[1], np.sqrt(counts[1])) ** 2).sum())
-                cosine = m.latent @ z / norm
-                for k in np.flatnonzero(cosine >= CANDIDATE).tolist():
-                    old = best.get(k)
-                    if old is None or cosine[k] > old[0]:
-                        best[k] = (float(cosine[k]), s, e)
+        if len(starts):
+            cover = np.zeros(n + 1, np.int32)
+            np.add.at(cover, starts, 1)
+            np.add.at(cover, ends, -1)
+            inside = (ids < len(m.names)) & (np.cumsum(cover)[:n] > 0)
+            upto = np.r_[0, np.cumsum(inside)]
+            sums = np.zeros((int(upto[-1]) + 1, m.loaded.shape[1]), np.float32)
+            np.cumsum(m.loaded[ids[inside]], axis=0, out=sums[1:])
+            # Repeated words count once each in the norm, which can only raise a cosine.
+            norms = np.sqrt(all_[ends] - all_[starts]).astype(np.float32)
+            for lo in range(0, len(starts), 4096):
+                part = slice(lo, lo + 4096)
+                cosines = ((sums[upto[ends[part]]] - sums[upto[starts[part]]]) @ m.latent.T) / norms[part, None]
+                for w, k in np.argwhere(cosines >= CANDIDATE).tolist():
+                    c = float(cosines[w, k])
+                    if k not in best or c > best[k][0]:
+                        best[k] = (c, int(starts[lo + w]), int(ends[lo + w]))
         out = []
         for k, (cosine, s, e) in best.items():
             length = len(m.numbers[k])
