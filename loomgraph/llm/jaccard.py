@@ -6,14 +6,20 @@ sets are one class from the start. The join is exact: no bucket, group or candid
 1. Order. A table of the most frequent shingles (bounded in size; it orders, it does not decide) lets each
    class keep its rarest ``n - ceil(0.8 n) + SHARED`` shingles. Classes that link share ``SHARED`` of those
    under any order that all use (sets under four shingles link with equal sets only).
-2. Groups. Of the classes that share such a shingle, the smallest leads. Each class is checked exactly
-   against the leader of most of its rare shingles, in streams that hold one leader's set at a time;
-   connected components of these links are the groups of similar documents. A group of n copies costs n
-   checks, not n * n.
-3. Matrix. The groups' shingle unions are rows (group, shingle). For a class and another group that share
-   ``SHARED`` rare shingles and agree in size, the overlap with the group's union bounds the overlap with
+2. Groups. Of the classes that share such a shingle, the most central leads: the one with the largest part
+   of its rare shingles shared, as an original has whose copies each have changes of their own. Each class
+   is checked exactly against the leader of most of its rare shingles, in streams that hold one leader's
+   set at a time; connected components of these links are the groups of similar documents. A group of n
+   copies costs n checks, not n * n.
+3. Copies of one leader. Let x be a class whose check against its leader B failed and y another class
+   checked against B, neither smaller than B. Were x and y to share no shingle outside B, their overlap would
+   be within x's overlap with B, which is too small for sizes of at least B's; so x and y can link only if
+   they share a shingle outside B. The checks emit those shingles; classes of one leader meet on them alone
+   (again by leaders first), so copies with changes of their own never meet in pairs.
+4. Matrix. The groups' shingle unions are rows (group, shingle). For a class and another group of another
+   leader that share ``SHARED`` rare shingles and agree in size, the overlap with the group's union bounds the overlap with
    each of its members; groups whose bound is under 0.8 stay closed.
-4. Opening. A class is checked exactly against those members of the groups left that share ``SHARED`` rare
+5. Opening. A class is checked exactly against those members of the groups left that share ``SHARED`` rare
    shingles with it. Components of all links are the result.
 
 Sets are hashed with 64 bits (48 in the exact check), so a false answer has odds of about 1e-9 a pair.
@@ -161,7 +167,7 @@ def rare_first(s: np.ndarray, toks: np.ndarray, place: np.ndarray) -> np.ndarray
 
 
 def shared_rare(docs: DataFrame, toks: np.ndarray, place: np.ndarray, width: int) -> DataFrame:
-    """Rows (tok, cls, n, leader, leader_n) for rare shingles that several classes hold."""
+    """Rows (tok, cls, n) for rare shingles that several classes hold."""
     table = docs.sparkSession.sparkContext.broadcast((toks, place))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,28 +187,43 @@ def shared_rare(docs: DataFrame, toks: np.ndarray, place: np.ndarray, width: int
             if found:
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names=["tok", "cls", "n"])
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of tok, n, cls: the first of a run leads; runs of one class are left out."""
-        carry = None  # the last token, its leader and the leader's size
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of tok, cls: keeps one row of each, for runs of a token with more than one class."""
+        carry = None  # the last row, and whether it has been sent
         for b in batches:
             tok, cls, n = (b.column(c).to_numpy() for c in ("tok", "cls", "n"))
             if not len(tok):
                 continue
-            at = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-            leader, size = cls[at].copy(), n[at].copy()
-            if carry is not None and carry[0] == tok[0]:
-                leader[0], size[0] = carry[1], carry[2]
-            lengths = np.diff(np.r_[at, len(tok)])
-            leaders, sizes = np.repeat(leader, lengths), np.repeat(size, lengths)
-            follows = cls != leaders
-            led = np.logical_or.reduceat(follows, at)
-            carry = (tok[-1], leader[-1], size[-1])
-            if led.any():
-                out = ((tok[follows], tok[at][led]), (cls[follows], leader[led]), (n[follows], size[led]), (leaders[follows], leader[led]), (sizes[follows], size[led]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["tok", "cls", "n", "leader", "leader_n"])
+            if carry is not None:
+                tok, cls, n = (np.r_[x, y] for x, y in zip(carry[:3], (tok, cls, n)))
+            new = np.r_[True, (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])]
+            done = carry is not None and carry[3]
+            tok, cls, n = tok[new], cls[new], n[new]
+            same = tok[1:] == tok[:-1]
+            send = np.r_[False, same] | np.r_[same, False]
+            last = bool(send[-1]) or (done and len(tok) == 1)
+            if done:
+                send[0] = False
+            carry = (tok[-1:], cls[-1:], n[-1:], last)
+            if send.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[send]) for x in (tok, cls, n)], names=["tok", "cls", "n"])
 
     rows = docs.mapInArrow(prefixes, "tok long, cls long, n int")
-    return rows.repartition("tok").sortWithinPartitions("tok", "n", "cls").mapInArrow(lead, "tok long, cls long, n int, leader long, leader_n int")
+    return rows.repartition("tok").sortWithinPartitions("tok", "cls").mapInArrow(several, "tok long, cls long, n int")
+
+
+def leaders(shared: DataFrame, least: int = SHARED) -> DataFrame:
+    """Pairs (a, b): each class and the leader of most of its rare shingles, where they agree in size."""
+    n = F.col("n")
+    prefix = F.least(n, n - F.floor((4 * n + 4) / 5).cast("int") + SHARED)
+    central = shared.groupBy("cls").agg(F.count("*").alias("c"), F.max("n").alias("n")).select("cls", (F.col("c") * 1000 / prefix).cast("int").alias("central"))
+    top = shared.join(central, "cls").groupBy("tok").agg(F.max(F.struct("central", (-F.col("n")).alias("nn"), "cls")).alias("m")).select("tok", F.col("m.cls").alias("leader"), (-F.col("m.nn")).alias("leader_n"))
+    agree = (F.col("cls") != F.col("leader")) & (5 * F.col("leader_n") >= 4 * n) & (4 * F.col("leader_n") <= 5 * n)
+    led = shared.join(top, "tok").where(agree).groupBy("cls", "leader").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    best = led.groupBy("cls").agg(F.max(F.struct("c", "leader")).alias("m"))
+    # Two classes may lead each other: one check is enough.
+    pairs = best.select(F.greatest("m.leader", "cls").alias("x"), F.least("m.leader", "cls").alias("y"), F.col("m.leader").alias("a"), F.col("cls").alias("b"))
+    return pairs.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def needed_filter(classes: DataFrame) -> np.ndarray:
@@ -252,10 +273,11 @@ def unpacked(bag: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.int64)
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets' similarity is at least 0.8, by exact intersection.
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) by exact intersection: an, bn (sizes), ok (similarity of 0.8 or more), rest (b's shingles outside a).
 
-    A hot ``a`` is dealt in shares of about ``SHARE`` pairs, each with a copy of its set.
+    ``rest`` is kept where b is not smaller than a. A hot ``a`` is dealt in shares of about ``SHARE`` pairs, each with
+    a copy of its set.
     """
     shares = pairs.groupBy("a").agg(F.count("*").alias("c")).select(F.col("a").alias("sa"), F.ceil(F.col("c") / SHARE).cast("int").alias("shares"))
     one = shares.join(sets, F.col("sa") == F.col("cls")).select(F.col("sa").alias("a"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("b"), "bag")
@@ -264,7 +286,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, np.empty(0, np.int64)
         for batch in batches:
-            out_a, out_b = [], []
+            out: list[tuple] = []
             for a, side, b, bag in zip(*(batch.column(c) for c in ("a", "side", "b", "bag"))):
                 a = a.as_py()
                 s = unpacked(bag.as_py())
@@ -273,16 +295,47 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     continue
                 if held != a:
                     raise ValueError("a pair's set is missing")
-                if 5 * min(len(s), len(own)) < 4 * max(len(s), len(own)):
-                    continue
-                both = np.intersect1d(s, own, assume_unique=True).size
-                if 100 * both >= 80 * (len(s) + len(own) - both):
-                    out_a.append(a)
-                    out_b.append(b.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["src", "dst"])
+                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                inside = own[at] == s
+                both = int(inside.sum())
+                out.append((a, b.as_py(), len(own), len(s), 100 * both >= 80 * (len(s) + len(own) - both), s[~inside].tobytes() if len(s) >= len(own) else b""))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["a", "b", "an", "bn", "ok", "rest"])
 
     rows = one.unionByName(other).repartition("a", "share").sortWithinPartitions("a", "share", "side")
-    return rows.mapInArrow(run, "src long, dst long")
+    return rows.mapInArrow(run, "a long, b long, an int, bn int, ok boolean, rest binary")
+
+
+def outside(tests: DataFrame) -> DataFrame:
+    """Rows (tok, cls, n): a class's shingles outside its leader, each told apart by leader, for classes not smaller than it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [np.frombuffer(x.as_py(), np.int64) for x in b.column("rest")]
+            sizes = [len(x) for x in bags]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in ("a", "b", "bn")] + [pa.array(np.concatenate(bags))], names=["a", "cls", "n", "t"])
+
+    rows = tests.where("bn >= an").select("a", "b", "bn", "rest").mapInArrow(run, "a long, cls long, n int, t long")
+    return rows.select(F.xxhash64("a", "t").alias("tok"), "cls", "n")
+
+
+def links_of(tests: DataFrame) -> DataFrame:
+    return tests.where("ok").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the group ``g`` of each class; a class without links is its own."""
+    return rows.join(groups, "cls", "left").withColumn("g", F.coalesce("g", "cls"))
+
+
+def apart(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """Of rows (key, ...) those of keys with more than one value in each column of ``by``."""
+    ends = [f(c).alias(f"{n}_{c}") for c in by for n, f in (("lo", F.min), ("hi", F.max))]
+    keys = rows.groupBy(key).agg(*ends)
+    for c in by:
+        keys = keys.where(F.col(f"lo_{c}") != F.col(f"hi_{c}"))
+    return rows.join(keys.select(key), key)
 
 
 def bounded(candidates: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -307,6 +360,10 @@ def bounded(candidates: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFr
     return candidates.join(overlap, ["q", "g"]).where(10 * F.col("both") >= 8 * F.greatest("n", "least")).select("q", "n", "g")
 
 
+def components_of(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("g"))
+
+
 def named_in(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
@@ -319,47 +376,62 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     toks, place = frequent_table(counted)
     shared = materialise(shared_rare(texts, toks, place, width), "rare")
     sweep(spark)
-    agree = (F.col("cls") != F.col("leader")) & (5 * F.col("leader_n") >= 4 * F.col("n"))
-    led = shared.where(agree).groupBy("cls", "leader").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
-    best = led.groupBy("cls").agg(F.max(F.struct("c", "leader")).alias("m"))
-    first = materialise(best.select(F.col("m.leader").alias("a"), F.col("cls").alias("b")), "pairs")
+    first = materialise(leaders(shared), "pairs")
     # A class found by several tasks has a row of each: links may come twice, and bounds be larger than need be.
     sets = materialise(sets_of(texts, named_in(first), width), "sets")
-    links = materialise(linked(first, sets), "links")
-    drop(sets)
+    tests = materialise(checked(first, sets), "tests")
     sweep(spark)
-    groups = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("g"))
-    placed = shared.select("tok", "cls", "n").join(groups, "cls", "left").select("tok", "cls", "n", F.coalesce("g", "cls").alias("g"))
-    rows = materialise(placed.distinct(), "placed")
+    groups = components_of(links_of(tests))
+    # Classes of one leader, on what they have outside it: leaders first, then the pairs left.
+    rests = materialise(outside(tests), "outside")
+    own = materialise(apart(grouped(rests, groups), "tok", "g"), "own")
+    within = materialise(leaders(own, 1), "pairs")
+    more = materialise(checked(within, sets), "tests")
+    links = links_of(tests).unionByName(links_of(more))
+    groups = components_of(links)
+    still = apart(grouped(own.drop("g"), groups), "tok", "g").select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
+    same_size = (5 * F.col("an") >= 4 * F.col("n")) & (4 * F.col("an") <= 5 * F.col("n"))
+    beside = still.join(still.select("tok", F.col("a").alias("b"), F.col("an").alias("n"), F.col("ag").alias("bg")), "tok").where((F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & same_size).select("a", "b").distinct()
+    # Classes of different leaders, on rare shingles.
+    leader = tests.where("bn >= an").select(F.col("b").alias("cls"), F.col("a").alias("p"))
+    placed = grouped(shared, groups).join(leader, "cls", "left").withColumn("p", F.coalesce("p", "cls"))
+    rows = materialise(apart(placed, "tok", "g", "p"), "placed")
     drop(shared)
-    by_group = rows.groupBy("tok", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = by_group.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("tok")
-    asked = rows.join(several, "tok").select("tok", F.col("cls").alias("q"), "n", F.col("g").alias("own"))
-    fits = (F.col("own") > F.col("g")) & (5 * F.col("most") >= 4 * F.col("n")) & (4 * F.col("least") <= 5 * F.col("n"))
-    candidates = asked.join(by_group, "tok").where(fits).groupBy("q", "n", "g").agg(F.min("least").alias("least"), F.count("*").alias("c")).where(F.col("c") >= SHARED)
-    candidates = materialise(candidates.drop("c"), "candidates")
+    by_group = rows.groupBy("tok", "g", "p").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    asked = rows.select("tok", F.col("cls").alias("q"), "n", F.col("g").alias("own_g"), F.col("p").alias("own_p"))
+    fits = (F.col("own_g") > F.col("g")) & (F.col("own_p") != F.col("p")) & (5 * F.col("most") >= 4 * F.col("n")) & (4 * F.col("least") <= 5 * F.col("n"))
+    near = asked.join(by_group, "tok").where(fits).groupBy("q", "n", "own_p", "g", "p").agg(F.min("least").alias("least"), F.count("*").alias("c"))
+    # A group may spread over several leaders; what the class shares with the group is at most the sum.
+    whole = near.groupBy("q", "n", "g").agg(F.min("least").alias("least"), F.sum("c").alias("c")).where(F.col("c") >= SHARED)
+    candidates = materialise(whole.drop("c"), "candidates")
     # Members that share enough rare shingles with a class and agree in size, but for pairs already checked.
-    member = rows.select("tok", F.col("cls").alias("a"), F.col("n").alias("a_n"), "g")
-    asks = rows.select("tok", F.col("cls").alias("q")).join(candidates, "q")
-    near = asks.join(member, ["tok", "g"]).where((5 * F.col("a_n") >= 4 * F.col("n")) & (4 * F.col("a_n") <= 5 * F.col("n")))
-    pairs = near.groupBy("a", F.col("q").alias("b"), "g").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).drop("c")
-    pairs = pairs.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    pairs = materialise(pairs, "pairs")
-    many = groups.select("g").distinct()
-    wide = candidates.join(pairs.select(F.col("b").alias("q"), "g").distinct(), ["q", "g"], "left_semi").join(many, "g", "left_semi")
+    member = rows.select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), "g", "p")
+    asks = rows.select("tok", F.col("cls").alias("q"), F.col("p").alias("own_p")).join(candidates, "q")
+    met = asks.join(member, ["tok", "g"]).where(same_size & (F.col("p") != F.col("own_p")))
+    pairs = met.groupBy("a", F.col("q").alias("b"), "g").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).drop("c")
+    done = first.unionByName(within)
+    done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    beside = materialise(beside.join(done, ["a", "b"], "left_anti"), "pairs")
+    missing = named_in(pairs).join(sets.select("cls"), "cls", "left_anti")
+    wide = candidates.join(pairs.select(F.col("b").alias("q"), "g").distinct(), ["q", "g"], "left_semi").join(groups.select("g").distinct(), "g", "left_semi")
     unions = groups.join(wide.select("g").distinct(), "g", "left_semi")
-    asking = named_in(pairs).unionByName(unions.select("cls")).distinct()
-    sets = materialise(sets_of(texts, asking, width), "sets")
+    if not missing.isEmpty():
+        others = materialise(sets_of(texts, missing, width), "sets")
+        every = sets.unionByName(others.join(sets.select("cls"), "cls", "left_anti"))
+    else:
+        every = sets
     # A group of one is its own union: its check is the exact one.
-    shut = wide.select("q", "g").join(bounded(wide, unions, sets).select("q", "g"), ["q", "g"], "left_anti").withColumnRenamed("q", "b")
-    more = materialise(linked(pairs.join(shut, ["b", "g"], "left_anti").select("a", "b"), sets), "links")
-    final = groups.select(F.col("cls").alias("node"), F.col("g").alias("component")) if more.isEmpty() else connected_components(links.unionByName(more))
+    shut = wide.select("q", "g").join(bounded(wide, unions, every).select("q", "g"), ["q", "g"], "left_anti").withColumnRenamed("q", "b")
+    last = materialise(checked(pairs.join(shut, ["b", "g"], "left_anti").select("a", "b").unionByName(beside).distinct(), every), "tests")
+    final = groups if last.where("ok").isEmpty() else components_of(links.unionByName(links_of(last)))
+    final = final.select(F.col("cls").alias("node"), F.col("g").alias("component"))
     thin = counted.where(F.col("n").isNotNull()).select("doc_id", "n", "cls")
     named = thin.join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "cls").alias("c"))
     smallest = named.where(F.col("c").isNotNull()).groupBy(F.col("c").alias("k")).agg(F.min("doc_id").alias("m"))
     out = named.join(smallest, F.col("c") == F.col("k"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
     result = materialise(out, "components")
-    for used in (counted, first, sets, links, rows, candidates, pairs, more):
+    for used in (counted, first, sets, tests, rests, own, within, more, rows, candidates, pairs, beside, last):
         drop(used)
     return result
 
