@@ -32,7 +32,7 @@ from .common import materialise, shared_dir
 
 FRAME = 262_144
 #: Payload bytes that a bundle is meant to have.
-BUNDLE = 64_000_000
+BUNDLE = 32_000_000
 LEAST_REVISIT = 100
 LEVEL = 3
 SKIPPABLE = 0x184D2A5E
@@ -122,16 +122,19 @@ class BundleReader:
 
 
 def planned(pages: DataFrame, id_col: str, payload_col: str, url_col: str) -> DataFrame:
-    """Rows to write: id, url, html, digest, n_bytes, refers_to (null for responses)."""
+    """Rows to write (side 1): page_id, url, html, digest, n_bytes; and for each id and digest to be written as a
+    revisit, a row (side 0) with the id it refers to, which comes before them in order. Payloads move once."""
     html = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html")).select(
         "page_id", "url", "html", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.octet_length("html").cast("long").alias("n_bytes")
     )
     large = rows.where(F.col("n_bytes") >= LEAST_REVISIT).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
-    revisits = large.join(first, "digest").where(F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "first").distinct()
-    on = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
-    return rows.join(revisits, on, "left").select("page_id", "url", "html", "digest", "n_bytes", F.col("first").alias("refers_to"))
+    revisits = large.join(first, "digest").where(F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))).distinct()
+    none = F.lit(None).cast("string")
+    return rows.withColumn("first", F.lit(None).cast(rows.schema["page_id"].dataType)).withColumn("side", F.lit(1)).unionByName(
+        revisits.select("page_id", none.alias("url"), none.alias("html"), "digest", F.lit(0).cast("long").alias("n_bytes"), "first", F.lit(0).alias("side"))
+    )
 
 
 def write(pages: DataFrame, folder: str | None = None, bundles: int | None = None, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -145,7 +148,7 @@ def write(pages: DataFrame, folder: str | None = None, bundles: int | None = Non
         bundles = max(8, -(-int(size) // BUNDLE))
     rows = planned(pages, id_col, payload_col, url_col)
     kind = rows.schema["page_id"].dataType.simpleString()
-    placed = rows.withColumn("bundle", F.pmod(F.xxhash64("page_id"), F.lit(bundles)).cast("int")).repartition(bundles, "bundle").sortWithinPartitions("bundle", "page_id", "digest")
+    placed = rows.withColumn("bundle", F.pmod(F.xxhash64("page_id"), F.lit(bundles)).cast("int")).repartition(bundles, "bundle").sortWithinPartitions("bundle", "page_id", "digest", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = file_system(folder)
@@ -162,10 +165,14 @@ def write(pages: DataFrame, folder: str | None = None, bundles: int | None = Non
                 v.clear()
             return batch
 
-        ids = None
+        ids, told = None, (None, None, None)
         for b in batches:
             ids = b.column("page_id").type
-            for page, url, html, digest, n, refers, k in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "n_bytes", "refers_to", "bundle"))):
+            for page, url, html, digest, n, first, side, k in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "n_bytes", "first", "side", "bundle"))):
+                if side == 0:
+                    told = (page, digest, first)
+                    continue
+                refers = told[2] if told[:2] == (page, digest) else None
                 if k != number:
                     if writer is not None:
                         yield finish()
