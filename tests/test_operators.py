@@ -160,3 +160,45 @@ def test_scan_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     batch = {(r["events"], tuple(r["paths"])) for r in debounced(relevant(frame), "5 seconds").collect()}
     assert set(seen) <= batch and (2, ("a.sv",)) in seen and failures
+
+
+def test_store_round_trip_and_export(spark, tmp_path):
+    from loomgraph.query import GraphQuery
+    from loomgraph.sources import store
+    from loomgraph.sources.bridge import edges, nodes
+
+    from tests.conftest import SF
+
+    n, e = nodes(spark, SF).where("kind <> 'instance' or file <> 'rtl/orders.sv'"), edges(spark, SF).where("not startswith(src, 'lineitem') and not startswith(dst, 'lineitem')")
+    root = f"file://{tmp_path}/graph"
+    first = store.publish(root, n.limit(5), e.limit(5))
+    second = store.publish(root, n, e, meta={"root": "x"})
+    assert first != second and store.current(spark, root).endswith(second)
+    n2, e2, meta = store.load(spark, root)
+    assert meta["root"] == "x" and n2.count() == n.count() and sorted(e2.columns) == sorted(e.columns)
+    q = GraphQuery.open(spark, root)
+    assert {r["name"] for r in q.top_modules().where("name like 'region%'").collect()} == {f"region_{i}" for i in range(5)}
+    assert q.hierarchy("region_1", 1).where("depth = 1").count() > 0 and q.find_module("nation_3").count() == 1
+    with pytest.raises(ValueError):
+        q.hierarchy("nowhere")
+    some = spark.createDataFrame([("a<", "k&")], "id string, name string")
+    assert store.graphml_rows(some, spark.createDataFrame([("a<", "a<", "x")], "src string, dst string, kind string")).collect()[0][0] == '<node id="a&lt;"><data key="name">k&amp;</data></node>'
+    assert store.node_link_rows(some, some.select(F.col("id").alias("src"))).count() == 2
+    kept = store.replace_sources(spark.createDataFrame([("a", 1), ("b", 1)], "src string, v int"), spark.createDataFrame([("a", 2), ("b", 2)], "src string, v int"), spark.createDataFrame([("a",)], "src string"))
+    assert {tuple(r) for r in kept.collect()} == {("a", 2), ("b", 1)}
+
+
+def test_reports(spark):
+    from loomgraph.operators import summaries
+
+    d = spark.createDataFrame([("pd", "PD", ["u0", "gone"], [("isolation", "iso")], "vdd"), ("pe", "PE", [], [], None)], "id string, name string, elements array<string>, strategies array<struct<kind:string,name:string>>, supply string")
+    e = spark.createDataFrame([("pd", "top.u0", "constrains", 0.6, "u0")], "src string, dst string, kind string, confidence double, expr_text string")
+    got = {r["name"]: r for r in summaries.power_domains(d, e).collect()}
+    assert got["PD"]["elements"] == ["top.u0"] and got["PD"]["unresolved_elements"] == ["gone"] and got["PD"]["isolated"] and got["PD"]["min_confidence"] == 0.6
+    assert got["PE"]["elements"] == [] and not got["PE"]["isolated"]
+    paths = spark.createDataFrame([(0, "t", None), (1, "b", "u1"), (1, "a", "u0"), (2, "c", "u0")], "depth int, unit string, inst string")
+    kept, omitted = summaries.prune_paths(paths, 3)
+    assert [r["unit"] for r in kept.collect()] == ["t", "a", "b"] and omitted == 1
+    refs = spark.createDataFrame([("f", 1, "k"), ("f", 1, "k"), ("g", 2, "k")], "file string, src int, kind string")
+    closures = spark.createDataFrame([("f", "f"), ("f", "g"), ("g", "g")], "edit string, file string")
+    assert {(r["edit"], r["reresolved"]) for r in summaries.locality(refs, closures).collect()} == {("f", 2), ("g", 1)}
