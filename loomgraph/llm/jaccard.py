@@ -417,7 +417,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = candidates.join(pairs.select(F.col("b").alias("q"), "g").distinct(), ["q", "g"], "left_semi").join(groups.select("g").distinct(), "g", "left_semi")
     unions = groups.join(wide.select("g").distinct(), "g", "left_semi")
     if not missing.isEmpty():
-        others = materialise(sets_of(texts, missing, width), "sets")
+        # Few as a rule: one row of each is found by its id, so most texts are not hashed again.
+        ids = counted.join(missing, "cls").groupBy("cls").agg(F.min("doc_id").alias("id")).select("id")
+        some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        others = materialise(sets_of(some, missing, width), "sets")
         every = sets.unionByName(others.join(sets.select("cls"), "cls", "left_anti"))
     else:
         every = sets
