@@ -96,3 +96,61 @@ def constrain(queries: DataFrame, objects: DataFrame) -> DataFrame:
     matched = exact.select("query", "id", F.lit(False).alias("glob")).unionByName(named.join(objects, "name").select("query", "id", F.lit(True).alias("glob")))
     n = F.count("*").over(Window.partitionBy("query"))
     return matched.withColumn("_n", n).select("query", "id", F.when(F.col("_n") > 1, AMBIGUOUS).when(F.col("glob"), UNIQUE).otherwise(EXACT).alias("confidence"))
+
+
+def choose_binding(instances: DataFrame, bindings: DataFrame) -> DataFrame:
+    """What configurations bind component instances to: (inst, target, architecture), the strongest binding of each.
+
+    instances: inst, entity, component, label, block. bindings: entity, component, label (a name, ``all`` or ``others``),
+    block (null: any), target, architecture, ord. A label of its own beats ``all``, which beats ``others``; a binding for
+    the block beats one for any; then the first counts.
+    """
+    b = bindings.select("entity", "component", F.col("label").alias("_l"), F.col("block").alias("_b"), "target", "architecture", "ord")
+    fits = (F.col("label") == F.col("_l")) | F.col("_l").isin("all", "others")
+    near = instances.join(b, ["entity", "component"]).where(fits & (F.col("_b").isNull() | (F.col("_b") == F.col("block"))))
+    rank = F.when(F.col("_l") == "all", 1).when(F.col("_l") == "others", 2).otherwise(0)
+    w = Window.partitionBy("inst").orderBy(rank, F.col("_b").isNull(), "ord", "target")
+    return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("inst", "target", "architecture")
+
+
+#: What a name in a unit can stand for, first choice first.
+SCOPE_ORDER = ("port", "signal", "enum_member", "parameter")
+
+
+def resolve_scoped(refs: DataFrame, scope: DataFrame) -> DataFrame:
+    """Names within their unit: (ref_id, target, score).
+
+    refs: ref_id, unit, name. scope: unit, name, child, kind, conditional. A port beats a signal, an unconditional
+    declaration a conditional one. Names that stand for anything but a port or signal are dropped; undeclared names
+    become signal stubs at 0.6.
+    """
+    rank = F.lit(len(SCOPE_ORDER))
+    for i, kind in reversed(list(enumerate(SCOPE_ORDER))):
+        rank = F.when(F.col("kind") == kind, F.lit(i)).otherwise(rank)
+    found = refs.join(scope, ["unit", "name"], "left")
+    w = Window.partitionBy("ref_id").orderBy(F.col("conditional"), rank, "child")
+    best = found.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    kept = best.where(F.col("child").isNull() | F.col("kind").isin("port", "signal"))
+    stub = F.concat(F.lit("unresolved:signal:"), F.col("unit"), F.lit("."), F.col("name"))
+    return kept.select("ref_id", F.coalesce("child", stub).alias("target"), F.when(F.col("child").isNull(), AMBIGUOUS).otherwise(EXACT).alias("score"))
+
+
+def resolve_testbench(refs: DataFrame, scope: DataFrame, units: DataFrame) -> DataFrame:
+    """Testbench reads and drives against the ports and signals of the design named (refs: ref_id, top, name); misses are skipped.
+
+    A name is met exactly first and without case else.
+    """
+    owned = scope.where(F.col("kind").isin("port", "signal")).join(units.select("unit", F.col("name").alias("top")), "unit")
+    near = refs.join(owned.select("top", F.col("name").alias("_name"), "child"), "top").where(F.lower("_name") == F.lower("name"))
+    return prefer(near, ["ref_id"], F.col("_name") == F.col("name")).select("ref_id", F.col("child").alias("target"), F.lit(AMBIGUOUS).alias("score"))
+
+
+def resolve_invokes(refs: DataFrame, actions: DataFrame) -> DataFrame:
+    """Actions that an action invokes in its own file (refs: ref_id, src, file, name; actions: id, file, name); misses are skipped."""
+    return refs.join(actions, ["file", "name"]).where(F.col("src") != F.col("id")).select("ref_id", F.col("id").alias("target"), F.lit(EXACT).alias("score"))
+
+
+def resolve_files(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """File references (ref_id, path) to file nodes or stubs."""
+    joined = refs.join(files.select("path", F.lit(True).alias("_known")).distinct(), "path", "left")
+    return joined.select("ref_id", F.concat(F.when(F.col("_known"), "file:").otherwise("unresolved:file:"), F.col("path")).alias("target"))

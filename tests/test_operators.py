@@ -202,3 +202,29 @@ def test_reports(spark):
     refs = spark.createDataFrame([("f", 1, "k"), ("f", 1, "k"), ("g", 2, "k")], "file string, src int, kind string")
     closures = spark.createDataFrame([("f", "f"), ("f", "g"), ("g", "g")], "edit string, file string")
     assert {(r["edit"], r["reresolved"]) for r in summaries.locality(refs, closures).collect()} == {("f", 2), ("g", 1)}
+
+
+def test_scoped_links(spark):
+    inst = spark.createDataFrame([("i1", "e", "c", "u1", "rtl"), ("i2", "e", "c", "u2", "rtl"), ("i3", "e", "c", "u3", "other")], "inst string, entity string, component string, label string, block string")
+    bound = spark.createDataFrame([("e", "c", "others", None, "t_others", None, 0), ("e", "c", "u1", None, "t_label", "a", 1), ("e", "c", "u2", None, "t_any", None, 2), ("e", "c", "u2", "rtl", "t_block", None, 3), ("e", "d", "all", None, "x", None, 4)], "entity string, component string, label string, block string, target string, architecture string, ord int")
+    assert {(r["inst"], r["target"]) for r in link.choose_binding(inst, bound).collect()} == {("i1", "t_label"), ("i2", "t_block"), ("i3", "t_others")}
+    scope = spark.createDataFrame([("m", "a", "m.a.sig", "signal", False), ("m", "a", "m.a.port", "port", False), ("m", "b", "m.b1", "port", True), ("m", "b", "m.b2", "signal", False), ("m", "W", "m.W", "parameter", False)], "unit string, name string, child string, kind string, conditional boolean")
+    refs = spark.createDataFrame([(1, "m", "a"), (2, "m", "b"), (3, "m", "W"), (4, "m", "zz")], "ref_id int, unit string, name string")
+    assert {(r["ref_id"], r["target"], r["score"]) for r in link.resolve_scoped(refs, scope).collect()} == {(1, "m.a.port", 1.0), (2, "m.b2", 1.0), (4, "unresolved:signal:m.zz", 0.6)}
+    units = spark.createDataFrame([("m", "top")], "unit string, name string")
+    tb = spark.createDataFrame([(1, "top", "A"), (2, "top", "nope"), (3, "none", "a")], "ref_id int, top string, name string")
+    assert {r["ref_id"] for r in link.resolve_testbench(tb, scope, units).collect()} == {1}
+    acts = spark.createDataFrame([("x1", "f", "x"), ("y1", "f", "y")], "id string, file string, name string")
+    inv = spark.createDataFrame([(1, "x1", "f", "y"), (2, "x1", "f", "x"), (3, "x1", "g", "y")], "ref_id int, src string, file string, name string")
+    assert {(r["ref_id"], r["target"]) for r in link.resolve_invokes(inv, acts).collect()} == {(1, "y1")}
+    asked = spark.createDataFrame([(1, "a.sv"), (2, "b.sv")], "ref_id int, path string")
+    assert {(r["ref_id"], r["target"]) for r in link.resolve_files(asked, spark.createDataFrame([("a.sv",)], "path string")).collect()} == {(1, "file:a.sv"), (2, "unresolved:file:b.sv")}
+
+
+def test_version_control(spark):
+    from loomgraph.sources import vcs
+
+    assert vcs.git_changes("M\0a.sv\0R100\0b.sv\0c.sv\0D\0d.sv\0", "new.v\0") == [("a.sv", "changed"), ("b.sv", "removed"), ("c.sv", "added"), ("d.sv", "removed"), ("new.v", "added")]
+    assert vcs.svn_changes("M       a.sv\n?       b c.v\n!       d.v\n M      p.v\n") == [("a.sv", "changed"), ("b c.v", "added"), ("d.v", "removed"), ("p.v", "changed")]
+    assert vcs.p4_changes("... localFile /w/a.sv\n... action edit\n\n... localFile /x/b.sv\n... action add\n\n... localFile /w/c.v\n... action delete\n", "/w") == [("a.sv", "changed"), ("c.v", "removed")]
+    assert vcs.change_frame(spark, [("a.sv", "added"), ("b.txt", "added")], (".sv",)).count() == 1
