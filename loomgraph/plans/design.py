@@ -16,11 +16,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+_steps_only = ("module",), ("declares", "instantiates")
+_clocked = ("process",), ("clocked_by", "drives", "reads", "aliases")
+#: The kinds of nodes and edges that a query looks at, where not all.
+LOOKS_AT: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "q01_find_module": (("module", "port", "parameter"), ("declares", "instantiates")),
+    "q02_top_modules": (("module",), ("instantiates",)),
+    "q02_hierarchy": _steps_only,
+    "q03_who_instantiates": (("module", "instance"), ("instantiates",)),
+    "q04_port_map": (("module", "port"), ("declares",)),
+    "q04_bindings": (("port",), ("connects",)),
+    "q05_impact": (("module",), ("declares", "instantiates", "imports", "extends")),
+    "q05_impact_summary": (("module",), ("declares", "instantiates", "imports", "extends")),
+    "trv07_net_aliases": (("module",), ("aliases",)),
+    "q06_clock_domains": _clocked,
+    "q06_crossings": _clocked,
+    "q06_crossing_counts": _clocked,
+    "trv08_bridges": _clocked,
+    "trv10_safe_crossings": _clocked,
+    "ag05_domain_signals": _clocked,
+    "q07_reset_tree": (("process",), ("resets", "aliases")),
+    "ag07_alias_collapse": (("module",), ("aliases",)),
+    "q08_signal_drivers": (("signal", "port", "process"), ("drives",)),
+    "q08_signal_readers": (("signal", "port", "process"), ("reads",)),
+    "q09_uvm_topology": (("class",), ("extends",)),
+    "q11_search_nodes": (("module", "signal"), ("extends",)),
+    "q13_modules": (("module",), ("instantiates",)),
+    "q14_lint": (("module", "port", "parameter", "instance", "signal"), ("instantiates", "connects", "declares", "drives", "reads", "parameterizes")),
+    "q14_waivers": (("module", "port", "parameter", "instance", "signal"), ("instantiates", "connects", "declares", "drives", "reads", "parameterizes")),
+    "q15_fan": _steps_only,
+    "q15_betweenness": _steps_only,
+    "q15_articulation": _steps_only,
+    "q15_communities": _steps_only,
+    "ag10_projection": _steps_only,
+    "ag15_percentiles": _steps_only,
+    "ag17_rollup": _steps_only,
+    "ag18_most_instantiated": _steps_only,
+    "trv02_subtree": _steps_only,
+    "trv06_enclosing_unit": (("module",), ("declares",)),
+    "trv11_clock_evidence": (("port",), ("clocked_by",)),
+    "trv18_unit_membership": (("module", "port", "parameter", "process"), ("declares",)),
+    "jn11_positional": (("port",), ("declares", "instantiates")),
+    "jn12_derived_dataflow": (("port",), ("connects",)),
+    "jn13_constraints": (("signal",), ("aliases",)),
+    "txt20_identifiers": (("module",), ("connects",)),
+    "fn_sorted_names": (("module",), ("drives", "reads")),
+    "ag22_multiset": (("module",), ("drives", "reads", "connects")),
+}
+
+
 def query(oracle: str | None = None, before: str = ""):
     """Register a query of (nodes, edges) under its name, and its SQL over the relations of those names."""
 
     def add(f: Callable[[DataFrame, DataFrame], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(nodes(spark, sf_dir), edges(spark, sf_dir))
+        n, e = LOOKS_AT.get(f.__name__, ((), ()))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(nodes(spark, sf_dir, n), edges(spark, sf_dir, e))
         if oracle is not None:
             ORACLE_SQL[f.__name__] = ORACLE + before + oracle
         return f

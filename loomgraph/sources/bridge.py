@@ -34,7 +34,7 @@ def _k(c: str) -> str:
 _trust = "case l_returnflag when 'A' then 1.0 when 'N' then 0.8 else 0.6 end"
 _line = f"'lineitem::instance:' || {LINE_KEY}"
 
-NODES = " union all ".join(
+NODE_PARTS = (
     [
         *(
             _node(t, "module", f"'{t}::module:' || {_k(k)}", f"'{p}_' || {_k(k)}", f"'{p}_' || {_k(k)}", f"rtl/{t}.sv", k)
@@ -57,7 +57,7 @@ NODES = " union all ".join(
     ]
 )
 
-EDGES = " union all ".join(
+EDGE_PARTS = (
     [
         _edge("nation", "declares", f"'region::module:' || {_k('n_regionkey')}", f"'nation::instance:' || {_k('n_nationkey')}"),
         _edge("customer", "declares", f"'nation::module:' || {_k('c_nationkey')}", f"'customer::instance:' || {_k('c_custkey')}"),
@@ -86,6 +86,8 @@ EDGES = " union all ".join(
     ]
 )
 
+NODES, EDGES = " union all ".join(NODE_PARTS), " union all ".join(EDGE_PARTS)
+
 #: The same relations for an engine that has the tables by name, to stand before a query.
 ORACLE = "with recursive nodes as (" + NODES.format(**{t: t for t in TABLES}) + "), edges as (" + EDGES.format(**{t: t for t in TABLES}) + ") "
 
@@ -94,11 +96,16 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tables(spark, sf_dir)
-    return spark.sql(NODES, **{t: own[t] for t in TABLES if "{" + t + "}" in NODES})
+def _relation(spark: SparkSession, sf_dir: str, parts: list[str], kinds: tuple[str, ...]) -> DataFrame:
+    """The parts of the kinds asked for (all if none is): what cannot hold rows is not even planned."""
+    own = [p for p in parts if not kinds or any(f"'{k}' as kind" in p for k in kinds)]
+    text = " union all ".join(own)
+    return spark.sql(text, **{t: df for t, df in tables(spark, sf_dir).items() if "{" + t + "}" in text})
+
+
+def nodes(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    return _relation(spark, sf_dir, NODE_PARTS, kinds)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tables(spark, sf_dir)
-    return spark.sql(EDGES, **{t: own[t] for t in TABLES if "{" + t + "}" in EDGES})
+def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    return _relation(spark, sf_dir, EDGE_PARTS, kinds)
