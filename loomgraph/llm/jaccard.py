@@ -382,12 +382,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tests = materialise(checked(first, sets), "tests")
     sweep(spark)
     groups = components_of(links_of(tests))
+    sweep(spark)
     # Classes of one leader, on what they have outside it: leaders first, then the pairs left.
     rests = materialise(outside(tests), "outside")
     own = materialise(apart(grouped(rests, groups), "tok", "g"), "own")
+    sweep(spark)
     within = materialise(leaders(own, 1), "pairs")
     more = materialise(checked(within, sets), "tests")
     links = links_of(tests).unionByName(links_of(more))
+    sweep(spark)
     groups = components_of(links)
     still = apart(grouped(own.drop("g"), groups), "tok", "g").select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
     same_size = (5 * F.col("an") >= 4 * F.col("n")) & (4 * F.col("an") <= 5 * F.col("n"))
@@ -396,6 +399,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leader = tests.where("bn >= an").select(F.col("b").alias("cls"), F.col("a").alias("p"))
     placed = grouped(shared, groups).join(leader, "cls", "left").withColumn("p", F.coalesce("p", "cls"))
     rows = materialise(apart(placed, "tok", "g", "p"), "placed")
+    sweep(spark)
     drop(shared)
     by_group = rows.groupBy("tok", "g", "p").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     asked = rows.select("tok", F.col("cls").alias("q"), "n", F.col("g").alias("own_g"), F.col("p").alias("own_p"))
@@ -404,6 +408,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A group may spread over several leaders; what the class shares with the group is at most the sum.
     whole = near.groupBy("q", "n", "g").agg(F.min("least").alias("least"), F.sum("c").alias("c")).where(F.col("c") >= SHARED)
     candidates = materialise(whole.drop("c"), "candidates")
+    sweep(spark)
     # Members that share enough rare shingles with a class and agree in size, but for pairs already checked.
     member = rows.select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), "g", "p")
     asks = rows.select("tok", F.col("cls").alias("q"), F.col("p").alias("own_p")).join(candidates, "q")
@@ -413,6 +418,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     beside = materialise(beside.join(done, ["a", "b"], "left_anti"), "pairs")
+    sweep(spark)
     missing = named_in(pairs).join(sets.select("cls"), "cls", "left_anti")
     wide = candidates.join(pairs.select(F.col("b").alias("q"), "g").distinct(), ["q", "g"], "left_semi").join(groups.select("g").distinct(), "g", "left_semi")
     unions = groups.join(wide.select("g").distinct(), "g", "left_semi")
@@ -427,6 +433,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A group of one is its own union: its check is the exact one.
     shut = wide.select("q", "g").join(bounded(wide, unions, every).select("q", "g"), ["q", "g"], "left_anti").withColumnRenamed("q", "b")
     last = materialise(checked(pairs.join(shut, ["b", "g"], "left_anti").select("a", "b").unionByName(beside).distinct(), every), "tests")
+    sweep(spark)
     final = groups if last.where("ok").isEmpty() else components_of(links.unionByName(links_of(last)))
     final = final.select(F.col("cls").alias("node"), F.col("g").alias("component"))
     thin = counted.where(F.col("n").isNotNull()).select("doc_id", "n", "cls")
