@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are TF-IDF vectors over their own words, the document frequencies being counted over all
-documents. A randomised SVD, whose products with the passage matrix are sums over distributed rows, gives a
-latent space of at most ``RANK`` dimensions. Windows of each whole document are projected into it; a window
+documents. A randomised SVD, whose products with the passage matrix are sums over distributed rows, gives the
+latent space of about ``RANK`` items, with a dimension for each, so every item keeps its whole norm in it. Windows of each whole document are projected into it; a window
 whose cosine with an item is at least ``CANDIDATE`` is a candidate. Words outside the benchmark count in a
 window's norm, which bounds its cosine from above, so most windows need no projection.
 
@@ -10,7 +10,8 @@ A candidate is a leak if the longest common subsequence of the item and the docu
 window has at least ``MATCH`` of the item's words (so small changes, dropped and added words do not hide
 it) and at least ``ANSWER`` of the words of its last sentence, which holds the answer.
 
-Items are taken in blocks of ``BLOCK``, so what is sent to the tasks is bounded however many there are.
+Words are counted for blocks of ``BLOCK`` items in one pass; each block has a space for about every ``RANK`` of
+its items.
 
 Defined results: null and empty texts and items match nothing; items with fewer words than ``LEAST_WORDS``
 match only word for word; repeated rows and items are judged one by one.
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANK = 128
+#: About so many items share a latent space.
+RANK = 256
 OVERSAMPLE = 16
 POWER_STEPS = 2
 BLOCK = 2_000
@@ -155,21 +157,29 @@ def svd_basis(items: DataFrame, names: dict[str, int], idf: np.ndarray, rank: in
 
 
 def models(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", text_col: str = "text", rank: int = RANK, block: int = BLOCK) -> list[Model]:
-    """A model for each block of items; the list is as long as the benchmark is large, never larger with the corpus."""
+    """A model for about every ``rank`` items; the list is as long as the benchmark is large, never larger with the corpus."""
     texts = docs.select(F.col(text_col).alias("text"))
     rows = benchmark.where(F.length(F.coalesce(F.col(item_text), F.lit(""))) > 0).select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
     blocks = max(1, -(-rows.count() // block))
     out = []
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        items = sorted((r["item_id"], r["text"]) for r in part.collect())
-        names = {w: i for i, w in enumerate(sorted({w for _, t in items for w in words(t)}))}
-        if not names:
+        held = sorted((r["item_id"], r["text"]) for r in part.collect())
+        every = {w: i for i, w in enumerate(sorted({w for _, t in held for w in words(t)}))}
+        if not every:
             continue
-        n, df = frequencies(texts, names)
-        # The last entry is for words outside the benchmark, taken as words of one document.
-        idf = np.log((n + 1) / (np.append(df[:-1], 0) + 1)) + 1
-        out.append(Model(items, names, idf, svd_basis(part, names, idf, rank)))
+        n, counts = frequencies(texts, every)
+        spaces = -(-len(held) // rank)
+        for j in range(spaces):
+            share = part.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(spaces)) == j)
+            items = sorted((r["item_id"], r["text"]) for r in share.collect())
+            names = {w: i for i, w in enumerate(sorted({w for _, t in items for w in words(t)}))}
+            if not names:
+                continue
+            df = counts[[every[w] for w in names]]
+            # The last entry is for words outside the benchmark, taken as words of one document.
+            idf = np.log((n + 1) / (np.append(df, 0) + 1)) + 1
+            out.append(Model(items, names, idf, svd_basis(share, names, idf, len(items))))
     return out
 
 

@@ -220,6 +220,41 @@ def test_decontamination(spark):
     assert len(blocks) > 1 and {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, blocks).collect()} == truth
 
 
+@pytest.fixture(scope="module")
+def many_items():
+    """Passages of words of their own and of words that many share."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9)))
+    common = [word() for _ in range(80)]
+    pool = [word() for _ in range(3000)]
+    passage = lambda n: [rng.choice(pool) if rng.random() < 0.6 else rng.choice(common) for _ in range(n)]
+    return [(i, " ".join(passage(rng.randrange(15, 60)))) for i in range(2000)], passage
+
+
+def scanned(models, rows):
+    scanners = [decontaminate.Scanner(m) for m in models]
+    return [{h[0] for s in scanners for h in s.hits(t)} for t in rows]
+
+
+@pytest.mark.parametrize("n", [1000, 2000])
+def test_decontamination_with_many_items(spark, many_items, n):
+    rng = random.Random(9)
+    items, passage = many_items[0][:n], many_items[1]
+    docs = spark.createDataFrame([(i, " ".join(passage(150))) for i in range(300)], "doc_id long, text string")
+    models = decontaminate.models(docs, spark.createDataFrame(items, "item_id long, text string"))
+    asked = rng.sample(items, 60)
+    for changed in (0, 0.2):
+        rows = []
+        for _, t in asked:
+            w = t.split()
+            for at in rng.sample(range(len(w)), int(changed * len(w))):
+                w[at] = passage(1)[0]
+            before = passage(100)
+            rows.append(" ".join(before + w + passage(100)))
+        lost = [i for (i, _), got in zip(asked, scanned(models, rows)) if i not in got]
+        assert not lost, f"{len(lost)} of {len(asked)} lost, {changed:.0%} of words changed"
+
+
 def test_common_subsequence_against_tables():
     rng = random.Random(5)
     np = decontaminate.np
