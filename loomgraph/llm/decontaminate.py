@@ -6,8 +6,8 @@ latent space of about ``RANK`` items, with a dimension for each, so every item k
 whose cosine with an item is at least ``CANDIDATE`` is a candidate. Words outside the benchmark count in a
 window's norm, which bounds its cosine from above, so most windows need no projection.
 
-A candidate is a leak if the longest common subsequence of the item and the document's words around the
-window has at least ``MATCH`` of the item's words (so small changes, dropped and added words do not hide
+Every candidate is checked; none stands for the others. It is a leak if the longest common subsequence of the item and
+the document's words around the window has at least ``MATCH`` of the item's words (so small changes, dropped and added words do not hide
 it) and at least ``ANSWER`` of the words of its last sentence, which holds the answer.
 
 Words are counted for blocks of ``BLOCK`` items in one pass; each block has a space for about every ``RANK`` of
@@ -40,6 +40,8 @@ MATCH = 0.6
 ANSWER = 0.5
 LEAST_WORDS = 8
 MAX_KEPT = 400_000
+#: Windows that start within so many words are projected together.
+STRETCH = 2_048
 SENTENCE = re.compile(r"[.!?]+\s+")
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”‘’„…¿¡"
 
@@ -89,7 +91,8 @@ class Model:
         latent = np.array([self.embed(n) for n in self.numbers]) if items else np.zeros((0, basis.shape[1]))
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = (latent / np.where(norms > 0, norms, 1)).astype(np.float32)
-        self.loaded = (basis * idf[:-1, None]).astype(np.float32)
+        # Of each word, what it adds to the product with each item in the latent space.
+        self.loaded = ((basis * idf[:-1, None]) @ self.latent.T.astype(np.float64)).astype(np.float32)
         longest = max(map(len, self.words), default=0)
         self.windows = [WINDOW, 3 * WINDOW]
         while self.windows[-1] < longest:
@@ -199,21 +202,22 @@ class Scanner:
     def __init__(self, model: Model):
         self.m = model
         self.vocabulary = Vocabulary(model.names)
-        self.masks = []
+        self.masks, self.places, self.counts = [], [], []
         for n in model.numbers:
             masks: dict[int, int] = {}
             for i, x in enumerate(n.tolist()):
                 masks[x] = masks.get(x, 0) | 1 << i
             self.masks.append(masks)
+            own, counts = np.unique(n, return_counts=True)
+            self.places.append(own)
+            self.counts.append(counts)
+        self.least = [MATCH * len(n) if len(n) >= LEAST_WORDS else len(n) for n in model.numbers]
         self.weight = model.idf**2
         self.known = np.append(self.weight[:-1], 0)
 
-    def hits(self, text: str | None) -> list[tuple]:
-        """(item, cosine, share of words matched, share of answer matched, first word, last word) by item."""
-        m, ids = self.m, self.vocabulary.ids(text)
-        n = len(ids)
-        if not n:
-            return []
+    def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By item, the windows (first word, end) that may have the candidate cosine, in order."""
+        m, n = self.m, len(ids)
         all_, own = np.r_[0, np.cumsum(self.weight[ids])], np.r_[0, np.cumsum(self.known[ids])]
         starts, ends = [], []
         for width in m.windows:
@@ -226,34 +230,78 @@ class Scanner:
             starts.append(at[near])
             ends.append(to[near])
         starts, ends = np.concatenate(starts), np.concatenate(ends)
-        best: dict[int, tuple[float, int, int]] = {}
-        if len(starts):
-            cover = np.zeros(n + 1, np.int32)
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, ends, -1)
-            inside = (ids < len(m.names)) & (np.cumsum(cover)[:n] > 0)
+        out: dict[int, list[tuple[int, int]]] = {}
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+        # A word that stands repeatedly counts once each time, which is at most the norm: no cosine is taken for less.
+        least = (CANDIDATE * np.sqrt(all_[ends] - all_[starts])).astype(np.float32)
+        cuts = np.searchsorted(starts, np.arange(0, n + STRETCH, STRETCH))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if i == j:
+                continue
+            lo, hi = starts[i], ends[i:j].max()
+            inside = ids[lo:hi] < len(m.names)
             upto = np.r_[0, np.cumsum(inside)]
             sums = np.zeros((int(upto[-1]) + 1, m.loaded.shape[1]), np.float32)
-            np.cumsum(m.loaded[ids[inside]], axis=0, out=sums[1:])
-            # Repeated words count once each in the norm, which can only raise a cosine.
-            norms = np.sqrt(all_[ends] - all_[starts]).astype(np.float32)
-            for lo in range(0, len(starts), 4096):
-                part = slice(lo, lo + 4096)
-                cosines = ((sums[upto[ends[part]]] - sums[upto[starts[part]]]) @ m.latent.T) / norms[part, None]
-                for w, k in np.argwhere(cosines >= CANDIDATE).tolist():
-                    c = float(cosines[w, k])
-                    if k not in best or c > best[k][0]:
-                        best[k] = (c, int(starts[lo + w]), int(ends[lo + w]))
+            np.cumsum(m.loaded[ids[lo:hi][inside]], axis=0, out=sums[1:])
+            products = sums[upto[ends[i:j] - lo]] - sums[upto[starts[i:j] - lo]]
+            w, k = np.nonzero(products >= least[i:j, None])
+            for item, s, e in zip(k.tolist(), starts[i + w].tolist(), ends[i + w].tolist()):
+                out.setdefault(item, []).append((s, e))
+        return out
+
+    def cosine(self, ids: np.ndarray, k: int) -> float:
+        """Of a window and an item."""
+        at, times = np.unique(ids, return_counts=True)
+        # Words outside the benchmark are taken as different ones.
+        times = np.where(at == len(self.m.names), np.sqrt(times), times)
+        norm = np.sqrt((times**2 * self.weight[at]).sum())
+        inside = at < len(self.m.names)
+        return float(times[inside] @ self.m.loaded[at[inside], k] / norm)
+
+    def common(self, ids: np.ndarray, k: int) -> int:
+        """Bits of the item's positions in a longest common subsequence, or 0 if it holds too few of the item's words."""
+        places, least = self.places[k], self.least[k]
+        at = np.minimum(np.searchsorted(places, ids), len(places) - 1)
+        own = places[at] == ids
+        if np.minimum(np.bincount(at[own], minlength=len(places)), self.counts[k]).sum() < least:
+            return 0
+        found = common_subsequence(ids[own], self.masks[k], len(self.m.numbers[k]))
+        return found if found.bit_count() >= least else 0
+
+    def hits(self, text: str | None) -> list[tuple]:
+        """(item, cosine, share of words matched, share of answer matched, first word, last word) by item."""
+        m, ids = self.m, self.vocabulary.ids(text)
+        n = len(ids)
+        if not n:
+            return []
         out = []
-        for k, (cosine, s, e) in best.items():
-            length = len(m.numbers[k])
-            lo, hi = max(0, s - length), min(n, e + length)
-            found = common_subsequence(ids[lo:hi], self.masks[k], length)
-            share = found.bit_count() / length
-            answer = m.answers[k]
-            last = (found >> (length - answer)).bit_count() / answer if answer else 1.0
-            if share >= (MATCH if length >= LEAST_WORDS else 1.0) and last >= ANSWER:
-                out.append((m.ids[k], cosine, share, last, lo, hi))
+        for k, windows in self.candidates(ids).items():
+            length, answer = len(m.numbers[k]), m.answers[k]
+            # Windows whose surroundings overlap are first checked as one: what that lacks, none of them has.
+            runs: list[list[tuple[int, int, int, int]]] = []
+            end = -1
+            for s, e in windows:
+                lo, hi = max(0, s - length), min(n, e + length)
+                if lo >= end:
+                    runs.append([])
+                runs[-1].append((lo, hi, s, e))
+                end = max(end, hi)
+            best = None
+            for run in runs:
+                if len(run) > 1 and not self.common(ids[run[0][0] : max(hi for _, hi, _, _ in run)], k):
+                    continue
+                for lo, hi, s, e in run:
+                    found = self.common(ids[lo:hi], k)
+                    if not found:
+                        continue
+                    share = found.bit_count() / length
+                    last = (found >> (length - answer)).bit_count() / answer if answer else 1.0
+                    if last >= ANSWER and (best is None or (share, last) > best[:2]):
+                        best = (share, last, lo, hi, s, e)
+            if best:
+                share, last, lo, hi, s, e = best
+                out.append((m.ids[k], self.cosine(ids[s:e], k), share, last, lo, hi))
         return out
 
 

@@ -255,6 +255,18 @@ def test_decontamination_with_many_items(spark, many_items, n):
         assert not lost, f"{len(lost)} of {len(asked)} lost, {changed:.0%} of words changed"
 
 
+def test_decontamination_checks_every_candidate_window(spark, many_items):
+    """A line that repeats words of the item does not hide the copy beside it."""
+    items, passage = many_items[0][:100], many_items[1]
+    docs = spark.createDataFrame([(i, " ".join(passage(150))) for i in range(300)], "doc_id long, text string")
+    models = decontaminate.models(docs, spark.createDataFrame(items, "item_id long, text string"))
+    rows = [" ".join(passage(200) + t.split()[:3] * 16 + passage(300) + t.split() + passage(300)) for _, t in items[:60]]
+    lost = [i for (i, _), got in zip(items, scanned(models, rows)) if i not in got]
+    assert not lost, f"{len(lost)} of {len(rows)} lost"
+    cosines = [h[1] for m in models for r in rows for h in decontaminate.Scanner(m).hits(r)]
+    assert cosines and 0 < max(cosines) <= 1 + 1e-5
+
+
 def test_common_subsequence_against_tables():
     rng = random.Random(5)
     np = decontaminate.np
