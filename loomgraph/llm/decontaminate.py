@@ -3,8 +3,8 @@
 Benchmark items are TF-IDF vectors over their own words, the document frequencies being counted over all
 documents. A randomised SVD, whose products with the passage matrix are sums over distributed rows, gives the
 latent space of about ``RANK`` items, with a dimension for each, so every item keeps its whole norm in it. Windows of each whole document are projected into it; a window
-whose cosine with an item is at least ``CANDIDATE`` is a candidate. Words outside the benchmark count in a
-window's norm, which bounds its cosine from above, so most windows need no projection.
+whose cosine with an item, over the words that its block of the benchmark knows, is at least ``CANDIDATE`` is a
+candidate. Words outside do not count, so neither other vocabulary nor the number of documents makes it stricter.
 
 Every candidate is checked; none stands for the others. It is a leak if the longest common subsequence of the item and
 the document's words around the window has at least ``MATCH`` of the item's words (so small changes, dropped and added words do not hide
@@ -32,8 +32,8 @@ RANK = 256
 OVERSAMPLE = 16
 POWER_STEPS = 2
 BLOCK = 2_000
-#: Window lengths are this times powers of three, up to that of the longest item: an item fills a third of some
-#: window, or is filled by a third of it.
+#: Window lengths are this times powers of three, from that of the shortest to that of the longest item: an item
+#: fills a third of some window, or is filled by a third of it.
 WINDOW = 16
 CANDIDATE = 0.45
 MATCH = 0.6
@@ -93,12 +93,14 @@ class Model:
         self.latent = (latent / np.where(norms > 0, norms, 1)).astype(np.float32)
         # Of each word, what it adds to the product with each item in the latent space.
         self.loaded = ((basis * idf[:-1, None]) @ self.latent.T.astype(np.float64)).astype(np.float32)
-        longest = max(map(len, self.words), default=0)
+        longest, shortest = max(map(len, self.words), default=0), min((len(w) for w in self.words if w), default=WINDOW)
         self.windows = [WINDOW, 3 * WINDOW]
         while self.windows[-1] < longest:
             self.windows.append(3 * self.windows[-1])
-        # Below this share of a window's weight, no cosine reaches the candidate bound.
-        self.share = CANDIDATE**2
+        while self.windows[0] > 3 * shortest:
+            self.windows.insert(0, self.windows[0] // 3)
+        # A window of less weight has no candidate cosine, even if all its words are the item's most frequent one.
+        self.floor = min((CANDIDATE**2 * float(((c * idf[at]) ** 2).sum()) / int(c.max()) ** 2 for at, c in (np.unique(n, return_counts=True) for n in self.numbers) if len(at)), default=0.0)
 
     def embed(self, numbers: np.ndarray) -> np.ndarray:
         return (self.basis[numbers] * self.idf[numbers, None]).sum(0) if len(numbers) else np.zeros(self.basis.shape[1])
@@ -180,8 +182,8 @@ def models(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", ite
             if not names:
                 continue
             df = counts[[every[w] for w in names]]
-            # The last entry is for words outside the benchmark, taken as words of one document.
-            idf = np.log((n + 1) / (np.append(df, 0) + 1)) + 1
+            # The last entry is for words outside the benchmark, which have no weight.
+            idf = np.append(np.log((n + 1) / (df + 1)) + 1, 0)
             out.append(Model(items, names, idf, svd_basis(share, names, idf, len(items))))
     return out
 
@@ -213,20 +215,19 @@ class Scanner:
             self.counts.append(counts)
         self.least = [MATCH * len(n) if len(n) >= LEAST_WORDS else len(n) for n in model.numbers]
         self.weight = model.idf**2
-        self.known = np.append(self.weight[:-1], 0)
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By item, the windows (first word, end) that may have the candidate cosine, in order."""
         m, n = self.m, len(ids)
-        all_, own = np.r_[0, np.cumsum(self.weight[ids])], np.r_[0, np.cumsum(self.known[ids])]
+        weights = np.r_[0, np.cumsum(self.weight[ids])]
         starts, ends = [], []
         for width in m.windows:
             at = np.arange(0, max(1, n - width + 1), max(1, width // 4))
             if n > width and at[-1] != n - width:
                 at = np.append(at, n - width)
             to = np.minimum(at + width, n)
-            known = own[to] - own[at]
-            near = (known >= m.share * (all_[to] - all_[at])) & (known > 0)
+            held = weights[to] - weights[at]
+            near = (held >= m.floor * (1 - 1e-6)) & (held > 0)
             starts.append(at[near])
             ends.append(to[near])
         starts, ends = np.concatenate(starts), np.concatenate(ends)
@@ -234,7 +235,7 @@ class Scanner:
         order = np.argsort(starts, kind="stable")
         starts, ends = starts[order], ends[order]
         # A word that stands repeatedly counts once each time, which is at most the norm: no cosine is taken for less.
-        least = (CANDIDATE * np.sqrt(all_[ends] - all_[starts])).astype(np.float32)
+        least = (CANDIDATE * np.sqrt(weights[ends] - weights[starts])).astype(np.float32)
         cuts = np.searchsorted(starts, np.arange(0, n + STRETCH, STRETCH))
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if i == j:
@@ -252,12 +253,8 @@ class Scanner:
 
     def cosine(self, ids: np.ndarray, k: int) -> float:
         """Of a window and an item."""
-        at, times = np.unique(ids, return_counts=True)
-        # Words outside the benchmark are taken as different ones.
-        times = np.where(at == len(self.m.names), np.sqrt(times), times)
-        norm = np.sqrt((times**2 * self.weight[at]).sum())
-        inside = at < len(self.m.names)
-        return float(times[inside] @ self.m.loaded[at[inside], k] / norm)
+        at, times = np.unique(ids[ids < len(self.m.names)], return_counts=True)
+        return float(times @ self.m.loaded[at, k] / np.sqrt((times**2 * self.weight[at]).sum()))
 
     def common(self, ids: np.ndarray, k: int) -> int:
         """Bits of the item's positions in a longest common subsequence, or 0 if it holds too few of the item's words."""

@@ -267,6 +267,27 @@ def test_decontamination_checks_every_candidate_window(spark, many_items):
     assert cosines and 0 < max(cosines) <= 1 + 1e-5
 
 
+def test_decontamination_recall_does_not_fall_with_the_corpus(spark, many_items, monkeypatch):
+    """Paraphrases with words from outside the benchmark, at two corpus sizes: the counts of the documents, and 300 times those."""
+    rng = random.Random(10)
+    items, passage = many_items[0][:100], many_items[1]
+    docs = spark.createDataFrame([(i, " ".join(passage(150))) for i in range(300)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    count = decontaminate.frequencies
+    for times in (1, 300):
+        monkeypatch.setattr(decontaminate, "frequencies", lambda d, names, k=times: (lambda n, c: (k * n, k * c))(*count(d, names)))
+        models = decontaminate.models(docs, bench)
+        for changed in (0.2, 0.4):
+            rows = []
+            for _, t in items:
+                w = t.split()
+                for at in rng.sample(range(len(w)), int(changed * len(w))):
+                    w[at] = f"outside{rng.randrange(5000)}"
+                rows.append(" ".join([f"other{i}" for i in range(60)] + w + [f"more{i}" for i in range(60)]))
+            lost = [i for (i, _), got in zip(items, scanned(models, rows)) if i not in got]
+            assert not lost, f"{len(lost)} of {len(rows)} lost, {changed:.0%} changed, {times} times the documents"
+
+
 def test_common_subsequence_against_tables():
     rng = random.Random(5)
     np = decontaminate.np
