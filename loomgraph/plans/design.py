@@ -245,24 +245,19 @@ def q15_fan(n, e):
     return bounded.fan(bounded.projection(n, e))
 
 
-def _regions(e):
-    """The unit graph of regions, nations and customers, which stays compact."""
-    return e.where(~F.col("src").startswith("lineitem") & ~F.col("src").startswith("orders"))
-
-
 @query()
 def q15_betweenness(n, e):
-    return metrics.betweenness(bounded.projection(n, _regions(e)).where(~F.col("target").startswith("customer"))).withColumn("betweenness", F.round("betweenness", 9))
+    return metrics.betweenness(bounded.projection(n, e)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query()
 def q15_articulation(n, e):
-    return metrics.articulation_points(bounded.projection(n, _regions(e)))
+    return metrics.articulation_points(bounded.projection(n, e))
 
 
 @query()
 def q15_communities(n, e):
-    return metrics.communities(bounded.projection(n, _regions(e))).groupBy("community").agg(F.count("*").alias("units"))
+    return metrics.communities(bounded.projection(n, e)).groupBy("community").agg(F.count("*").alias("units"))
 
 
 @query("select kind, count(*) as n from nodes group by 1")

@@ -228,3 +228,31 @@ def test_version_control(spark):
     assert vcs.svn_changes("M       a.sv\n?       b c.v\n!       d.v\n M      p.v\n") == [("a.sv", "changed"), ("b c.v", "added"), ("d.v", "removed"), ("p.v", "changed")]
     assert vcs.p4_changes("... localFile /w/a.sv\n... action edit\n\n... localFile /x/b.sv\n... action add\n\n... localFile /w/c.v\n... action delete\n", "/w") == [("a.sv", "changed"), ("c.v", "removed")]
     assert vcs.change_frame(spark, [("a.sv", "added"), ("b.txt", "added")], (".sv",)).count() == 1
+
+
+def test_unit_metrics_see_every_unit(spark):
+    """Orders and parts too, not only regions, nations and customers."""
+    from loomgraph import catalog
+
+    from tests.conftest import SF
+
+    links = [(r["parent"], r["target"]) for r in catalog.QUERIES["ag10_projection"](spark, SF).collect()]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    assert any(u.startswith("orders") for u in near) and any(u.startswith("part") for u in near)
+    assert {r["unit"] for r in catalog.QUERIES["q15_betweenness"](spark, SF).collect()} == set(near)
+    assert sum(r["units"] for r in catalog.QUERIES["q15_communities"](spark, SF).collect()) == len(near)
+
+    def reached(start, without):
+        seen, todo = {start, without}, [start]
+        while todo:
+            for y in near[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return len(seen)
+
+    whole = {u: reached(u, None) - 1 for u in near}
+    cut = {u for u in near if reached(next(iter(near[u] - {u})), u) < whole[u]}
+    assert {r["unit"] for r in catalog.QUERIES["q15_articulation"](spark, SF).collect()} == cut
