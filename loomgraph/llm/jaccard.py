@@ -108,7 +108,7 @@ def signed(a: np.ndarray) -> pa.Array:
 
 
 def census(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, n, cls) for every document, and (tok, times) for shingles that are frequent within a task."""
+    """Rows (doc_id, h, n, cls) for every document, h being its text's hash, and (tok, times) for shingles that are frequent within a task."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def census(docs: DataFrame, width: int) -> DataFrame:
             toks, times = np.unique(np.concatenate(held), return_counts=True)
             at = times >= REPORT_AT
             k = int(at.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, ids), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), signed(toks[at]), pa.array(times[at].astype(np.int32))], names=["doc_id", "n", "cls", "tok", "times"])
+            return pa.RecordBatch.from_arrays([pa.nulls(k, ids), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), signed(toks[at]), pa.array(times[at].astype(np.int32))], names=["doc_id", "h", "n", "cls", "tok", "times"])
 
         ids = None
         for b in batches:
@@ -133,14 +133,14 @@ def census(docs: DataFrame, width: int) -> DataFrame:
                     held.append(s)
                     total += len(s)
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], names=["doc_id", "n", "cls", "tok", "times"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], names=["doc_id", "h", "n", "cls", "tok", "times"])
             if total >= HELD:
                 yield frequent(ids)
                 held, total = [], 0
         if held:
             yield frequent(ids)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n int, cls long, tok long, times int")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, h long, n int, cls long, tok long, times int")
 
 
 def frequent_table(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -370,6 +370,11 @@ def named_in(pairs: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    return labelled(docs, id_col, text_col, width).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """Per row, beside what ``components`` gives: h (its text's hash) and c (its component's own number, null for an empty text)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counted = materialise(census(texts, width), "census")
@@ -436,10 +441,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sweep(spark)
     final = groups if last.where("ok").isEmpty() else components_of(links.unionByName(links_of(last)))
     final = final.select(F.col("cls").alias("node"), F.col("g").alias("component"))
-    thin = counted.where(F.col("n").isNotNull()).select("doc_id", "n", "cls")
-    named = thin.join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "cls").alias("c"))
+    thin = counted.where(F.col("n").isNotNull()).select("doc_id", "h", "n", "cls")
+    named = thin.join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "h", "n", F.coalesce("component", "cls").alias("c"))
     smallest = named.where(F.col("c").isNotNull()).groupBy(F.col("c").alias("k")).agg(F.min("doc_id").alias("m"))
-    out = named.join(smallest, F.col("c") == F.col("k"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
+    out = named.join(smallest, F.col("c") == F.col("k"), "left").select("doc_id", "h", "c", F.col("n").cast("long").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
     result = materialise(out, "components")
     for used in (counted, first, sets, tests, rests, own, within, more, rows, candidates, pairs, beside, last):
         drop(used)
@@ -447,7 +452,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each component (the smallest id; one row of it)."""
-    found = components(docs, id_col, text_col)
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` without all but one of each component (the smallest id; one row of it). Empty texts are in none.
+
+    A row is known by its id and its text's hash, since ids may be null or stand for several texts."""
+    found = labelled(docs, id_col, text_col)
+    first = found.where(F.col("c").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("c", "doc_id").agg(F.min("h").alias("h"))
+    empty = found.where(F.col("c").isNull()).select("doc_id", "h").distinct()
+    keys = first.select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_h"), F.lit(False).alias("_empty"))
+    keys = keys.unionByName(empty.select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_h"), F.lit(True).alias("_empty")))
+    rows = docs.withColumn("_h", F.xxhash64(text_col)).join(keys, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_h") == F.col("_kept_h")))
+    single = rows.withColumn("_row", F.when(F.col("_empty"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return single.dropDuplicates([id_col, "_h", "_row"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -93,6 +93,14 @@ def test_jaccard_empty_and_keep_one(docs):
     assert len(ids) == len(set(ids)) and 900005 in ids
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    text = lambda k, n=40: " ".join(f"t{k}w{i}" for i in range(n))
+    rows = [(None, text(1)), (None, text(2)), (None, text(1)), (7, text(3)), (7, text(4)), (7, text(4)), (3, text(4) + " more"), (5, text(2) + " more"), (None, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(None, text(1)), (7, text(3)), (3, text(4) + " more"), (5, text(2) + " more"), (None, ""), (None, ""), (None, None)], key=str)
+
+
 def test_token_counts_match_the_library(docs, texts):
     from tokenizers import Tokenizer
 
