@@ -6,20 +6,24 @@ sets are one class from the start. The join is exact: no bucket, group or candid
 1. Order. A table of the most frequent shingles (bounded in size; it orders, it does not decide) lets each
    class keep its rarest ``n - ceil(0.8 n) + SHARED`` shingles. Classes that link share ``SHARED`` of those
    under any order that all use (sets under four shingles link with equal sets only).
-2. Groups. Of the classes that share such a shingle, the most central leads: the one with the largest part
-   of its rare shingles shared, as an original has whose copies each have changes of their own. Each class
-   is checked exactly against the leader of most of its rare shingles, in streams that hold one leader's
-   set at a time; connected components of these links are the groups of similar documents. A group of n
-   copies costs n checks, not n * n.
-3. Copies of one leader. Let x be a class whose check against its leader B failed and y another class
+2. Columns of few. A rare shingle that at most ``FEW`` classes hold opens them at once: its holders that agree
+   in size meet in pairs, which are at most ``FEW * (FEW - 1) / 2`` a shingle however large the corpus.
+   Only shingles with more holders (common ones) need groups, and only classes that hold ``SHARED`` of them:
+   a pair that shares a rare shingle of few holders is among the pairs already.
+3. Groups. Of the classes that share a common shingle, the most central leads: the one with the largest part
+   of its rare shingles common, as an original has whose copies each have changes of their own. Each class
+   is checked exactly against the leader of most of its common shingles, in streams that hold one leader's
+   set at a time; connected components of all links found so far are the groups of similar documents. A group
+   of n copies costs n checks, not n * n.
+4. Copies of one leader. Let x be a class whose check against its leader B failed and y another class
    checked against B, neither smaller than B. Were x and y to share no shingle outside B, their overlap would
    be within x's overlap with B, which is too small for sizes of at least B's; so x and y can link only if
    they share a shingle outside B. The checks emit those shingles; classes of one leader meet on them alone
    (again by leaders first), so copies with changes of their own never meet in pairs.
-4. Matrix. The groups' shingle unions are rows (group, shingle). For a class and another group of another
-   leader that share ``SHARED`` rare shingles and agree in size, the overlap with the group's union bounds the overlap with
-   each of its members; groups whose bound is under 0.8 stay closed.
-5. Opening. A class is checked exactly against those members of the groups left that share ``SHARED`` rare
+5. Matrix. Rows (common shingle, group) with the sizes of the group's members. A class and another group
+   of another leader are a candidate if they share ``SHARED`` columns and agree in size; the groups' unions of
+   whole sets then bound the overlap with each of their members, and groups whose bound is under 0.8 stay closed.
+6. Opening. A class is checked exactly against those members of the groups left that share ``SHARED`` common
    shingles with it. Components of all links are the result.
 
 Sets are hashed with 64 bits (48 in the exact check), so a false answer has odds of about 1e-9 a pair.
@@ -40,22 +44,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import drop, materialise, sweep
+from .common import drop, materialise
 
 WIDTH = 5
 #: Rare shingles that linked sets share at least.
 SHARED = 4
+#: A shingle with at most so many holders brings them together in pairs.
+FEW = 8
 #: Shingles in the table of frequent ones at most, and how often one must occur to be in it.
 FREQUENT = 1 << 19
 FREQUENT_AT = 8
+#: How often one must occur there to be common without a count of its holders, and over how many tasks these are dealt.
+COMMON_AT = 64
+SALTS = 64
 #: Shingles that a task holds before it counts them, and how often one must occur among them to be reported.
-HELD = 3_000_000
+HELD = 1_500_000
 REPORT_AT = 3
 #: Bits of the filter that tells tasks which classes' sets are needed.
 FILTER_BITS = 1 << 26
 #: Sets checked against one copy of a leader's set.
 SHARE = 2_000
-MAX_KEPT = 400_000
+#: Words, and classes, that a task remembers.
+MAX_KEPT = 150_000
+#: Bytes or pairs that a task gathers before it sends them on.
+FLUSH = 8_000_000
+PAIRS = 200_000
 
 _mult = np.uint64(0x9E3779B97F4A7C15)
 _mix = np.uint64(0xD6E8FEB86659FD93)
@@ -112,7 +125,7 @@ def census(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, total = WordHashes(), set(), [], 0
+        hashes, seen, held, total = WordHashes(), Seen(), [], 0
 
         def frequent(ids: pa.DataType) -> pa.RecordBatch:
             toks, times = np.unique(np.concatenate(held), return_counts=True)
@@ -128,8 +141,7 @@ def census(docs: DataFrame, width: int) -> DataFrame:
                 s = shingles(t.as_py(), hashes, width)
                 sizes.append(len(s))
                 classes.append(c := class_of(s) if len(s) else None)
-                if c is not None and c not in seen:
-                    seen.add(c)
+                if c is not None and seen.first(c):
                     held.append(s)
                     total += len(s)
             k = len(sizes)
@@ -143,73 +155,151 @@ def census(docs: DataFrame, width: int) -> DataFrame:
     return docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, h long, n int, cls long, tok long, times int")
 
 
-def frequent_table(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted by hash, and the place of each in the order of frequency."""
-    top = counted.where(F.col("tok").isNotNull()).groupBy("tok").agg(F.sum("times").alias("n")).where(F.col("n") >= FREQUENT_AT).orderBy(F.desc("n"), "tok").limit(FREQUENT).toArrow()
-    toks = top.column("tok").to_numpy().astype(np.int64).view(np.uint64)
-    place = np.arange(len(toks), 0, -1, dtype=np.int64)
-    order = np.argsort(toks)
-    return toks[order], place[order]
+class Seen(set):
+    """Classes met in a task; starts anew when full, so that some may be met again."""
+
+    def first(self, c: int) -> bool:
+        if c in self:
+            return False
+        if len(self) >= MAX_KEPT:
+            self.clear()
+        self.add(c)
+        return True
 
 
-def rare_first(s: np.ndarray, toks: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The set's prefix: shingles outside the table by hash, then those of the table, most frequent last."""
-    n = prefix_length(len(s))
-    if not len(toks):
-        return s[:n]
-    at = np.minimum(np.searchsorted(toks, s), len(toks) - 1)
-    common = toks[at] == s
-    rare = s[~common]
-    if len(rare) >= n:
-        return rare[:n]
-    rest = s[common][np.argsort(place[at[common]], kind="stable")]
-    return np.concatenate([rare, rest])[:n]
+class Frequent:
+    """The most frequent shingles, sorted by hash, with how often each was counted."""
 
+    def __init__(self, toks: np.ndarray, times: np.ndarray):
+        self.toks, self.times = toks, times
 
-def shared_rare(docs: DataFrame, toks: np.ndarray, place: np.ndarray, width: int) -> DataFrame:
-    """Rows (tok, cls, n) for rare shingles that several classes hold."""
-    table = docs.sparkSession.sparkContext.broadcast((toks, place))
+    def rarest(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A set's prefix: shingles outside the table by hash, then those of the table, most frequent last; and which are common for sure."""
+        n = prefix_length(len(s))
+        if not len(self.toks):
+            return s[:n], np.zeros(n, bool)
+        at = np.minimum(np.searchsorted(self.toks, s), len(self.toks) - 1)
+        inside = self.toks[at] == s
+        rare, rest = s[~inside], s[inside]
+        times = self.times[at[inside]]
+        order = np.lexsort((rest, times))[: max(0, n - len(rare))]
+        return np.concatenate([rare[:n], rest[order]]), np.r_[np.zeros(min(n, len(rare)), bool), times[order] >= COMMON_AT]
+
+
+def frequent_table(counted: DataFrame) -> Frequent:
+    top = counted.where(F.col("tok").isNotNull()).groupBy("tok").agg(F.sum("times").alias("n")).where(F.col("n") >= FREQUENT_AT).orderBy(F.desc("n"), "tok").limit(FREQUENT).toArrow()
+    toks = top.column("tok").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(toks)
+    return Frequent(toks[order], top.column("n").to_numpy().astype(np.int64)[order])
+
+
+def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sizes are close enough for a link."""
+    return (5 * a.astype(np.int64) >= 4 * b.astype(np.int64)) & (4 * a.astype(np.int64) <= 5 * b.astype(np.int64))
+
+
+def counted_pairs(held: list[tuple]) -> pa.RecordBatch:
+    a, b, an, bn = (np.concatenate([h[i] for h in held]) for i in range(4))
+    order = np.lexsort((b, a))
+    a, b, an, bn = a[order], b[order], an[order], bn[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    times = np.diff(np.r_[first, len(a)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(an[first]), pa.array(times), pa.nulls(len(first), pa.int64())], names=["a", "b", "an", "times", "tok"])
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of tok, cls: pairs (a, b, times) of a token's few holders, or (tok, a, an) for each of more."""
+    carry, told, held, total = None, False, [], 0
+
+    def process(tok, cls, n, salt, told: bool, last: bool):
+        """Emit the runs that are complete; returns (pairs, rows of common tokens, carry, told)."""
+        first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+        size = np.diff(np.r_[first, len(tok)])
+        common = (size > FEW) | (salt[first] > 0)
+        common[0] |= told
+        pairs = []
+        closed = np.ones(len(first), bool)
+        closed[-1] = last
+        for k in range(2, FEW + 1):
+            at = first[(size == k) & ~common & closed]
+            for i in range(k) if len(at) else ():
+                for j in range(i + 1, k):
+                    x, y = at + i, at + j
+                    ok = agree(n[x], n[y])
+                    if ok.any():
+                        pairs.append((cls[x[ok]], cls[y[ok]], n[x[ok]], n[y[ok]]))
+        send = np.repeat(common, size)
+        if told:
+            send[0] = False
+        rows = tok[send], cls[send], n[send]
+        if last:
+            return pairs, rows, None, False
+        if common[-1]:
+            return pairs, rows, tuple(x[-1:] for x in (tok, cls, n, salt)), True
+        return pairs, rows, tuple(x[first[-1] :] for x in (tok, cls, n, salt)), False
+
+    def batch(rows) -> pa.RecordBatch:
+        tok, cls, n = rows
+        k = len(tok)
+        return pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(k, pa.int64()), pa.array(n), pa.nulls(k, pa.int32()), pa.array(tok)], names=["a", "b", "an", "times", "tok"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = tuple(b.column(c).to_numpy() for c in ("tok", "cls", "n", "salt"))
+        if carry is not None:
+            x = tuple(np.r_[p, q] for p, q in zip(carry, x))
+        new = np.r_[True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])]
+        pairs, rows, carry, told = process(*(v[new] for v in x), told, False)
+        if len(rows[0]):
+            yield batch(rows)
+        held += pairs
+        total += sum(len(p[0]) for p in pairs)
+        if total >= PAIRS:
+            yield counted_pairs(held)
+            held, total = [], 0
+    if carry is not None and not told:
+        pairs, rows, _, _ = process(*carry, False, True)
+        if len(rows[0]):
+            yield batch(rows)
+        held += pairs
+    if held:
+        yield counted_pairs(held)
+
+
+def met(docs: DataFrame, frequent: Frequent, width: int) -> DataFrame:
+    """Rows (a, b, times) for pairs of classes that share rare shingles of few holders, and (tok, a, an) for holders of common ones.
+
+    A pair may come several times. A shingle known to be common is dealt over several tasks, as its holders need not meet.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        own, places = table.value
+        hashes, seen, own = WordHashes(), Seen(), table.value
         for b in batches:
-            found, classes, sizes = [], [], []
+            found, held = [], 0
+
+            def out() -> pa.RecordBatch:
+                sizes = [len(f[0]) for f in found]
+                cls = np.repeat(np.array([f[2] for f in found], np.int64), sizes)
+                n = np.repeat(np.array([f[3] for f in found], np.int32), sizes)
+                salt = np.where(np.concatenate([f[1] for f in found]), 1 + cls % SALTS, 0).astype(np.int32)
+                return pa.RecordBatch.from_arrays([signed(np.concatenate([f[0] for f in found])), pa.array(cls), pa.array(n), pa.array(salt)], names=["tok", "cls", "n", "salt"])
+
             for t in b.column("text"):
                 s = shingles(t.as_py(), hashes, width)
-                if len(s) < SHARED or (c := class_of(s)) in seen:
+                if len(s) < SHARED or not seen.first(c := class_of(s)):
                     continue
-                seen.add(c)
-                p = rare_first(s, own, places)
-                found.append(p)
-                classes.append(np.full(len(p), c, np.int64))
-                sizes.append(np.full(len(p), len(s), np.int32))
+                found.append((*own.rarest(s), c, len(s)))
+                held += 8 * len(found[-1][0])
+                if held >= FLUSH:
+                    yield out()
+                    found, held = [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names=["tok", "cls", "n"])
+                yield out()
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of tok, cls: keeps one row of each, for runs of a token with more than one class."""
-        carry = None  # the last row, and whether it has been sent
-        for b in batches:
-            tok, cls, n = (b.column(c).to_numpy() for c in ("tok", "cls", "n"))
-            if not len(tok):
-                continue
-            if carry is not None:
-                tok, cls, n = (np.r_[x, y] for x, y in zip(carry[:3], (tok, cls, n)))
-            new = np.r_[True, (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])]
-            done = carry is not None and carry[3]
-            tok, cls, n = tok[new], cls[new], n[new]
-            same = tok[1:] == tok[:-1]
-            send = np.r_[False, same] | np.r_[same, False]
-            last = bool(send[-1]) or (done and len(tok) == 1)
-            if done:
-                send[0] = False
-            carry = (tok[-1:], cls[-1:], n[-1:], last)
-            if send.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[send]) for x in (tok, cls, n)], names=["tok", "cls", "n"])
-
-    rows = docs.mapInArrow(prefixes, "tok long, cls long, n int")
-    return rows.repartition("tok").sortWithinPartitions("tok", "cls").mapInArrow(several, "tok long, cls long, n int")
+    rows = docs.mapInArrow(prefixes, "tok long, cls long, n int, salt int")
+    return rows.repartition("tok", "salt").sortWithinPartitions("tok", "cls").mapInArrow(meetings, "a long, b long, an int, times int, tok long")
 
 
 def leaders(shared: DataFrame, least: int = SHARED) -> DataFrame:
@@ -247,18 +337,27 @@ def sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(needed_filter(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, own = WordHashes(), set(), bits.value
+        hashes, seen, own = WordHashes(), Seen(), bits.value
         for b in batches:
-            rows = []
+            rows, held = [], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["cls", "n", "bag"])
+
             for t in b.column("text"):
                 s = shingles(t.as_py(), hashes, width)
-                if not len(s) or (c := class_of(s)) in seen:
+                if not len(s):
                     continue
+                c = class_of(s)
                 bit = (c % (1 << 64)) % FILTER_BITS
-                if own[bit >> 3] >> (bit & 7) & 1:
-                    seen.add(c)
+                if own[bit >> 3] >> (bit & 7) & 1 and seen.first(c):
                     rows.append((c, len(s), packed(s)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["cls", "n", "bag"])
+                    held += len(rows[-1][2])
+                    if held >= FLUSH:
+                        yield out()
+                        rows, held = [], 0
+            if rows:
+                yield out()
 
     return docs.mapInArrow(run, "cls long, n int, bag binary")
 
@@ -274,21 +373,21 @@ def unpacked(bag: bytes) -> np.ndarray:
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) by exact intersection: an, bn (sizes), ok (similarity of 0.8 or more), rest (b's shingles outside a).
+    """Pairs (a, b, led) by exact intersection: an, bn (sizes), ok (similarity of 0.8 or more), rest (b's shingles outside a).
 
-    ``rest`` is kept where b is not smaller than a. A hot ``a`` is dealt in shares of about ``SHARE`` pairs, each with
-    a copy of its set.
+    ``rest`` is kept where a leads b and b is not smaller. A hot ``a`` is dealt in shares of about ``SHARE`` pairs, each
+    with a copy of its set.
     """
     shares = pairs.groupBy("a").agg(F.count("*").alias("c")).select(F.col("a").alias("sa"), F.ceil(F.col("c") / SHARE).cast("int").alias("shares"))
-    one = shares.join(sets, F.col("sa") == F.col("cls")).select(F.col("sa").alias("a"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("b"), "bag")
-    other = pairs.join(shares, F.col("a") == F.col("sa")).join(sets, F.col("b") == F.col("cls")).select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("side"), "b", "bag")
+    one = shares.join(sets, F.col("sa") == F.col("cls")).select(F.col("sa").alias("a"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("b"), F.lit(False).alias("led"), "bag")
+    other = pairs.join(shares, F.col("a") == F.col("sa")).join(sets, F.col("b") == F.col("cls")).select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("side"), "b", "led", "bag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, np.empty(0, np.int64)
         for batch in batches:
             out: list[tuple] = []
-            for a, side, b, bag in zip(*(batch.column(c) for c in ("a", "side", "b", "bag"))):
-                a = a.as_py()
+            for a, side, b, led, bag in zip(*(batch.column(c) for c in ("a", "side", "b", "led", "bag"))):
+                a, led = a.as_py(), led.as_py()
                 s = unpacked(bag.as_py())
                 if side.as_py() == 0:
                     held, own = a, s
@@ -298,12 +397,12 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(own, s), len(own) - 1)
                 inside = own[at] == s
                 both = int(inside.sum())
-                out.append((a, b.as_py(), len(own), len(s), 100 * both >= 80 * (len(s) + len(own) - both), s[~inside].tobytes() if len(s) >= len(own) else b""))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["a", "b", "an", "bn", "ok", "rest"])
+                out.append((a, b.as_py(), led, len(own), len(s), 100 * both >= 80 * (len(s) + len(own) - both), s[~inside].tobytes() if led and len(s) >= len(own) else b""))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["a", "b", "led", "an", "bn", "ok", "rest"])
 
     rows = one.unionByName(other).repartition("a", "share").sortWithinPartitions("a", "share", "side")
-    return rows.mapInArrow(run, "a long, b long, an int, bn int, ok boolean, rest binary")
+    return rows.mapInArrow(run, "a long, b long, led boolean, an int, bn int, ok boolean, rest binary")
 
 
 def outside(tests: DataFrame) -> DataFrame:
@@ -316,7 +415,7 @@ def outside(tests: DataFrame) -> DataFrame:
             if sum(sizes):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in ("a", "b", "bn")] + [pa.array(np.concatenate(bags))], names=["a", "cls", "n", "t"])
 
-    rows = tests.where("bn >= an").select("a", "b", "bn", "rest").mapInArrow(run, "a long, cls long, n int, t long")
+    rows = tests.where("led and bn >= an").select("a", "b", "bn", "rest").mapInArrow(run, "a long, cls long, n int, t long")
     return rows.select(F.xxhash64("a", "t").alias("tok"), "cls", "n")
 
 
@@ -364,8 +463,13 @@ def components_of(links: DataFrame) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("g"))
 
 
-def named_in(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def either_way(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+
+
+def less(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """``pairs`` without those of ``done`` (x, y), whichever way round."""
+    return pairs.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -375,37 +479,38 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Per row, beside what ``components`` gives: h (its text's hash) and c (its component's own number, null for an empty text)."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counted = materialise(census(texts, width), "census")
-    toks, place = frequent_table(counted)
-    shared = materialise(shared_rare(texts, toks, place, width), "rare")
-    sweep(spark)
-    first = materialise(leaders(shared), "pairs")
-    # A class found by several tasks has a row of each: links may come twice, and bounds be larger than need be.
-    sets = materialise(sets_of(texts, named_in(first), width), "sets")
+    found = materialise(met(texts, frequent_table(counted), width), "met")
+    # Common shingles of classes that have enough of them, and pairs by shingles of few holders.
+    held = apart(found.where(F.col("tok").isNotNull()).select("tok", F.col("a").alias("cls"), F.col("an").alias("n")), "tok", "cls")
+    heat = held.groupBy("cls").agg(F.count("*").cast("int").alias("heat"))
+    hot = materialise(held.join(heat.where(F.col("heat") >= SHARED).select("cls"), "cls", "left_semi"), "hot")
+    times = found.where(F.col("tok").isNull()).groupBy("a", "b").agg(F.sum("times").alias("times"))
+    hottest = [heat.select(F.col("cls").alias(c), F.col("heat").alias(f"heat_{c}")) for c in ("a", "b")]
+    reach = F.col("times") + F.least(F.coalesce("heat_a", F.lit(0)), F.coalesce("heat_b", F.lit(0)))
+    opened = times.join(hottest[0], "a", "left").join(hottest[1], "b", "left").where(reach >= SHARED).select("a", "b")
+    lead = materialise(leaders(hot), "pairs")
+    opened = materialise(less(opened, either_way(lead)), "pairs")
+    first = lead.withColumn("led", F.lit(True)).unionByName(opened.withColumn("led", F.lit(False)))
+    wanted = first.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
+    sets = materialise(sets_of(texts, wanted, width).dropDuplicates(["cls"]), "sets")
     tests = materialise(checked(first, sets), "tests")
-    sweep(spark)
-    groups = components_of(links_of(tests))
-    sweep(spark)
+    links = links_of(tests)
+    groups = components_of(links)
     # Classes of one leader, on what they have outside it: leaders first, then the pairs left.
-    rests = materialise(outside(tests), "outside")
-    own = materialise(apart(grouped(rests, groups), "tok", "g"), "own")
-    sweep(spark)
-    within = materialise(leaders(own, 1), "pairs")
+    own = materialise(apart(grouped(outside(tests), groups), "tok", "g"), "own")
+    within = materialise(less(leaders(own, 1), either_way(first)).withColumn("led", F.lit(False)), "pairs")
     more = materialise(checked(within, sets), "tests")
-    links = links_of(tests).unionByName(links_of(more))
-    sweep(spark)
+    links = links.unionByName(links_of(more))
     groups = components_of(links)
     still = apart(grouped(own.drop("g"), groups), "tok", "g").select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
     same_size = (5 * F.col("an") >= 4 * F.col("n")) & (4 * F.col("an") <= 5 * F.col("n"))
     beside = still.join(still.select("tok", F.col("a").alias("b"), F.col("an").alias("n"), F.col("ag").alias("bg")), "tok").where((F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & same_size).select("a", "b").distinct()
-    # Classes of different leaders, on rare shingles.
-    leader = tests.where("bn >= an").select(F.col("b").alias("cls"), F.col("a").alias("p"))
-    placed = grouped(shared, groups).join(leader, "cls", "left").withColumn("p", F.coalesce("p", "cls"))
+    # Classes of different leaders, on common shingles: rows of the matrix.
+    leader = tests.where("led and bn >= an").select(F.col("b").alias("cls"), F.col("a").alias("p"))
+    placed = grouped(hot, groups).join(leader, "cls", "left").withColumn("p", F.coalesce("p", "cls"))
     rows = materialise(apart(placed, "tok", "g", "p"), "placed")
-    sweep(spark)
-    drop(shared)
     by_group = rows.groupBy("tok", "g", "p").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     asked = rows.select("tok", F.col("cls").alias("q"), "n", F.col("g").alias("own_g"), F.col("p").alias("own_p"))
     fits = (F.col("own_g") > F.col("g")) & (F.col("own_p") != F.col("p")) & (5 * F.col("most") >= 4 * F.col("n")) & (4 * F.col("least") <= 5 * F.col("n"))
@@ -413,53 +518,50 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     # A group may spread over several leaders; what the class shares with the group is at most the sum.
     whole = near.groupBy("q", "n", "g").agg(F.min("least").alias("least"), F.sum("c").alias("c")).where(F.col("c") >= SHARED)
     candidates = materialise(whole.drop("c"), "candidates")
-    sweep(spark)
-    # Members that share enough rare shingles with a class and agree in size, but for pairs already checked.
+    # Members that share enough common shingles with a class and agree in size, but for pairs already checked.
     member = rows.select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), "g", "p")
     asks = rows.select("tok", F.col("cls").alias("q"), F.col("p").alias("own_p")).join(candidates, "q")
-    met = asks.join(member, ["tok", "g"]).where(same_size & (F.col("p") != F.col("own_p")))
-    pairs = met.groupBy("a", F.col("q").alias("b"), "g").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).drop("c")
-    done = first.unionByName(within)
-    done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    beside = materialise(beside.join(done, ["a", "b"], "left_anti"), "pairs")
-    sweep(spark)
-    missing = named_in(pairs).join(sets.select("cls"), "cls", "left_anti")
+    shared = asks.join(member, ["tok", "g"]).where(same_size & (F.col("p") != F.col("own_p")))
+    pairs = shared.groupBy("a", F.col("q").alias("b"), "g").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).drop("c")
+    done = either_way(first.unionByName(within))
+    pairs = materialise(less(pairs, done), "pairs")
+    beside = materialise(less(beside, done), "pairs")
+    # A group of one is its own union: its check is the exact one.
     wide = candidates.join(pairs.select(F.col("b").alias("q"), "g").distinct(), ["q", "g"], "left_semi").join(groups.select("g").distinct(), "g", "left_semi")
     unions = groups.join(wide.select("g").distinct(), "g", "left_semi")
-    if not missing.isEmpty():
-        # Few as a rule: one row of each is found by its id, so most texts are not hashed again.
-        ids = counted.join(missing, "cls").groupBy("cls").agg(F.min("doc_id").alias("id")).select("id")
-        some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        others = materialise(sets_of(some, missing, width), "sets")
-        every = sets.unionByName(others.join(sets.select("cls"), "cls", "left_anti"))
-    else:
-        every = sets
-    # A group of one is its own union: its check is the exact one.
-    shut = wide.select("q", "g").join(bounded(wide, unions, every).select("q", "g"), ["q", "g"], "left_anti").withColumnRenamed("q", "b")
-    last = materialise(checked(pairs.join(shut, ["b", "g"], "left_anti").select("a", "b").unionByName(beside).distinct(), every), "tests")
-    sweep(spark)
-    final = groups if last.where("ok").isEmpty() else components_of(links.unionByName(links_of(last)))
+    shut = wide.select("q", "g").join(bounded(wide, unions, sets).select("q", "g"), ["q", "g"], "left_anti").withColumnRenamed("q", "b")
+    last = pairs.join(shut, ["b", "g"], "left_anti").select("a", "b").unionByName(beside).distinct()
+    tests_left = materialise(checked(last.withColumn("led", F.lit(False)), sets), "tests")
+    final = groups if tests_left.where("ok").isEmpty() else components_of(links.unionByName(links_of(tests_left)))
     final = final.select(F.col("cls").alias("node"), F.col("g").alias("component"))
     thin = counted.where(F.col("n").isNotNull()).select("doc_id", "h", "n", "cls")
     named = thin.join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "h", "n", F.coalesce("component", "cls").alias("c"))
     smallest = named.where(F.col("c").isNotNull()).groupBy(F.col("c").alias("k")).agg(F.min("doc_id").alias("m"))
     out = named.join(smallest, F.col("c") == F.col("k"), "left").select("doc_id", "h", "c", F.col("n").cast("long").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
     result = materialise(out, "components")
-    for used in (counted, first, sets, tests, rests, own, within, more, rows, candidates, pairs, beside, last):
+    for used in (counted, found, hot, lead, opened, sets, tests, own, within, more, rows, candidates, pairs, beside, tests_left, final):
         drop(used)
     return result
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each component (the smallest id; one row of it). Empty texts are in none.
-
-    A row is known by its id and its text's hash, since ids may be null or stand for several texts."""
-    found = labelled(docs, id_col, text_col)
-    first = found.where(F.col("c").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("c", "doc_id").agg(F.min("h").alias("h"))
-    empty = found.where(F.col("c").isNull()).select("doc_id", "h").distinct()
-    keys = first.select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_h"), F.lit(False).alias("_empty"))
-    keys = keys.unionByName(empty.select(F.col("doc_id").alias("_kept_id"), F.col("h").alias("_kept_h"), F.lit(True).alias("_empty")))
-    rows = docs.withColumn("_h", F.xxhash64(text_col)).join(keys, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_h") == F.col("_kept_h")))
-    single = rows.withColumn("_row", F.when(F.col("_empty"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
-    return single.dropDuplicates([id_col, "_h", "_row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` without all but one of each component (of its smallest id, one row). Empty texts are in none.
+
+    A row is known by its id and its text's hash, since ids may be null or stand for several texts; rows alike in both
+    are copies of each other. Texts move once, to meet the keys of the rows that go; only rows alike in id and text,
+    where there are any, move again."""
+    found = labelled(docs, id_col, text_col).where(F.col("c").isNotNull())
+    rows = found.groupBy("c", "component_id", "doc_id", "h").agg(F.count("*").alias("times"))
+    # The key that stays: of the smallest id (of a null one if there is no other), the smallest hash.
+    stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("c").agg(F.min("h").alias("kept"))
+    judged = rows.join(stays, "c").select("doc_id", "h", "times", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("kept"))).alias("stays"))
+    judged = materialise(judged.where(~F.col("stays") | (F.col("times") > 1)), "judged")
+    keyed = docs.withColumn("_h", F.xxhash64(text_col)).withColumn("_k", F.xxhash64(F.col(id_col), F.col("_h")))
+    keys = judged.select(F.xxhash64("doc_id", "h").alias("_key"), F.col("doc_id").alias("_key_id"), F.col("h").alias("_key_h"), F.col("stays").alias("_stays"))
+    same = (F.col("_k") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_key_id")) & (F.col("_h") == F.col("_key_h"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = keyed.join(keys, same, "left_anti").select(*columns)
+    if not judged.where("stays").isEmpty():
+        again = keyed.join(keys.where("_stays"), same, "left_semi").dropDuplicates([id_col, "_h"]).select(*columns)
+        out = out.unionByName(again)
+    return out
