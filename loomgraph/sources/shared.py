@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -35,9 +34,3 @@ def drop(df: DataFrame) -> None:
     for f in df.inputFiles()[:1]:
         path = sc._jvm.org.apache.hadoop.fs.Path(f).getParent()
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are out of use."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
