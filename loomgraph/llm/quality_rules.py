@@ -1,13 +1,21 @@
 """Quality rules by weak supervision, with SQL functions only.
 
-Seven rules look at a document's counts. Each votes good (1) or bad (-1), or abstains (0). Nothing
-says how far a rule can be trusted, so expectation-maximisation estimates, over the vote patterns of
-all documents, each rule's vote rates among good and bad documents; a document's verdict is its
-posterior probability of being good. There are at most 3**7 patterns however many documents there
-are, so the iteration runs on a table of bounded size.
-
-Defined results: a null text has no words and fails the base rules; an empty table gives an empty
-result; repeated rows are judged one by one; columns other than the two named are ignored.
+Ten rules look at a document's counts. Each votes good (1) or bad (-1), or abstains (0). Nothing says how far
+a rule can be trusted, so expectation-maximisation estimates, over the vote patterns of all documents, each
+rule's rate of bad votes among good documents (its false alarms) and among bad ones (its power); a document's
+verdict is its posterior probability of being good. There are at most 3**10 patterns however many documents
+there are, so the iteration runs on a table of bounded size.
+
+Good documents are one class, in which rules err independently. Bad ones are a mixture of at most ``MODES``
+kinds, since rules that look at the same fault (symbols and words without letters, capitals and exclamations)
+fail together and would otherwise be counted as independent, and faults that have no rule in common would be
+taken for two classes of their own. The iteration starts from the patterns in which two rules or more agree
+that something is wrong; a single bad vote starts as a false alarm. From there on the data decides: all rates
+have the same flat prior (one vote each way), and no rate or share is held or bounded.
+
+Defined results: a null text has no words and fails the base rules; documents of fewer than ``MIN_WORDS`` words,
+which fail them too, have abstentions only; an empty table gives an empty result; repeated rows are judged one by
+one; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +32,11 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Where the iteration starts, counting as ``PRIOR_DOCS`` documents of each class against the data: the share of
-#: good documents, and the rate of bad votes among votes of a good document, of the rule whose mode a bad
-#: document is in, and of another rule on it.
-START_GOOD = 0.85
-START_FALSE, START_OWN, START_OTHER = 0.002, 0.95, 0.05
-PRIOR_DOCS = 20.0
-#: A mode is known by its rule, which gives at least this rate of bad votes in it.
-LEAST_OWN = 0.5
-ITERATIONS = 40
+#: Kinds of bad documents that are told apart at most; patterns of rarer kinds go to the nearest.
+MODES = 8
+ITERATIONS = 200
 KEEP_AT = 0.5
-RULES = ("word_length", "symbols", "lines", "repeats", "capitals", "digits", "exclamations")
+RULES = ("word_length", "symbols", "lines", "repeats", "capitals", "digits", "exclamations", "stops", "letters", "variety")
 
 
 def repeat_words(words: Column, width: int = WINDOW) -> Column:
@@ -91,6 +93,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         count_chars(F.col("t"), r"\p{Lu}").cast("long").alias("n_upper"),
         count_chars(F.col("t"), "[0-9]").cast("long").alias("n_digits"),
         count_chars(F.col("t"), "!").cast("long").alias("n_bangs"),
+        count_chars(F.col("t"), "[.?!]").cast("long").alias("n_stops"),
+        F.size(F.filter("w", lambda x: F.rlike(x, F.lit(r"\p{L}")))).cast("long").alias("n_lettered"),
+        F.size(F.array_distinct(F.transform("w", lambda x: F.lower(x)))).cast("long").alias("n_distinct"),
     ).select("*", F.col("l.n").cast("long").alias("n_lines"), F.col("l.dup").cast("long").alias("n_dup_lines")).drop("l")
 
 
@@ -101,55 +106,84 @@ def votes() -> dict[str, Column]:
         v = F.when(bad, -1).when(good, 1).otherwise(0)
         return v if applies is None else F.when(applies, v).otherwise(0)
 
-    some = nw > 0
+    some = nw >= MIN_WORDS
+    variety = F.log1p(c("n_distinct")) / F.log1p(nw)
     return {
-        "word_length": rule((c("word_chars") > 14 * nw) | (2 * c("word_chars") < 5 * nw), (c("word_chars") <= 10 * nw) & (c("word_chars") >= 3 * nw), some),
+        "word_length": rule((c("word_chars") > 7 * nw) | (10 * c("word_chars") < 33 * nw), (10 * c("word_chars") <= 62 * nw) & (10 * c("word_chars") >= 38 * nw), some),
         "symbols": rule(10 * c("n_symbols") > nw, 50 * c("n_symbols") <= nw, some),
-        "lines": rule(10 * c("n_dup_lines") > 4 * c("n_lines"), 5 * c("n_dup_lines") <= c("n_lines"), c("n_lines") > 2),
-        "repeats": rule(5 * c("n_repeat_words") > nw, 50 * c("n_repeat_words") <= nw, nw >= 2 * WINDOW),
+        "lines": rule(10 * c("n_dup_lines") > 4 * c("n_lines"), 5 * c("n_dup_lines") <= c("n_lines"), some & (c("n_lines") > 2)),
+        "repeats": rule(5 * c("n_repeat_words") > nw, 50 * c("n_repeat_words") <= nw, some),
         "capitals": rule(10 * c("n_upper") > 3 * c("word_chars"), 20 * c("n_upper") <= 3 * c("word_chars"), some),
-        "digits": rule(5 * c("n_digits") > c("word_chars"), 20 * c("n_digits") <= c("word_chars"), some),
+        "digits": rule(10 * c("n_digits") > c("word_chars"), 50 * c("n_digits") <= c("word_chars"), some),
         "exclamations": rule(4 * c("n_bangs") > nw, 20 * c("n_bangs") <= nw, some),
+        "stops": rule((2 * c("n_stops") > nw) | (100 * c("n_stops") < nw), (4 * c("n_stops") <= nw) & (50 * c("n_stops") >= nw), some),
+        "letters": rule(5 * c("n_lettered") < 4 * nw, 10 * c("n_lettered") >= 9 * nw, some),
+        "variety": rule(variety < 0.8, variety >= 0.9, some),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> tuple[list[float], list[list[float]]]:
+Patterns = list[tuple[tuple[int, ...], int]]
+
+
+def kinds(patterns: Patterns, modes: int = MODES) -> list[tuple[bool, ...]]:
+    """The most frequent sets of two rules or more that vote bad together."""
+    held: dict[tuple[bool, ...], int] = {}
+    for vote, n in patterns:
+        against = tuple(v < 0 for v in vote)
+        if sum(against) > 1:
+            held[against] = held.get(against, 0) + n
+    return sorted(held, key=lambda k: (-held[k], k))[:modes]
+
+
+def fit(patterns: Patterns, iterations: int = ITERATIONS, modes: int = MODES) -> tuple[list[float], list[list[float]]]:
     """Expectation-maximisation over (votes, documents) rows: each class's share, and each rule's rate of bad votes in it.
 
-    Class 0 is good; class j + 1 holds the documents that are bad in the way that rule j is about. Modes keep
-    rules that often agree, such as those on capitals and exclamations, from being counted as independent
-    witnesses for documents that other rules catch. Abstaining is no evidence.
+    Class 0 is good, the others are kinds of bad. Abstaining is no evidence.
     """
-    k = len(RULES)
-    first = [[START_FALSE] * k] + [[START_OWN if i == j else START_OTHER for i in range(k)] for j in range(k)]
-    shares, rates = [START_GOOD] + [(1 - START_GOOD) / k] * k, [list(r) for r in first]
+    starts = kinds(patterns, modes)
+    k = len(starts) + 1
+    rules = len(patterns[0][0]) if patterns else len(RULES)
+    belief = []
+    for vote, _ in patterns:
+        against = tuple(v < 0 for v in vote)
+        near = min(range(1, k), key=lambda c: (sum(x != y for x, y in zip(starts[c - 1], against)), c)) if sum(against) > 1 else 0
+        belief.append([float(c == near) for c in range(k)])
+    shares, rates = [1.0], [[0.5] * rules]
     for _ in range(iterations):
-        mass = [PRIOR_DOCS * START_GOOD * k] + [PRIOR_DOCS * (1 - START_GOOD)] * k
-        voted = [[PRIOR_DOCS] * k for _ in range(k + 1)]
-        against = [[PRIOR_DOCS * r for r in row] for row in first]
-        for vote, n in patterns:
-            for c, p in enumerate(classes(vote, shares, rates)):
-                mass[c] += n * p
-                for j, v in enumerate(vote):
-                    if v:
-                        voted[c][j] += n * p
-                        against[c][j] += n * p * (v < 0)
+        mass, voted, against = [1.0] * k, [[2.0] * rules for _ in range(k)], [[1.0] * rules for _ in range(k)]
+        for (vote, n), held in zip(patterns, belief):
+            for c, p in enumerate(held):
+                if p:
+                    mass[c] += n * p
+                    for j, v in enumerate(vote):
+                        if v:
+                            voted[c][j] += n * p
+                            against[c][j] += n * p * (v < 0)
         shares = [m / sum(mass) for m in mass]
         rates = [[a / v for a, v in zip(x, y)] for x, y in zip(against, voted)]
-        for j in range(k):
-            rates[j + 1][j] = max(LEAST_OWN, rates[j + 1][j])
+        weights = evidence(shares, rates)
+        following = [posterior(vote, weights) for vote, _ in patterns]
+        settled = all(abs(x[0] - y[0]) < 1e-9 for x, y in zip(belief, following))
+        belief = following
+        if settled:
+            break
     return shares, rates
 
 
-def evidence(rate: float) -> dict[int, float]:
-    """What a vote adds to a class's log-likelihood."""
-    rate = min(1 - 1e-6, max(1e-6, rate))
-    return {1: math.log(1 - rate), 0: 0.0, -1: math.log(rate)}
+def accuracies(shares: list[float], rates: list[list[float]]) -> list[tuple[float, float]]:
+    """By rule: its rate of bad votes among good documents, and among all bad ones."""
+    bad = sum(shares[1:])
+    return [(good, sum(s * r for s, r in zip(shares[1:], own)) / bad if bad else 0.5) for good, *own in zip(*rates)]
+
+
+def evidence(shares: list[float], rates: list[list[float]]) -> list[tuple[float, list[dict[int, float]]]]:
+    """Of each class, its log share and what each rule's vote adds to its log-likelihood."""
+    return [(math.log(s), [{1: math.log(1 - r), 0: 0.0, -1: math.log(r)} for r in row]) for s, row in zip(shares, rates)]
 
 
-def classes(vote: tuple[int, ...], shares: list[float], rates: list[list[float]]) -> list[float]:
-    """Posterior of each class; the first is that of being good."""
-    z = [math.log(s) + sum(evidence(r)[v] for r, v in zip(row, vote)) for s, row in zip(shares, rates)]
+def posterior(vote: tuple[int, ...], weights: list[tuple[float, list[dict[int, float]]]]) -> list[float]:
+    """Of each class; the first is that of being good."""
+    z = [s + sum(e[v] for e, v in zip(row, vote)) for s, row in weights]
     top = max(z)
     e = [math.exp(x - top) for x in z]
     return [x / sum(e) for x in e]
@@ -162,12 +196,13 @@ def score(counted: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     patterns = [(tuple(r[n] for n in names), r["n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
     shares, rates = fit(patterns)
     likelihoods = []
-    for share, row in zip(shares, rates):
-        z = F.lit(math.log(share))
-        for name, r in zip(names, row):
-            e = evidence(r)
+    for share, row in evidence(shares, rates):
+        z = F.lit(share)
+        for name, e in zip(names, row):
             z = z + F.when(F.col(name) == 1, e[1]).when(F.col(name) == -1, e[-1]).otherwise(0.0)
-        likelihoods.append(F.exp(z))
+        likelihoods.append(z)
+    top = F.greatest(*likelihoods) if len(likelihoods) > 1 else likelihoods[0]
+    likelihoods = [F.exp(z - top) for z in likelihoods]
     total = likelihoods[0]
     for other in likelihoods[1:]:
         total = total + other

@@ -135,11 +135,39 @@ def test_quality_rules(docs, texts):
     assert quality_rules.judge(empty(docs)).count() == 0
 
 
-def test_weak_supervision_finds_each_way_of_being_bad():
-    good = (1,) * 7
-    rows = [(good, 3000), ((1, -1, 1, 1, 1, 1, 1), 200), ((1, 1, 1, -1, -1, 1, -1), 150), ((1, 1, 0, 0, 1, 1, 1), 100)]
+def good_share(rows):
+    weights = quality_rules.evidence(*quality_rules.fit(rows))
+    return [quality_rules.posterior(v, weights)[0] for v, _ in rows]
+
+
+def test_weak_supervision_recovers_planted_accuracies():
+    """Six rules that err independently, the last of which cries wolf on a third of the good documents."""
+    rng = random.Random(8)
+    false, power = [0.01, 0.02, 0.03, 0.05, 0.02, 0.33], [0.9, 0.8, 0.85, 0.7, 0.9, 0.6]
+    drawn = collections.Counter()
+    truth = collections.Counter()
+    for _ in range(40_000):
+        bad = rng.random() < 0.2
+        v = tuple(0 if rng.random() < 0.1 else -1 if rng.random() < r else 1 for r in (power if bad else false))
+        drawn[v] += 1
+        truth[v, bad] += 1
+    rows = sorted(drawn.items())
     shares, rates = quality_rules.fit(rows)
-    assert [quality_rules.classes(v, shares, rates)[0] > 0.5 for v, _ in rows] == [True, False, False, True]
+    assert abs(shares[0] - 0.8) < 0.03
+    for (f, p), want_f, want_p in zip(quality_rules.accuracies(shares, rates), false, power):
+        assert abs(f - want_f) < 0.03 and abs(p - want_p) < 0.06
+    kept = dict(zip((v for v, _ in rows), good_share(rows)))
+    assert sum(truth[v, kept[v] < 0.5] for v, _ in rows) >= 0.97 * 40_000
+    assert kept[1, 1, 1, 1, 1, -1] > 0.9 and kept[0, 1, 1, 1, 1, -1] > 0.9  # one vote of an inaccurate rule
+
+
+def test_weak_supervision_needs_rules_that_agree():
+    """Kinds of faults without a rule in common are all found; a vote that no other rule ever joins is a false alarm."""
+    good = (1,) * 10
+    with_ = lambda *bad: tuple(-1 if i in bad else 1 for i in range(10))
+    rows = [(good, 3000), (with_(1, 8), 200), (with_(3, 9), 150), (with_(4, 6, 7), 120), (with_(5), 60), ((0,) * 10, 50), (with_(1, 7, 8), 3)]
+    assert [p > 0.5 for p in good_share(rows)] == [True, False, False, False, True, True, False]
+    assert good_share([(good, 5), (with_(2), 1)])[1] > 0.5 and quality_rules.fit([])[0] == [1.0]
 
 
 def test_mixing_spends_the_budget(docs):
