@@ -429,6 +429,49 @@ def test_html_text(spark):
     assert html_text.extract_text(pages.where("false")).count() == 0
 
 
+def test_style_trees_alone_remove_what_repeats(spark):
+    """No element or class of these templates says what it is; branches repeat on their host, or on all hosts."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for host in range(4):
+        bar, note = " ".join(f"<i>{word()}</i>" for _ in range(5)), text(12)
+        for i in range(15 if host else 40):
+            body = [text(rng.randrange(8, 40)) for _ in range(rng.randrange(1, 6))]
+            page = f"<div class=a{host}><div class=x>{bar}</div><article><h2>{body[0]}</h2>" + "".join(f"<p>{b}" for b in body[1:]) + f"<div class=y>{note}</div></article><section><div class=z>Made with the same tool</div></section></div>"
+            rows.append((host * 100 + i, f"https://h{host}.example/{i}", page))
+            want[host * 100 + i] = "\n".join(body)
+    rows += [(900 + i, f"https://h0.example/copy{i}", rows[0][2]) for i in range(60)]  # copies of a page are no template
+    want |= {900 + i: want[0] for i in range(60)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages, marks=False).collect()}
+    assert got == want
+
+
+def test_notes_do_not_take_the_page(spark):
+    body = "<p>One two three four five</p><p>Six seven eight nine ten</p>"
+    kept = "One two three four five\nSix seven eight nine ten"
+    rows = [f"<div class='content-with-sidebar'><article>{body}</article></div>", f"<div class='layout no-sidebar'><div>{body}</div></div>", f"<div class='search-result-article'><main>{body}</main></div>", f"<article><div class='post share'>{body}</div></article>",
+            f"<div class=legal>{body}</div>", f"<form id=aspnetForm><div>{body}</div><input></form>", f"<article>{body}<div class=share>Tell</div></article><section class=comments><article class=comment><p>no</article></section>", f"<form><p>Search</form><article>{body}</article>"]
+    assert [html_text.extract(r, frozenset()) for r in rows] == [kept] * len(rows)
+
+
+def test_html_is_read_in_linear_time(spark):
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        html_text.extract("<div>" * n + "</section>" * n + "<p>" * n + "<li>" * n + "x", frozenset())
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.2
+    long = "<article>" + "".join(f"<p>w{i} &amp; more</p>" for i in range(50_000)) + "</article>"
+    odd = spark.createDataFrame([(None, "https://long.example/", long), (1, "no host", "<p>a"), (1, "no host", "<p>a"), (2, None, "<p>\t\n b \u00a0 c")], "page_id long, url string, html string")
+    got = sorted(((r["page_id"] or 0, r["text"].count("\n"), r["n_chars"]) for r in html_text.extract_text(odd).collect()))
+    assert got == [(0, 49_999, sum(len(f"w{i} & more") + 1 for i in range(50_000)) - 1), (1, 0, 1), (1, 0, 1), (2, 0, 3)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
