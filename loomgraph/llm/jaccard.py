@@ -4,12 +4,14 @@ Documents are sets of hashed 5-word shingles; two link when their Jaccard simila
 sets are one class from the start. The join is exact: no bucket, group or candidate list has a cap.
 
 1. Order. A table of the most frequent shingles (bounded in size; it orders, it does not decide) lets each
-   class keep its rarest ``n - ceil(0.8 n) + SHARED`` shingles. Classes that link share ``SHARED`` of those
-   under any order that all use (sets under four shingles link with equal sets only).
+   class keep a prefix of its rarest ``n - ceil(0.8 n) + SHARED`` shingles. Of a pair that links, one lies wholly
+   behind its prefix with no more than the rest of the larger set, so the prefixes share at least
+   ``ceil(4 (n + m) / 9)`` less that rest (``least_shared``): about 0.09 n of them for sets of one size.
 2. Columns of few. A rare shingle that at most ``FEW`` classes hold opens them at once: its holders that agree
    in size meet in pairs, which are at most ``FEW * (FEW - 1) / 2`` a shingle however large the corpus.
    Only shingles with more holders (common ones) need groups, and only classes that hold ``SHARED`` of them:
-   a pair that shares a rare shingle of few holders is among the pairs already.
+   a pair that shares a rare shingle of few holders is among the pairs already. Common shingles with the same
+   holders are one column, with their number as its weight.
 3. Groups. Of the classes that share a common shingle, the most central leads: the one with the largest part
    of its rare shingles common, as an original has whose copies each have changes of their own. Each class
    is checked exactly against the leader of most of its common shingles, in streams that hold one leader's
@@ -20,11 +22,11 @@ sets are one class from the start. The join is exact: no bucket, group or candid
    be within x's overlap with B, which is too small for sizes of at least B's; so x and y can link only if
    they share a shingle outside B. The checks emit those shingles; classes of one leader meet on them alone
    (again by leaders first), so copies with changes of their own never meet in pairs.
-5. Matrix. Rows (common shingle, group) with the sizes of the group's members. A class and another group
-   of another leader are a candidate if they share ``SHARED`` columns and agree in size; the groups' unions of
+5. Matrix. Rows (column, group) with the sizes of the group's members. A class and another group of another
+   leader are a candidate if the columns that they share weigh what a member of its sizes needs; the groups' unions of
    whole sets then bound the overlap with each of their members, and groups whose bound is under 0.8 stay closed.
-6. Opening. A class is checked exactly against those members of the groups left that share ``SHARED`` common
-   shingles with it. Components of all links are the result.
+6. Opening. A class is checked exactly against those members of the groups left that share enough columns
+   with it. Components of all links are the result.
 
 Sets are hashed with 64 bits (48 in the exact check), so a false answer has odds of about 1e-9 a pair.
 
@@ -40,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -198,13 +200,16 @@ def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (5 * a.astype(np.int64) >= 4 * b.astype(np.int64)) & (4 * a.astype(np.int64) <= 5 * b.astype(np.int64))
 
 
+MEETING = ["a", "b", "an", "bn", "times", "tok"]
+
+
 def counted_pairs(held: list[tuple]) -> pa.RecordBatch:
     a, b, an, bn = (np.concatenate([h[i] for h in held]) for i in range(4))
     order = np.lexsort((b, a))
     a, b, an, bn = a[order], b[order], an[order], bn[order]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     times = np.diff(np.r_[first, len(a)]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(an[first]), pa.array(times), pa.nulls(len(first), pa.int64())], names=["a", "b", "an", "times", "tok"])
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(an[first]), pa.array(bn[first]), pa.array(times), pa.nulls(len(first), pa.int64())], names=MEETING)
 
 
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +246,7 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch(rows) -> pa.RecordBatch:
         tok, cls, n = rows
         k = len(tok)
-        return pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(k, pa.int64()), pa.array(n), pa.nulls(k, pa.int32()), pa.array(tok)], names=["a", "b", "an", "times", "tok"])
+        return pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(k, pa.int64()), pa.array(n), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(tok)], names=MEETING)
 
     for b in batches:
         if not b.num_rows:
@@ -299,42 +304,62 @@ def met(docs: DataFrame, frequent: Frequent, width: int) -> DataFrame:
                 yield out()
 
     rows = docs.mapInArrow(prefixes, "tok long, cls long, n int, salt int")
-    return rows.repartition("tok", "salt").sortWithinPartitions("tok", "cls").mapInArrow(meetings, "a long, b long, an int, times int, tok long")
+    return rows.repartition("tok", "salt").sortWithinPartitions("tok", "cls").mapInArrow(meetings, "a long, b long, an int, bn int, times int, tok long")
+
+
+def behind(n: Column) -> Column:
+    """How many shingles of a set its prefix leaves out."""
+    return F.greatest(F.lit(0), F.floor((4 * n + 4) / 5).cast("int") - SHARED)
+
+
+def least_shared(n: Column, m: Column) -> Column:
+    """Shingles that the prefixes of sets of these sizes share at least if the sets link."""
+    return F.ceil(4 * (n + m) / 9).cast("int") - F.greatest(behind(n), behind(m))
+
 
+def columns_of(held: DataFrame) -> DataFrame:
+    """(tok, cls, n, w): one of all shingles that the same classes hold, two or more, with their number; held: (tok, cls, n)."""
+    # The holders' identity, from sums that tasks form before the shuffle.
+    of = held.groupBy("tok").agg(F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.count("*").alias("k")).where("k > 1")
+    one = of.groupBy("x", "y", "k").agg(F.min("tok").alias("tok"), F.count("*").cast("int").alias("w")).select("tok", "w")
+    return held.join(one, "tok")
 
-def leaders(shared: DataFrame, least: int = SHARED) -> DataFrame:
-    """Pairs (a, b): each class and the leader of most of its rare shingles, where they agree in size."""
-    n = F.col("n")
-    prefix = F.least(n, n - F.floor((4 * n + 4) / 5).cast("int") + SHARED)
-    central = shared.groupBy("cls").agg(F.count("*").alias("c"), F.max("n").alias("n")).select("cls", (F.col("c") * 1000 / prefix).cast("int").alias("central"))
-    top = shared.join(central, "cls").groupBy("tok").agg(F.max(F.struct("central", (-F.col("n")).alias("nn"), "cls")).alias("m")).select("tok", F.col("m.cls").alias("leader"), (-F.col("m.nn")).alias("leader_n"))
-    agree = (F.col("cls") != F.col("leader")) & (5 * F.col("leader_n") >= 4 * n) & (4 * F.col("leader_n") <= 5 * n)
-    led = shared.join(top, "tok").where(agree).groupBy("cls", "leader").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+
+def leaders(rows: DataFrame, enough: Column | None = None) -> DataFrame:
+    """Pairs (a, b): each class and the leader of most of its columns (tok, cls, n, w), where they agree in size and share enough."""
+    n, m = F.col("n"), F.col("leader_n")
+    central = rows.groupBy("cls").agg(F.sum("w").alias("c"), F.max("n").alias("n")).select("cls", (F.col("c") * 1000 / (n - behind(n))).cast("int").alias("central"))
+    top = rows.join(central, "cls").groupBy("tok").agg(F.max(F.struct("central", (-F.col("n")).alias("nn"), "cls")).alias("m")).select("tok", F.col("m.cls").alias("leader"), (-F.col("m.nn")).alias("leader_n"))
+    fits = (F.col("cls") != F.col("leader")) & (5 * m >= 4 * n) & (4 * m <= 5 * n)
+    led = rows.join(top, "tok").where(fits).groupBy("cls", "n", "leader", "leader_n").agg(F.sum("w").alias("c")).where(F.col("c") >= (least_shared(n, m) if enough is None else enough))
     best = led.groupBy("cls").agg(F.max(F.struct("c", "leader")).alias("m"))
     # Two classes may lead each other: one check is enough.
     pairs = best.select(F.greatest("m.leader", "cls").alias("x"), F.least("m.leader", "cls").alias("y"), F.col("m.leader").alias("a"), F.col("cls").alias("b"))
     return pairs.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
 
 
-def needed_filter(classes: DataFrame) -> np.ndarray:
-    """A bit filter of fixed size over class ids; it may let others pass."""
+def needed_filter(numbers: DataFrame) -> np.ndarray:
+    """A bit filter of fixed size over numbers (one column); it may let others pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits: set[int] = set()
         for b in batches:
-            c = b.column("cls").to_numpy().view(np.uint64)
+            c = b.column(0).to_numpy().view(np.uint64)
             bits.update((c % np.uint64(FILTER_BITS)).astype(np.int64).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(sorted(bits), pa.int64())], names=["bit"])
 
     filled = np.zeros(FILTER_BITS // 8, np.uint8)
-    packed = classes.mapInArrow(run, "bit long").groupBy((F.col("bit") / 8).cast("int").alias("byte")).agg(F.bit_or(F.expr("cast(shiftleft(1, cast(bit % 8 as int)) as int)")).alias("v")).toArrow()
+    packed = numbers.mapInArrow(run, "bit long").groupBy((F.col("bit") / 8).cast("int").alias("byte")).agg(F.bit_or(F.expr("cast(shiftleft(1, cast(bit % 8 as int)) as int)")).alias("v")).toArrow()
     filled[packed.column("byte").to_numpy()] = packed.column("v").to_numpy().astype(np.uint8)
     return filled
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """Rows (cls, n, bag): the sets of the classes named (and a few more), as 6 bytes a shingle in order."""
-    bits = docs.sparkSession.sparkContext.broadcast(needed_filter(classes))
+def sets_of(docs: DataFrame, counted: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """Rows (cls, n, bag): the sets of the classes named (and a few more), as 6 bytes a shingle in order.
+
+    Of each class one text is looked for by its hash, so most texts are not cut into shingles again."""
+    wanted = counted.join(classes, "cls").groupBy("cls").agg(F.min("h").alias("h")).select("h")
+    bits = docs.sparkSession.sparkContext.broadcast(needed_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, own = WordHashes(), Seen(), bits.value
@@ -344,13 +369,10 @@ def sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
             def out() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["cls", "n", "bag"])
 
-            for t in b.column("text"):
+            bit = (b.column("h").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+            for t in b.column("text").take(pa.array(np.flatnonzero(own[bit >> 3] >> (bit & 7) & 1))):
                 s = shingles(t.as_py(), hashes, width)
-                if not len(s):
-                    continue
-                c = class_of(s)
-                bit = (c % (1 << 64)) % FILTER_BITS
-                if own[bit >> 3] >> (bit & 7) & 1 and seen.first(c):
+                if len(s) and seen.first(c := class_of(s)):
                     rows.append((c, len(s), packed(s)))
                     held += len(rows[-1][2])
                     if held >= FLUSH:
@@ -359,7 +381,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
             if rows:
                 yield out()
 
-    return docs.mapInArrow(run, "cls long, n int, bag binary")
+    return docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(run, "cls long, n int, bag binary").dropDuplicates(["cls"])
 
 
 def packed(s: np.ndarray) -> bytes:
@@ -372,15 +394,17 @@ def unpacked(bag: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.int64)
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def checked(pairs: DataFrame, sets: DataFrame, many: bool = False) -> DataFrame:
     """Pairs (a, b, led) by exact intersection: an, bn (sizes), ok (similarity of 0.8 or more), rest (b's shingles outside a).
 
     ``rest`` is kept where a leads b and b is not smaller. A hot ``a`` is dealt in shares of about ``SHARE`` pairs, each
-    with a copy of its set.
+    with a copy of its set. ``many`` pairs move the sets to them in any case, so the plan is the same at every size.
     """
     shares = pairs.groupBy("a").agg(F.count("*").alias("c")).select(F.col("a").alias("sa"), F.ceil(F.col("c") / SHARE).cast("int").alias("shares"))
-    one = shares.join(sets, F.col("sa") == F.col("cls")).select(F.col("sa").alias("a"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("b"), F.lit(False).alias("led"), "bag")
-    other = pairs.join(shares, F.col("a") == F.col("sa")).join(sets, F.col("b") == F.col("cls")).select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("side"), "b", "led", "bag")
+    one = shares.select(F.col("sa").alias("cls"), F.col("sa").alias("a"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("b"), F.lit(False).alias("led"))
+    other = pairs.join(shares, F.col("a") == F.col("sa")).select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("side"), "b", "led")
+    asked = one.unionByName(other)
+    routed = (asked.hint("merge") if many else asked).join(sets.select("cls", "bag"), "cls").drop("cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, np.empty(0, np.int64)
@@ -401,7 +425,7 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["a", "b", "led", "an", "bn", "ok", "rest"])
 
-    rows = one.unionByName(other).repartition("a", "share").sortWithinPartitions("a", "share", "side")
+    rows = routed.repartition("a", "share").sortWithinPartitions("a", "share", "side")
     return rows.mapInArrow(run, "a long, b long, led boolean, an int, bn int, ok boolean, rest binary")
 
 
@@ -463,6 +487,10 @@ def components_of(links: DataFrame) -> DataFrame:
     return connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("g"))
 
 
+def named_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
 def either_way(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
 
@@ -483,24 +511,23 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     counted = materialise(census(texts, width), "census")
     found = materialise(met(texts, frequent_table(counted), width), "met")
     # Common shingles of classes that have enough of them, and pairs by shingles of few holders.
-    held = apart(found.where(F.col("tok").isNotNull()).select("tok", F.col("a").alias("cls"), F.col("an").alias("n")), "tok", "cls")
-    heat = held.groupBy("cls").agg(F.count("*").cast("int").alias("heat"))
+    held = materialise(columns_of(found.where(F.col("tok").isNotNull()).select("tok", F.col("a").alias("cls"), F.col("an").alias("n"))), "held")
+    heat = held.groupBy("cls").agg(F.sum("w").cast("int").alias("heat"))
     hot = materialise(held.join(heat.where(F.col("heat") >= SHARED).select("cls"), "cls", "left_semi"), "hot")
-    times = found.where(F.col("tok").isNull()).groupBy("a", "b").agg(F.sum("times").alias("times"))
+    times = found.where(F.col("tok").isNull()).groupBy("a", "b", "an", "bn").agg(F.sum("times").alias("times"))
     hottest = [heat.select(F.col("cls").alias(c), F.col("heat").alias(f"heat_{c}")) for c in ("a", "b")]
     reach = F.col("times") + F.least(F.coalesce("heat_a", F.lit(0)), F.coalesce("heat_b", F.lit(0)))
-    opened = times.join(hottest[0], "a", "left").join(hottest[1], "b", "left").where(reach >= SHARED).select("a", "b")
+    opened = times.join(hottest[0], "a", "left").join(hottest[1], "b", "left").where(reach >= least_shared(F.col("an"), F.col("bn"))).select("a", "b")
     lead = materialise(leaders(hot), "pairs")
     opened = materialise(less(opened, either_way(lead)), "pairs")
     first = lead.withColumn("led", F.lit(True)).unionByName(opened.withColumn("led", F.lit(False)))
-    wanted = first.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
-    sets = materialise(sets_of(texts, wanted, width).dropDuplicates(["cls"]), "sets")
-    tests = materialise(checked(first, sets), "tests")
+    sets = materialise(sets_of(texts, counted, named_in(first), width), "sets")
+    tests = materialise(checked(first, sets, many=True), "tests")
     links = links_of(tests)
     groups = components_of(links)
     # Classes of one leader, on what they have outside it: leaders first, then the pairs left.
     own = materialise(apart(grouped(outside(tests), groups), "tok", "g"), "own")
-    within = materialise(less(leaders(own, 1), either_way(first)).withColumn("led", F.lit(False)), "pairs")
+    within = materialise(less(leaders(own.withColumn("w", F.lit(1)), F.lit(1)), either_way(first)).withColumn("led", F.lit(False)), "pairs")
     more = materialise(checked(within, sets), "tests")
     links = links.unionByName(links_of(more))
     groups = components_of(links)
@@ -512,26 +539,32 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     placed = grouped(hot, groups).join(leader, "cls", "left").withColumn("p", F.coalesce("p", "cls"))
     rows = materialise(apart(placed, "tok", "g", "p"), "placed")
     by_group = rows.groupBy("tok", "g", "p").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = rows.select("tok", F.col("cls").alias("q"), "n", F.col("g").alias("own_g"), F.col("p").alias("own_p"))
+    asked = rows.select("tok", F.col("cls").alias("q"), "n", "w", F.col("g").alias("own_g"), F.col("p").alias("own_p"))
     fits = (F.col("own_g") > F.col("g")) & (F.col("own_p") != F.col("p")) & (5 * F.col("most") >= 4 * F.col("n")) & (4 * F.col("least") <= 5 * F.col("n"))
-    near = asked.join(by_group, "tok").where(fits).groupBy("q", "n", "own_p", "g", "p").agg(F.min("least").alias("least"), F.count("*").alias("c"))
+    near = asked.join(by_group, "tok").where(fits).groupBy("q", "n", "own_p", "g", "p").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("w").alias("c"))
     # A group may spread over several leaders; what the class shares with the group is at most the sum.
-    whole = near.groupBy("q", "n", "g").agg(F.min("least").alias("least"), F.sum("c").alias("c")).where(F.col("c") >= SHARED)
-    candidates = materialise(whole.drop("c"), "candidates")
+    whole = near.groupBy("q", "n", "g").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("c").alias("c"))
+    # What is needed grows up to the class's own size and falls behind it: the ends of the group's sizes need least.
+    n, small, large = F.col("n"), F.greatest("least", F.ceil(4 * F.col("n") / 5).cast("int")), F.least("most", F.floor(5 * F.col("n") / 4).cast("int"))
+    candidates = materialise(whole.where(F.col("c") >= F.least(least_shared(n, small), least_shared(n, large))).select("q", "n", "g", "least"), "candidates")
     # Members that share enough common shingles with a class and agree in size, but for pairs already checked.
     member = rows.select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), "g", "p")
-    asks = rows.select("tok", F.col("cls").alias("q"), F.col("p").alias("own_p")).join(candidates, "q")
+    asks = rows.select("tok", F.col("cls").alias("q"), "w", F.col("p").alias("own_p")).join(candidates, "q")
     shared = asks.join(member, ["tok", "g"]).where(same_size & (F.col("p") != F.col("own_p")))
-    pairs = shared.groupBy("a", F.col("q").alias("b"), "g").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).drop("c")
+    pairs = shared.groupBy("a", "an", F.col("q").alias("b"), "n", "g").agg(F.sum("w").alias("c")).where(F.col("c") >= least_shared(F.col("an"), F.col("n"))).select("a", "b", "g")
     done = either_way(first.unionByName(within))
     pairs = materialise(less(pairs, done), "pairs")
     beside = materialise(less(beside, done), "pairs")
+    # Common shingles alone bring classes in whose sets have not been needed so far.
+    new = named_in(pairs).join(sets.select("cls"), "cls", "left_anti")
+    others = materialise(sets_of(texts, counted, new, width), "sets")
+    every = sets.unionByName(others.join(sets.select("cls"), "cls", "left_anti"))
     # A group of one is its own union: its check is the exact one.
     wide = candidates.join(pairs.select(F.col("b").alias("q"), "g").distinct(), ["q", "g"], "left_semi").join(groups.select("g").distinct(), "g", "left_semi")
     unions = groups.join(wide.select("g").distinct(), "g", "left_semi")
-    shut = wide.select("q", "g").join(bounded(wide, unions, sets).select("q", "g"), ["q", "g"], "left_anti").withColumnRenamed("q", "b")
+    shut = wide.select("q", "g").join(bounded(wide, unions, every).select("q", "g"), ["q", "g"], "left_anti").withColumnRenamed("q", "b")
     last = pairs.join(shut, ["b", "g"], "left_anti").select("a", "b").unionByName(beside).distinct()
-    tests_left = materialise(checked(last.withColumn("led", F.lit(False)), sets), "tests")
+    tests_left = materialise(checked(last.withColumn("led", F.lit(False)), every), "tests")
     final = groups if tests_left.where("ok").isEmpty() else components_of(links.unionByName(links_of(tests_left)))
     final = final.select(F.col("cls").alias("node"), F.col("g").alias("component"))
     thin = counted.where(F.col("n").isNotNull()).select("doc_id", "h", "n", "cls")
@@ -539,7 +572,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     smallest = named.where(F.col("c").isNotNull()).groupBy(F.col("c").alias("k")).agg(F.min("doc_id").alias("m"))
     out = named.join(smallest, F.col("c") == F.col("k"), "left").select("doc_id", "h", "c", F.col("n").cast("long").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
     result = materialise(out, "components")
-    for used in (counted, found, hot, lead, opened, sets, tests, own, within, more, rows, candidates, pairs, beside, tests_left, final):
+    for used in (counted, found, held, hot, lead, opened, sets, others, tests, own, within, more, rows, candidates, pairs, beside, tests_left, final):
         drop(used)
     return result
 
