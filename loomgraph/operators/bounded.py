@@ -10,6 +10,20 @@ from ..functions.exprs import glob_matches, name_equals
 UNITS = ("module", "program", "interface", "package", "entity", "architecture", "vhdl_package", "class")
 
 
+#: Ids that are pushed down to a scan at most; more meet it in a join.
+PUSHED = 1_000
+
+
+def near(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` is among the ids (one column). A few are found first and pushed down to the scan, whose
+    files lie in their order; what is counted as more than ``PUSHED`` is met by a semi join."""
+    name = ids.columns[0]
+    few = [r[0] for r in ids.distinct().limit(PUSHED + 1).collect()]
+    if len(few) <= PUSHED:
+        return rows.where(F.col(column).isin(*few)) if few else rows.where(F.lit(False))
+    return rows.join(ids.select(F.col(name).alias("_near")).distinct(), F.col(column) == F.col("_near"), "left_semi")
+
+
 def of_kind(edges: DataFrame, *kinds: str) -> DataFrame:
     return edges.where(F.col("kind").isin(*kinds))
 
@@ -43,9 +57,8 @@ def find_module(nodes: DataFrame, edges: DataFrame, wanted: list[str]) -> DataFr
         hit = hit | name_equals(F.col("name"), F.col("language"), w)
     units = nodes.where((F.col("kind") == "module") & hit)
     ids = units.select(F.col("id").alias("unit"))
-    near = edges.where(F.col("kind").isin("declares", "instantiates"))
-    counts = child_counts(nodes, near.join(ids, near.src == ids.unit, "left_semi"))
-    uses = instance_counts(near.join(ids, near.dst == ids.unit, "left_semi"))
+    counts = child_counts(nodes, near(of_kind(edges, "declares"), "src", ids))
+    uses = instance_counts(near(of_kind(edges, "instantiates"), "dst", ids))
     zero = [F.coalesce(F.col(c), F.lit(0)).alias(n) for c, n in (("port_count", "port_count"), ("parameter_count", "parameter_count"), ("instances", "instantiation_count"))]
     return units.join(counts, units.id == counts.unit, "left").drop("unit").join(uses, units.id == uses.unit, "left").select("id", "kind", "name", "file", "line", "language", *zero)
 
@@ -65,7 +78,7 @@ def top_modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def who_instantiates(nodes: DataFrame, edges: DataFrame, wanted: str) -> DataFrame:
     """Instances of the units named, in any file."""
     units = nodes.where((F.col("kind") == "module") & name_equals(F.col("name"), F.col("language"), wanted)).select(F.col("id").alias("dst"), F.col("unresolved").alias("target_unresolved"))
-    uses = of_kind(edges, "instantiates").join(units, "dst").select("src", "confidence", "target_unresolved")
+    uses = near(of_kind(edges, "instantiates"), "dst", units.select("dst")).join(units, "dst").select("src", "confidence", "target_unresolved")
     sites = nodes.where(F.col("kind") == "instance")
     return sites.join(uses, sites.id == uses.src).select(F.col("id").alias("instance_id"), F.col("name").alias("instance_name"), "qualified_name", "file", "line", "confidence", "target_unresolved")
 
@@ -73,7 +86,7 @@ def who_instantiates(nodes: DataFrame, edges: DataFrame, wanted: str) -> DataFra
 def port_map(nodes: DataFrame, edges: DataFrame, wanted: str) -> DataFrame:
     """Ports of the units named, in the order of declaration (unknown places last)."""
     units = nodes.where((F.col("kind") == "module") & name_equals(F.col("name"), F.col("language"), wanted)).select(F.col("id").alias("unit_id"))
-    held = of_kind(edges, "declares").join(units, F.col("src") == F.col("unit_id")).select("unit_id", "dst")
+    held = near(of_kind(edges, "declares"), "src", units).select(F.col("src").alias("unit_id"), "dst")
     ports = nodes.where(F.col("kind") == "port")
     ranked = ports.join(held, ports.id == held.dst).select("unit_id", "id", "name", "idx", "line", "direction")
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy("unit_id").orderBy(F.col("idx").isNull(), "idx", "line", "name", "id")))
@@ -89,7 +102,7 @@ def bindings(nodes: DataFrame, edges: DataFrame, instance: str) -> DataFrame:
 def signal_sites(nodes: DataFrame, edges: DataFrame, kind: str, signal: str) -> DataFrame:
     """Processes that drive or read the signals named."""
     signals = nodes.where(F.col("kind").isin("signal", "port") & name_equals(F.col("name"), F.col("language"), signal)).select(F.col("id").alias("signal_id"), F.col("name").alias("signal"))
-    uses = of_kind(edges, kind).join(signals, F.col("dst") == F.col("signal_id")).select("signal_id", "signal", "src", "confidence")
+    uses = near(of_kind(edges, kind), "dst", signals.select("signal_id")).join(signals, F.col("dst") == F.col("signal_id")).select("signal_id", "signal", "src", "confidence")
     sites = nodes.where(F.col("kind") == "process")
     return sites.join(uses, sites.id == uses.src).select("signal_id", "signal", F.col("id").alias("site_id"), F.col("qualified_name").alias("site"), F.col("kind").alias("site_kind"), "file", "line", "confidence")
 

@@ -72,6 +72,27 @@ def bridged(nodes: DataFrame, edges: DataFrame, root: DataFrame) -> DataFrame:
     return writes.join(seen, "p").groupBy(F.col("out").alias("signal_id"), F.col("domain").alias("via_domain")).agg(F.countDistinct("p").alias("bridges"))
 
 
-def collapses(edges: DataFrame) -> DataFrame:
-    """Formals with actuals of two or more nets, which an alias component would make one domain."""
-    return of_kind(edges, "aliases").groupBy(F.col("src").alias("formal")).agg(F.countDistinct("dst").alias("nets")).where("nets > 1")
+def alias_pairs(connects: DataFrame, nets: DataFrame) -> DataFrame:
+    """(formal, actual) for every port that an instance binds to a plain net: its expression is the net's name.
+
+    connects: inst, formal, scope, expr_text. nets: scope, id, name. Expressions of more than a name are no aliases; VHDL's
+    names are stored in lower case, so an expression in other letters counts as well.
+    """
+    text = F.trim(F.coalesce("expr_text", F.lit("")))
+    bound = connects.select("scope", "formal", F.explode(F.array_distinct(F.array(text, F.lower(text)))).alias("name")).where("name <> ''")
+    return bound.join(nets.select("scope", "name", F.col("id").alias("actual")), ["scope", "name"]).select("formal", "actual").distinct()
+
+
+def collapses(pairs: DataFrame, domain_roots: DataFrame) -> DataFrame:
+    """(root, formal, nets): formals whose several actuals are one net only because they share the formal.
+
+    A formal has one node however often its module is instantiated, so different actuals are merged by it. The merge is
+    corroborated where formals bound to a single net, which merge nothing, join the actuals as well. Only components
+    whose root is a domain's (``domain_roots``: root) count, since any data port of a leaf used twice has several actuals.
+    """
+    single = pairs.groupBy("formal").agg(F.count("*").alias("n"), F.min("actual").alias("actual")).where("n = 1").select("formal", "actual")
+    everything = connected_components(pairs, "formal", "actual")
+    sure = connected_components(single, "formal", "actual")
+    apart = pairs.join(sure, F.col("actual") == F.col("node"), "left").groupBy("formal").agg(F.count("*").alias("nets"), F.countDistinct(F.coalesce("component", "actual")).alias("known")).where("nets > 1 and known > 1")
+    rooted_ = apart.join(everything, F.col("formal") == F.col("node")).select(F.col("component").alias("root"), "formal", "nets")
+    return rooted_.join(domain_roots.select("root").distinct(), "root", "left_semi")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .bounded import confidence_distribution, of_kind, top_modules
 from .traverse import reach, step_edges
 
-#: Names of testbench tops (fixed pattern).
-TESTBENCH = r"(?i)(?:^tb(?:_|$)|_tb$|^test(?:bench)?(?:_|$)|_test(?:bench)?$|^top_tb$)"
+#: Fixed pattern: names of testbench tops.
+TESTBENCH = r"(?i)^tb_|_tb$|_testbench$|^test_"
 HEURISTIC = 0.4
 
 

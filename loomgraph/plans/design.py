@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import identifiers, is_reset, label, names, node_kind, node_name
 from ..operators import bounded, clocks, lint, link, metrics, summaries, traverse
 from ..operators.components import connected_components
-from ..sources.bridge import ORACLE, edges, nodes
+from ..sources.bridge import ORACLE, graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,7 +36,7 @@ LOOKS_AT: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "trv10_safe_crossings": _clocked,
     "ag05_domain_signals": _clocked,
     "q07_reset_tree": (("process",), ("resets", "aliases")),
-    "ag07_alias_collapse": (("module",), ("aliases",)),
+    "ag07_alias_collapse": (("signal",), ("declares",)),
     "q08_signal_drivers": (("signal", "port", "process"), ("drives",)),
     "q08_signal_readers": (("signal", "port", "process"), ("reads",)),
     "q09_uvm_topology": (("class",), ("extends",)),
@@ -70,7 +70,7 @@ def query(oracle: str | None = None, before: str = ""):
 
     def add(f: Callable[[DataFrame, DataFrame], DataFrame]):
         n, e = LOOKS_AT.get(f.__name__, ((), ()))
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(nodes(spark, sf_dir, n), edges(spark, sf_dir, e))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*graph(spark, sf_dir, n, e))
         if oracle is not None:
             ORACLE_SQL[f.__name__] = ORACLE + before + oracle
         return f
@@ -78,12 +78,24 @@ def query(oracle: str | None = None, before: str = ""):
     return add
 
 
-_counts = """left join (select e.src as unit, count(*) filter (where c.kind = 'port') as ports, count(*) filter (where c.kind = 'parameter') as params
-    from edges e join nodes c on e.dst = c.id where e.kind = 'declares' group by e.src) k on k.unit = n.id
-    left join (select dst, count(*) as uses from edges where kind = 'instantiates' group by dst) u on u.dst = n.id"""
+#: From the tables themselves, without the graph between.
+_modules = """select 'nation::module:' || n_nationkey as id, 'module' as kind, 'nation_' || n_nationkey as name, 'rtl/nation.sv' as file, cast(n_nationkey as int) as line, 'systemverilog' as language, cast(0 as bigint) as port_count, cast(0 as bigint) as parameter_count, cast(1 as bigint) as instantiation_count from nation where n_nationkey = 3
+union all select 'orders::module:' || o_orderkey, 'module', 'order_' || o_orderkey, 'rtl/orders.sv', cast(o_orderkey as int), 'systemverilog', 0, 0, 1 from orders where o_orderkey = 7
+union all select 'part::module:' || p_partkey, 'module', 'part_' || p_partkey, 'rtl/part.vhd', cast(p_partkey as int), 'vhdl', 2, 1, coalesce(uses, 0) from part left join (select l_partkey, count(*) as uses from lineitem where l_partkey in (7, 9) group by 1) on l_partkey = p_partkey where p_partkey in (7, 9)"""
 
 
-@query(f"select n.id, n.kind, n.name, n.file, n.line, n.language, coalesce(ports, 0) as port_count, coalesce(params, 0) as parameter_count, coalesce(uses, 0) as instantiation_count from nodes n {_counts} where n.kind = 'module' and (n.name in ('nation_3', 'order_7') or n.name in ('part_7', 'part_9') and n.language = 'vhdl')")
+def plain_query(oracle: str):
+    """Like ``query``, with SQL over the tables instead of the graph."""
+
+    def add(f: Callable[[DataFrame, DataFrame], DataFrame]):
+        query()(f)
+        ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+@plain_query(_modules)
 def q01_find_module(n, e):
     return bounded.find_module(n, e, ["nation_3", "PART_7", "part_9", "order_7", "NATION_4"])
 
@@ -175,9 +187,25 @@ def q07_reset_tree(n, e):
     return clocks.reset_tree(e, clocks.roots(e))
 
 
-@query("select src as formal, count(distinct dst) as nets from edges where kind = 'aliases' group by 1 having count(distinct dst) > 1")
+#: Customers' clock ports are bound to one net of five for each of their orders; nations' nets 0 to 9 to their region's.
+_bound = """with p as (select distinct o_custkey as c, (o_orderkey % 5) + 5 * (o_custkey % 5) as net from orders),
+q as (select c, count(*) as nets, count(distinct case when net < 10 then 'r' || n_regionkey else 'n' || net end) as known from p join nation on n_nationkey = net group by c),
+r as (select c % 5 < 2 as low, c % 5 as k, min('customer::port:' || c) as least from p group by 1, 2)
+select (select min(least) from r where case when q.c % 5 < 2 then low else k = q.c % 5 end) as root, 'customer::port:' || c as formal, nets from q where nets > 1 and known > 1 and c % 5 < 3"""
+
+
+@plain_query(_bound)
 def ag07_alias_collapse(n, e):
-    return clocks.collapses(e)
+    key = lambda c: F.element_at(F.split(c, ":"), -1)
+    held = e.where("kind = 'declares'")
+    c, o = key("src").cast("long"), key("dst").cast("long")
+    name = F.concat(F.lit("Clk_N"), (o % 5 + 5 * (c % 5)).cast("string"))
+    wired = held.where(F.col("dst").startswith("orders::instance:")).select(F.lit("top").alias("scope"), F.col("dst").alias("inst"), F.concat(F.lit("customer::port:"), key("src")).alias("formal"), name.alias("expr_text"))
+    nets = n.where("kind = 'signal' and id like 'nation::net:%'").select(F.lit("top").alias("scope"), "id", "name")
+    up = held.where(F.col("dst").startswith("nation::instance:") & (o < 10)).select(F.concat(F.lit("nation::net:"), key("dst")).alias("formal"), F.concat(F.lit("region::net:"), key("src")).alias("actual"))
+    pairs = clocks.alias_pairs(wired, nets).unionByName(up)
+    clocked = connected_components(pairs, "formal", "actual").where(F.col("node").startswith("nation::net:") & (key("node").cast("long") < 15))
+    return clocks.collapses(pairs, clocked.select(F.col("component").alias("root")))
 
 
 _site = "select s.id as signal_id, s.name as signal, p.id as site_id, p.qualified_name as site, p.kind as site_kind, p.file, p.line, e.confidence from edges e join nodes s on e.dst = s.id join nodes p on e.src = p.id where p.kind = 'process' and s.name = 's_7' and e.kind = "
@@ -317,9 +345,14 @@ def prj_node_ids(n, e):
     return ports.select("name", "language", node_kind(F.col("id")).alias("kind"), F.split_part("id", F.lit("::"), F.lit(1)).alias("family")).where(node_name(F.col("id")).isNotNull())
 
 
-@query("select coalesce(nullif(qualified_name, ''), name) as label, regexp_matches(name, '(?i)(?:^|_)a?(?:rst|reset|clr|clear)[nb]?i?(?:_(?:sync|async|n|b|i|o|in|out))*$') as reset from nodes where kind = 'signal'")
+#: Names by place, and which of them are resets.
+NET_NAMES = ("rst_ni", "clk_i", "reset_n", "aclr", "rst_count", "core_rst_n_i", "crystal_en", "clear_b", "rsti", "wr_rst_sync_n")
+
+
+@query("select coalesce(nullif(qualified_name, ''), name) as label, line % 10 in (0, 2, 5, 7, 9) as reset from nodes where kind = 'signal'")
 def prj07_labels(n, e):
-    return n.where("kind = 'signal'").select(label(F.col("qualified_name"), F.col("name")).alias("label"), is_reset(F.col("name")).alias("reset"))
+    named = F.concat_ws("_", F.col("name"), F.element_at(F.array(*map(F.lit, NET_NAMES)), F.col("line") % 10 + 1))
+    return n.where("kind = 'signal'").select(label(F.col("qualified_name"), F.col("name")).alias("label"), is_reset(named).alias("reset"))
 
 
 @query("select expr_text as ident, count(*) as n from edges where kind = 'connects' and expr_text <> '' group by 1")

@@ -28,16 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Suffixes that the documents take in turn when they stand for files (fixed values).
-SUFFIXES = (".sv", ".v", ".vhd", ".txt", ".tcl", ".c")
+#: Suffixes that the documents take in turn when they stand for files.
+SUFFIXES = (".sv", ".v", ".vhd", ".txt", ".tcl", ".hxx", ".py", ".sln", ".SV")
 
 
-@query("""with f as (select 'd/' || doc_id || ['.sv', '.v', '.vhd', '.txt', '.tcl', '.c'][doc_id % 6 + 1] as path, text, octet_length(encode(text)) as size_bytes, doc_id % 6 as s from documents)
-select path, ['systemverilog', 'verilog', 'vhdl', 'unknown', 'tcl', 'c'][s + 1] as language, case when s <> 3 and not path like 'd/1%' and size_bytes <= 4096 then sha256(text) end as content_hash, size_bytes, case when s = 3 then 'unsupported' when path like 'd/1%' then 'excluded' when size_bytes > 4096 then 'too_large' end as skipped_reason from f""")
+@query("""with f as (select 'd/' || doc_id || ['.sv', '.v', '.vhd', '.txt', '.tcl', '.hxx', '.py', '.sln', '.SV'][doc_id % 9 + 1] as path, doc_id % 9 as s,
+case when doc_id % 13 = 0 then null when doc_id % 17 = 0 then '`pragma protect begin' || chr(10) || text when doc_id % 5 = 0 then 'import cocotb' || chr(10) || text when doc_id % 7 = 0 then 'Microsoft Visual Studio Solution File' || chr(10) || text else text end as t, doc_id from documents),
+g as (select *, octet_length(encode(t)) as size_bytes from f),
+h as (select *, case when t is null then 'missing' when s in (3, 8) then 'unsupported' when path like 'd/1%' then 'exclude' when size_bytes > 4096 then 'size' when doc_id % 17 = 0 then 'pragma_protect' when s = 6 and doc_id % 5 <> 0 then 'not_cocotb' when s = 7 and doc_id % 7 = 0 and doc_id % 5 <> 0 then 'visual_studio_solution' end as skipped_reason from g)
+select path, ['systemverilog', 'verilog', 'vhdl', 'unknown', 'tcl', 'cpp', 'python', 'sln', 'unknown'][s + 1] as language, case when skipped_reason is null then sha256(t) end as content_hash, size_bytes, skipped_reason from h""")
 def src05_discovery(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("doc_id") % 6 + 1).cast("int"))
-    rows = d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), suffix).alias("path"), F.encode("text", "UTF-8").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"))
+    suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("doc_id") % 9 + 1).cast("int"))
+    head = lambda text: F.concat(F.lit(text + "\n"), F.col("text"))
+    every = lambda k: F.col("doc_id") % k == 0
+    text = F.when(every(17), head("`pragma protect begin")).when(every(5), head("import cocotb")).when(every(7), head("Microsoft Visual Studio Solution File")).otherwise(F.col("text"))
+    t = F.when(~every(13), text)
+    rows = d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), suffix).alias("path"), F.encode(t, "UTF-8").alias("content"), F.octet_length(t).cast("long").alias("size_bytes"))
     return discovery.files(rows, exclude=("d/1*",), max_kb=4)
 
 

@@ -1,12 +1,17 @@
 """The driver tables read as a property graph of a hardware design.
 
-One text per relation serves Spark (tables as frames) and the oracle (tables by name). A filter on ``kind``
-folds away the branches it excludes, so a query scans only the tables behind the kinds it asks for.
+One text per relation serves Spark (tables as frames) and the oracle (tables by name). As with any design, the graph is
+built once and stored (``store.publish``); queries of the same application read the stored version, of which a kind
+is a folder of its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import store
+from .shared import shared_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "conversations")
 
@@ -96,16 +101,38 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
 
-def _relation(spark: SparkSession, sf_dir: str, parts: list[str], kinds: tuple[str, ...]) -> DataFrame:
-    """The parts of the kinds asked for (all if none is): what cannot hold rows is not even planned."""
-    own = [p for p in parts if not kinds or any(f"'{k}' as kind" in p for k in kinds)]
-    text = " union all ".join(own)
-    return spark.sql(text, **{t: df for t, df in tables(spark, sf_dir).items() if "{" + t + "}" in text})
+def _relation(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spark.sql(text, **tables(spark, sf_dir))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relation(spark, sf_dir, NODES)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relation(spark, sf_dir, EDGES)
+
+
+#: Stored graphs by application and folder of tables.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def build(spark: SparkSession, sf_dir: str) -> str:
+    """Store the graph of a folder's tables; returns where."""
+    root = shared_dir(spark, "graph")
+    store.publish(root, nodes(spark, sf_dir), edges(spark, sf_dir))
+    return root
 
 
-def nodes(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ()) -> DataFrame:
-    return _relation(spark, sf_dir, NODE_PARTS, kinds)
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """Where the graph of a folder's tables is stored; it is built if it is not, or no longer, there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored or not store.exists(spark, _stored[key]):
+        _stored[key] = build(spark, sf_dir)
+    return _stored[key]
 
 
-def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ()) -> DataFrame:
-    return _relation(spark, sf_dir, EDGE_PARTS, kinds)
+def graph(spark: SparkSession, sf_dir: str, node_kinds: tuple[str, ...] = (), edge_kinds: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the kinds asked for (all if none is)."""
+    n, e, _ = store.load(spark, stored(spark, sf_dir))
+    return tuple(df.where(F.col("kind").isin(*kinds)) if kinds else df for df, kinds in ((n, node_kinds), (e, edge_kinds)))

@@ -30,8 +30,8 @@ def skip_reason(path: Column, content: Column, size: Column, exclude: Iterable[s
     text = F.decode(content, "ISO-8859-1")
     out = F.when(content.isNull(), "missing").when(language == "unknown", "unsupported")
     for pattern in exclude:
-        out = out.when(path.rlike(glob_regex(pattern)), "excluded")
-    out = out.when(size > max_kb * 1024, "too_large").when(head.contains("pragma protect"), "pragma_protect")
+        out = out.when(path.rlike(glob_regex(pattern)), "exclude")
+    out = out.when(size > max_kb * 1024, "size").when(head.contains("pragma protect"), "pragma_protect")
     out = out.when((language == "python") & ~text.contains("cocotb"), "not_cocotb")
     return out.when((language == "sln") & head.contains("Microsoft Visual Studio Solution File"), "visual_studio_solution")
 

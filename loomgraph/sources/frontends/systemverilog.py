@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from . import register
+from ...functions.exprs import RESET_NAME
 from .rows import Rows, blanked, closing, line_at, split_top
 
 COMMENT = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
@@ -18,7 +19,7 @@ DIRECTION = re.compile(r"^\s*(input|output|inout|ref)\b")
 RESERVED = frozenset(
     "module macromodule interface program package class endmodule begin end if else for foreach while do case casex casez endcase always always_comb always_ff always_latch initial final assign deassign force release function endfunction task endtask generate endgenerate genvar localparam parameter input output inout ref wire logic reg bit byte int integer longint shortint real time var tri supply0 supply1 typedef enum struct union packed signed unsigned import export extends implements virtual static automatic const return posedge negedge or and not nand nor xor xnor buf assert assume cover property sequence endproperty endsequence covergroup endgroup coverpoint cross constraint clocking endclocking modport default wait fork join join_any join_none new this super null void string event rand randc unique priority iff inside with break continue repeat forever disable bind pure extern protected local forkjoin".split()
 )
-RESET = re.compile(r"(?:^|_)a?(?:rst|reset|clr|clear)[nb]?i?(?:_(?:sync|async|n|b|i|o|in|out))*$", re.I)
+RESET = re.compile(RESET_NAME, re.I)
 LITERAL = re.compile(r"\d*'[sS]?[bBoOdDhH][0-9a-fA-FxXzZ_?]+|\b\d[\w.]*")
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 
 from . import register
+from ...functions.exprs import RESET_NAME
 from .rows import Rows, blanked, closing, line_at, split_top
 
 COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
 NAME = r"[A-Za-z]\w*"
 CLOCK = re.compile(r"(?:^|_)(?:clk|clock|ck)(?:_|\d|$)|clk$|^clk", re.I)
-RESET = re.compile(r"(?:^|_)a?(?:rst|reset|clr|clear)[nb]?i?(?:_(?:sync|async|n|b|i|o|in|out))*$", re.I)
+RESET = re.compile(RESET_NAME, re.I)
 #: Reserved words and common functions that are no signals (fixed values).
 WORDS = frozenset(
     "if then else elsif end case when is others for loop while begin process wait until and or not xor nand nor xnor mod rem abs sll srl sla sra rol ror downto to rising_edge falling_edge event null report severity assert variable signal constant type subtype range array record of in out inout buffer std_logic std_logic_vector unsigned signed integer natural positive boolean bit bit_vector true false to_integer to_unsigned to_signed resize return generate port map generic open all next exit after transport".split()

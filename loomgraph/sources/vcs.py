@@ -41,8 +41,8 @@ def svn_changes(status: str) -> list[tuple[str, str]]:
 
 
 def p4_changes(records: str, root: str) -> list[tuple[str, str]]:
-    """(path, change) from ``p4 -ztag opened`` or ``status`` records, for local paths below a root."""
-    kinds = {"add": "added", "move/add": "added", "branch": "added", "delete": "removed", "move/delete": "removed"}
+    """(path, change) from ``p4 -ztag opened`` or ``status`` records, for local paths below a root; unknown actions are left out."""
+    kinds = {"add": "added", "move/add": "added", "branch": "added", "delete": "removed", "move/delete": "removed", "edit": "changed", "integrate": "changed"}
     out, record = [], {}
     for line in [*records.splitlines(), ""]:
         m = re.match(r"^\.\.\. (\w+) (.*)$", line)
@@ -51,8 +51,8 @@ def p4_changes(records: str, root: str) -> list[tuple[str, str]]:
         elif record:
             path = record.get("localFile") or record.get("path") or record.get("clientFile", "")
             path = path.replace("\\", "/")
-            if path.startswith(root.rstrip("/") + "/") and "action" in record:
-                out.append((path[len(root.rstrip("/")) + 1 :], kinds.get(record["action"], "changed")))
+            if path.startswith(root.rstrip("/") + "/") and record.get("action") in kinds:
+                out.append((path[len(root.rstrip("/")) + 1 :], kinds[record["action"]]))
             record = {}
     return out
 

@@ -19,14 +19,14 @@ def one(spark, column, **values):
 
 
 def test_expressions(spark):
-    assert one(spark, exprs.identifiers(F.col("e")), e="a & 8'hff | foo(b) and \"s\" + a") == ["a", "foo", "b"]
-    for name, want in (("rst_n", True), ("core_areset_sync", True), ("first", False), ("rst_count", False), ("RESETN", True), ("clr_i", True)):
+    assert one(spark, exprs.identifiers(F.col("e")), e="a & 8'hff | foo(b) and \"s\" + a inside {c} with null") == ["a", "foo", "b", "c"]
+    for name, want in (("rst_n", True), ("core_areset_sync", True), ("first", False), ("rst_count", False), ("RESETN", True), ("clr_i", True), ("rst_ni", True), ("rst_bi", True), ("reset_ni", True), ("rst_ni_sync", True), ("wr_rst_n_i", True), ("m_rst_sync_n", True), ("aclr", False), ("aclear_n", False), ("rsti", False), ("crystal_en", False), ("wrist_data", False), ("reset_value", False)):
         assert one(spark, exprs.is_reset(F.col("n")), n=name) is want, name
     for glob, name, want in (("a*", "abc", True), ("a?c", "abc", True), ("[!a]*", "abc", False), ("[ab]x", "bx", True), ("a.b", "axb", False), ("*", "a\nb", True)):
         assert one(spark, exprs.glob_matches(F.col("n"), glob), n=name) is want, glob
     assert one(spark, exprs.node_kind(F.col("i")), i="rtl/a.sv::module:top.u") == "module" and one(spark, exprs.node_name(F.col("i")), i="unresolved:port:m.p") == "m.p"
     assert one(spark, exprs.pin_leaf(F.col("p")), p="a/b/c[0]") == "c" and one(spark, exprs.stripped(F.col("p")), p="\t x \n") == "x"
-    assert one(spark, exprs.language_of(F.col("p")), p="a/b.SVH") == "systemverilog"
+    assert one(spark, exprs.language_of(F.col("p")), p="a/b.svh") == "systemverilog" and one(spark, exprs.language_of(F.col("p")), p="a/b.SVH") == "unknown"
 
 
 def test_components_on_random_graphs(spark):
@@ -256,3 +256,41 @@ def test_unit_metrics_see_every_unit(spark):
     whole = {u: reached(u, None) - 1 for u in near}
     cut = {u for u in near if reached(next(iter(near[u] - {u})), u) < whole[u]}
     assert {r["unit"] for r in catalog.QUERIES["q15_articulation"](spark, SF).collect()} == cut
+
+
+def test_alias_pairs_and_collapses(spark):
+    """A module used twice with its clocks swapped makes one domain by name only; a leaf on one net does not."""
+    from loomgraph.operators import clocks
+
+    connects = spark.createDataFrame([("i1", "m.c1", "t", "clk_a"), ("i1", "m.c2", "t", "clk_b"), ("i2", "m.c1", "t", " CLK_B "), ("i2", "m.c2", "t", "clk_a"), ("i3", "l.c", "t", "clk_a"), ("i4", "l.c", "t", "clk_a & en"), ("i5", "x.c", "t", "d1"), ("i6", "x.c", "t", "d2"), ("i7", "y.c", "t", None)], "inst string, formal string, scope string, expr_text string")
+    nets = spark.createDataFrame([("t", x, x) for x in ("clk_a", "clk_b", "d1", "d2", "en")], "scope string, id string, name string")
+    pairs = clocks.alias_pairs(connects, nets)
+    assert {tuple(r) for r in pairs.collect()} == {("m.c1", "clk_a"), ("m.c1", "clk_b"), ("m.c2", "clk_a"), ("m.c2", "clk_b"), ("l.c", "clk_a"), ("x.c", "d1"), ("x.c", "d2")}
+    roots = spark.createDataFrame([("clk_a",)], "root string")
+    assert {tuple(r) for r in clocks.collapses(pairs, roots).collect()} == {("clk_a", "m.c1", 2), ("clk_a", "m.c2", 2)}
+    joined = pairs.unionByName(spark.createDataFrame([("clk_a", "net"), ("clk_b", "net")], "formal string, actual string"))  # both are bound to one net above
+    assert clocks.collapses(joined, roots).count() == 0
+
+
+def test_stored_graph_is_sorted_and_replaced_atomically(spark, tmp_path):
+    from loomgraph.operators import bounded
+    from loomgraph.sources import store
+
+    e = spark.createDataFrame([(f"i{i:03}", f"m{i % 7}", "instantiates") for i in range(200)], "src string, dst string, kind string")
+    n = spark.createDataFrame([(f"m{i}", f"m{i}", "module") for i in range(7)], "id string, name string, kind string")
+    root = f"file://{tmp_path}/g"
+    assert not store.exists(spark, root)
+    for _ in range(3):
+        last = store.publish(root, n, e)
+        assert store.current(spark, root).endswith(last) and store.exists(spark, root)
+    _, stored, _ = store.load(spark, root)
+    ids = n.where("id < 'm2'").select("id")
+    few, many = bounded.near(stored, "dst", ids), bounded.PUSHED
+    plan = few._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(dst" in plan or "EqualTo(dst" in plan
+    bounded.PUSHED = 1
+    try:
+        assert sorted(map(tuple, bounded.near(stored, "dst", ids).collect())) == sorted(map(tuple, few.collect()))
+    finally:
+        bounded.PUSHED = many
+    assert bounded.near(stored, "dst", n.where("false").select("id")).count() == 0
