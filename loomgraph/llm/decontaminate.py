@@ -14,7 +14,8 @@ Words are counted for blocks of ``BLOCK`` items in one pass; each block has a sp
 its items.
 
 Defined results: null and empty texts and items match nothing; items with fewer words than ``LEAST_WORDS``
-match only word for word; repeated rows and items are judged one by one.
+match only word for word; repeated rows and items are judged one by one; ids of either side may be null and of any
+type; without an item nothing is found; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: About so many items share a latent space.
 RANK = 256
@@ -40,6 +43,8 @@ MATCH = 0.6
 ANSWER = 0.5
 LEAST_WORDS = 8
 MAX_KEPT = 400_000
+#: Models that go to a task together.
+SENT = 8
 #: Windows that start within so many words are projected together.
 STRETCH = 2_048
 SENTENCE = re.compile(r"[.!?]+\s+")
@@ -80,7 +85,7 @@ class Model:
 
     def __init__(self, items: list[tuple], names: dict[str, int], idf: np.ndarray, basis: np.ndarray):
         self.ids = [i for i, _ in items]
-        self.names, self.idf, self.basis = names, idf, basis
+        self.names, self.idf = names, idf
         self.words = [words(t) for _, t in items]
         self.numbers = [np.array([names[w] for w in ws], np.int32) for ws in self.words]
         # The last sentence, or what there is.
@@ -88,7 +93,7 @@ class Model:
         for _, t in items:
             parts = [p for p in SENTENCE.split((t or "").strip()) if words(p)]
             self.answers.append(len(words(parts[-1])) if parts else 0)
-        latent = np.array([self.embed(n) for n in self.numbers]) if items else np.zeros((0, basis.shape[1]))
+        latent = np.array([(basis[n] * idf[n, None]).sum(0) for n in self.numbers]) if items else np.zeros((0, basis.shape[1]))
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = (latent / np.where(norms > 0, norms, 1)).astype(np.float32)
         # Of each word, what it adds to the product with each item in the latent space.
@@ -102,9 +107,6 @@ class Model:
         # A window of less weight has no candidate cosine, even if all its words are the item's most frequent one.
         self.floor = min((CANDIDATE**2 * float(((c * idf[at]) ** 2).sum()) / int(c.max()) ** 2 for at, c in (np.unique(n, return_counts=True) for n in self.numbers) if len(at)), default=0.0)
 
-    def embed(self, numbers: np.ndarray) -> np.ndarray:
-        return (self.basis[numbers] * self.idf[numbers, None]).sum(0) if len(numbers) else np.zeros(self.basis.shape[1])
-
 
 def tf_idf(numbers: np.ndarray, idf: np.ndarray) -> np.ndarray:
     row = np.bincount(numbers, weights=idf[numbers], minlength=len(idf) - 1)[: len(idf) - 1]
@@ -161,6 +163,10 @@ def svd_basis(items: DataFrame, names: dict[str, int], idf: np.ndarray, rank: in
     return q @ vectors[:, order]
 
 
+def in_order(items: DataFrame) -> list[tuple]:
+    return sorted(((r["item_id"], r["text"]) for r in items.collect()), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1]))
+
+
 def models(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", text_col: str = "text", rank: int = RANK, block: int = BLOCK) -> list[Model]:
     """A model for about every ``rank`` items; the list is as long as the benchmark is large, never larger with the corpus."""
     texts = docs.select(F.col(text_col).alias("text"))
@@ -169,7 +175,7 @@ def models(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", ite
     out = []
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        held = sorted((r["item_id"], r["text"]) for r in part.collect())
+        held = in_order(part)
         every = {w: i for i, w in enumerate(sorted({w for _, t in held for w in words(t)}))}
         if not every:
             continue
@@ -177,7 +183,7 @@ def models(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", ite
         spaces = -(-len(held) // rank)
         for j in range(spaces):
             share = part.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(spaces)) == j)
-            items = sorted((r["item_id"], r["text"]) for r in share.collect())
+            items = in_order(share)
             names = {w: i for i, w in enumerate(sorted({w for _, t in items for w in words(t)}))}
             if not names:
                 continue
@@ -302,40 +308,53 @@ class Scanner:
         return out
 
 
+def sent(spark, models_: list[Model]) -> list:
+    """The models as broadcasts of at most ``SENT`` of them, whatever the size of the benchmark."""
+    return [spark.sparkContext.broadcast(models_[i : i + SENT]) for i in range(0, len(models_), SENT)]
+
+
 def leaks(docs: DataFrame, models_: list[Model], id_col: str = "doc_id", text_col: str = "text", item_type: str = "long") -> DataFrame:
-    """A row per document and item that it holds: doc_id, item_id, cosine, matched, answer_matched."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_type}, cosine double, matched double, answer_matched double"
-    sent = docs.sparkSession.sparkContext.broadcast(models_)
+    """A row per document and item that it holds: doc_id, item_id, cosine, matched, answer_matched.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [Scanner(m) for m in sent.value]
-        target = pa.schema([("doc_id", pa.null())])
-        for b in batches:
-            at, found = [], []
-            for i, t in enumerate(b.column("text")):
-                for s in own:
-                    for h in s.hits(t.as_py()):
-                        at.append(i)
-                        found.append(h)
-            target = b.column("doc_id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([target, pa.array([h[0] for h in found], ARROW_TYPES.get(item_type)), *(pa.array([h[j] for h in found], pa.float64()) for j in (1, 2, 3))], names=["doc_id", "item_id", "cosine", "matched", "answer_matched"])
+    Each part of the benchmark is a scan of its own, so a task holds the models of one part only."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("item_id", T._parse_datatype_string(item_type)), *(T.StructField(c, T.DoubleType()) for c in ("cosine", "matched", "answer_matched"))])
+    item = to_arrow_type(schema["item_id"].dataType)
 
-    return rows.mapInArrow(run, schema)
+    def part(table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = [Scanner(m) for m in table.value]
+            for b in batches:
+                at, found = [], []
+                for i, t in enumerate(b.column("text")):
+                    for s in own:
+                        for h in s.hits(t.as_py()):
+                            at.append(i)
+                            found.append(h)
+                target = b.column("doc_id").take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([target, pa.array([h[0] for h in found], item), *(pa.array([h[j] for h in found], pa.float64()) for j in (1, 2, 3))], names=["doc_id", "item_id", "cosine", "matched", "answer_matched"])
 
+        return rows.mapInArrow(run, schema)
 
-ARROW_TYPES = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    out = None
+    for table in sent(docs.sparkSession, models_):
+        out = part(table) if out is None else out.unionByName(part(table))
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, models_: list[Model], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item; in one pass, without a join."""
-    sent = docs.sparkSession.sparkContext.broadcast(models_)
+    """The rows of ``docs``, all columns, that hold no item; in one pass over the texts, without a join."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [Scanner(m) for m in sent.value]
-        for b in batches:
-            keep = [not any(s.hits(t.as_py()) for s in own) for t in b.column(text_col)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+    def part(rows: DataFrame, table) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = [Scanner(m) for m in table.value]
+            for b in batches:
+                keep = [not any(s.hits(t.as_py()) for s in own) for t in b.column(text_col)]
+                yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        return rows.mapInArrow(run, rows.schema)
+
+    out = docs
+    for table in sent(docs.sparkSession, models_):
+        out = part(out, table)
+    return out

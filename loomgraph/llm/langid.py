@@ -9,25 +9,26 @@ within ``NARROW`` of the winner, the choice is rejected.
 Defined results: a null text or one without a letter is ``und`` with score 0 and is rejected; with no
 labelled text, all are ``und``; ties go to the language with most labelled documents, then to the one that
 sorts first, and are rejected; repeated rows get equal results.
-Dictionaries hold at most ``DICTIONARY`` bytes of each of at most ``MAX_LANGUAGES`` languages, from at most
-about ``MAX_DOCS`` documents each.
+Dictionaries hold at most ``DICTIONARY`` bytes of each language, from a sample of at most ``MAX_DOCS`` documents each,
+chosen by hash, of each of which an excerpt of at most ``EXCERPT`` characters from a place that the hash names is taken.
+Every language is learned; more than ``MAX_LANGUAGES`` are an error, since dictionaries go to every task.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import literal_table
+
 DICTIONARY = 32_768
 MAX_DOCS = 100
-MAX_LANGUAGES = 64
-#: Of a training document, at most this many characters go into a dictionary.
+MAX_LANGUAGES = 1_000
 EXCERPT = 1_500
 PIECE = 4_096
 #: Matches of 3 bytes count, since words share short parts; a lazy binary-tree search finds them.
@@ -35,24 +36,26 @@ PARAMETERS = dict(min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_conten
 #: Least saving of the winner over the runner-up, as a part of the winner's size.
 NARROW = 0.001
 LETTERS_ONLY = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
 def learn(labelled: DataFrame, text: Column, lang: Column, key: Column) -> dict[str, bytes]:
     """Dictionaries from labelled rows; ``key`` orders the rows of a language by hash."""
-    rows = labelled.where(lang.isNotNull() & text.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), F.abs(F.xxhash64(key)).alias("h"), text.alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES).collect()}
+    rows = labelled.where(lang.isNotNull() & text.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), F.abs(F.xxhash64(key, text)).alias("h"), text.alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
+    # About twice the rows wanted of each language, then exactly those of the least hashes; tasks leave out the rest first.
     top = 1 << 63
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(top - 1, int(top * (2 * MAX_DOCS / max(n, 1)))))).otherwise(share)
-    drawn = rows.where(F.col("h") <= share).select("lang", "h", F.substring("text", 1, EXCERPT).alias("text")).collect()
+    shares = literal_table(labelled.sparkSession, [{"of": k, "share": min(top - 1, int(top * (2 * MAX_DOCS / n)))} for k, n in counts.items()], "of string, share long")
+    place = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.length("text") - (EXCERPT - 1), F.lit(1)))
+    drawn = rows.join(F.broadcast(shares), (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("share"))).select("lang", "h", F.substr("text", place.cast("int"), F.lit(EXCERPT)).alias("text"))
+    few = drawn.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("_n") <= MAX_DOCS).select("lang", "h", "text").collect()
     out: dict[str, bytes] = {}
     for name in sorted(counts, key=lambda k: (-counts[k], k)):
-        own = sorted(((r["h"], r["text"]) for r in drawn if r["lang"] == name))[:MAX_DOCS]
+        own = sorted((r["h"], r["text"]) for r in few if r["lang"] == name)
         out[name] = b"\n".join(letters(t) for _, t in own)[:DICTIONARY]
     return {k: v for k, v in out.items() if v}
 
@@ -80,7 +83,7 @@ class Compressed:
 
     def best(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score in 0..1, and whether the margin is wide enough to accept."""
-        if not text or not self.names or not LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, False
         sizes = self.sizes(text)
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))

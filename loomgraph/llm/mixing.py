@@ -86,8 +86,9 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each time a document is drawn: doc_id, source, n_tokens, weight, epoch, block, mix_key.
+    """One row for each time a document is drawn: doc_id, source, n_tokens, weight, epoch, block, mix_key, and the ``carry`` columns.
 
     Reading in the order of (epoch, mix_key) is the block permutation over all sources.
     """
@@ -101,6 +102,7 @@ def mix(
             words.alias("n_tokens"),
             F.pmod(F.xxhash64(F.lit(seed), ids), F.lit(blocks)).cast("int").alias("block"),
             F.xxhash64(F.lit(seed + 1), ids).alias("draw"),
+            *(F.col(c).alias(f"carried_{c}") for c in carry),
         ),
         "mix",
     )
@@ -151,5 +153,5 @@ def mix(
     part = inside | (at_edge & (F.col("cut").isNull() | (F.col("draw") < F.col("cut"))))
     copies = F.col("full") + F.coalesce(part, F.lit(False)).cast("int")
     return taken.where(copies > 0).select(
-        "doc_id", "source", "n_tokens", "weight", "block", F.explode(F.sequence(F.lit(1), copies)).alias("epoch")
+        "doc_id", "source", "n_tokens", "weight", "block", F.explode(F.sequence(F.lit(1), copies)).alias("epoch"), *(F.col(f"carried_{c}").alias(c) for c in carry)
     ).withColumn("mix_key", F.xxhash64(F.lit(seed), F.col("epoch"), F.col("source"), F.col("block")))

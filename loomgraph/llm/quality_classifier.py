@@ -84,12 +84,11 @@ def model_logit(mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> Column:
 
 
 def labelled_sample(feats: DataFrame, labels: DataFrame, id_col: str, label_col: str, bound: int) -> list:
-    """At most about ``bound`` labelled rows, chosen by hash."""
+    """At most ``bound`` labelled documents, those of the least hashes; of rows with one id, one."""
     own = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("y"))
-    n = own.count()
-    if n > bound:
-        own = own.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
-    return feats.join(own, "doc_id").select("y", *FEATURES).collect()
+    own = own.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(bound)
+    one = feats.join(own, "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", *FEATURES)).alias("r"))
+    return one.select("r.*").collect()
 
 
 def strength(groups: DataFrame, mean: str, prior: Column) -> float:

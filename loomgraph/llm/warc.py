@@ -8,17 +8,20 @@ its frame and its offset within the plain frame; ``fetch`` reads only the frames
 Records of equal payloads of at least ``LEAST_REVISIT`` bytes are written once, as the response of the
 smallest id; the others are revisit records that name it and carry digest and length, without payload.
 
-A bundle's rows are those whose hashed id falls in its partition, in the order of id and digest, so a task
-that runs again writes the same bytes; it writes under a name of its own attempt and renames at the end.
+A bundle's rows are those whose hashed id and digest name it, in the order of id and digest, so a task
+that runs again writes the same bytes; it writes under a name of its own attempt and renames at the end. Each bundle
+is written, and read, by a task of its own.
 
 Defined results: a null html has an empty payload; ids may repeat (each row is a record; equal rows with
-the smallest id are all responses); a null id sorts last; a null url is left out of the header.
+the smallest id are all responses); a null id sorts last and is ``null:`` in headers, where all other ids stand in
+percent encoding; a null url is left out of the header.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -37,6 +40,8 @@ LEAST_REVISIT = 100
 LEVEL = 3
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
+#: A null id; encoded ids have no colon.
+NULL = "null:"
 FIXED_DATE = "1970-01-01T00:00:00Z"
 
 
@@ -46,6 +51,11 @@ def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri else (pyarrow.fs.LocalFileSystem(), uri)
 
 
+def urn(page) -> str:
+    """An id as it stands in a header."""
+    return NULL if page is None else urllib.parse.quote(str(page), safe="")
+
+
 def record(number: str, kind: str, url: str | None, digest: str, length: int, payload: bytes, refers: str | None) -> bytes:
     """One WARC/1.1 record."""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{number}>", f"WARC-Date: {FIXED_DATE}"]
@@ -148,7 +158,7 @@ def write(pages: DataFrame, folder: str | None = None, bundles: int | None = Non
         bundles = max(8, -(-int(size) // BUNDLE))
     rows = planned(pages, id_col, payload_col, url_col)
     kind = rows.schema["page_id"].dataType.simpleString()
-    placed = rows.withColumn("bundle", F.pmod(F.xxhash64("page_id"), F.lit(bundles)).cast("int")).repartition(bundles, "bundle").sortWithinPartitions("bundle", "page_id", "digest", "side")
+    placed = rows.withColumn("bundle", F.pmod(F.xxhash64("page_id", "digest"), F.lit(bundles)).cast("int")).repartitionById(bundles, "bundle").sortWithinPartitions("bundle", "page_id", "digest", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = file_system(folder)
@@ -180,7 +190,7 @@ def write(pages: DataFrame, folder: str | None = None, bundles: int | None = Non
                     out = own.open_output_stream(name)
                     writer = BundleWriter(out)
                 payload = b"" if refers is not None else html.encode("utf-8")
-                frame, offset = writer.add(record(str(page), "response" if refers is None else "revisit", url, digest, n, payload, None if refers is None else str(refers)))
+                frame, offset = writer.add(record(urn(page), "response" if refers is None else "revisit", url, digest, n, payload, None if refers is None else urn(refers)))
                 for key, value in (("page_id", page), ("bundle", k), ("frame", frame), ("offset", offset)):
                     index[key].append(value)
         if writer is not None:
@@ -204,7 +214,8 @@ ARROW = [("number", pa.string()), ("payload_bytes", pa.int64()), ("payload_diges
 
 def read(index: DataFrame, payloads: bool = False) -> DataFrame:
     """All records of the bundles that an index names, decoded frame by frame."""
-    paths = index.select("path").distinct()
+    last = index.agg(F.max("bundle").alias("n")).first()["n"]
+    paths = index.select("path", "bundle").distinct().repartitionById((last or 0) + 1, "bundle").select("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,6 +269,6 @@ def digest_of(records: DataFrame, kind: str) -> DataFrame:
     """The columns that describe each page's record."""
 
     def number(c: str):
-        return F.when(F.col(c) == "None", None).otherwise(F.col(c)).cast(kind)
+        return F.when(F.col(c) != NULL, F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))).cast(kind)
 
     return records.select(number("number").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers").alias("refers_to"))

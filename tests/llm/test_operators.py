@@ -324,6 +324,28 @@ def test_decontamination_recall_does_not_fall_with_the_corpus(spark, many_items,
             assert not lost, f"{len(lost)} of {len(rows)} lost, {changed:.0%} changed, {times} times the documents"
 
 
+def test_decontamination_odd_ids_rows_and_texts(spark):
+    """Null and decimal ids, repeated rows, ties and long texts; against a longest common subsequence over whole texts."""
+    import decimal
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(14)] for _ in range(4)]
+    bench = spark.createDataFrame([(None, " ".join(items[0])), (decimal.Decimal("1.50"), " ".join(items[1])), (decimal.Decimal("2.50"), " ".join(items[2])), (decimal.Decimal("3.50"), " ".join(items[2])), (decimal.Decimal("4.50"), None)], "item_id decimal(9,2), text string")
+    filler = lambda n: [word() for _ in range(n)]
+    texts = [filler(30) + items[0] + filler(30), filler(20_000) + items[1] + filler(9), items[2], items[2][:7] + filler(400) + items[2][7:], filler(50), []]
+    rows = [(None if i == 2 else decimal.Decimal(i), " ".join(t)) for i, t in enumerate(texts)] + [(decimal.Decimal(0), " ".join(texts[0]))]
+    docs = spark.createDataFrame(rows, "doc_id decimal(5,0), text string")
+    found = decontaminate.leaks(docs, decontaminate.models(docs, bench), item_type="decimal(9,2)")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in found.collect()), key=str)
+    d = decimal.Decimal
+    assert got == sorted([(d(0), None), (d(0), None), (d(1), d("1.50")), (None, d("2.50")), (None, d("3.50"))], key=str)
+    kept = decontaminate.clean(docs, decontaminate.models(docs, bench))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "5"]
+    none = decontaminate.models(docs, bench.where("false"))
+    assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.clean(docs, none).count() == 7 and decontaminate.leaks(docs.where("false"), decontaminate.models(docs, bench), item_type="decimal(9,2)").count() == 0
+
+
 def test_common_subsequence_against_tables():
     rng = random.Random(5)
     np = decontaminate.np
@@ -354,6 +376,20 @@ def test_language_id(docs):
     assert none == {} and {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_id_odd_texts_and_samples(spark):
+    """Signs that are no letters are und; every language is learned; one id with many rows is a bounded sample."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(2)
+    own = [["".join(rng.choice(alphabet[k % 20 : k % 20 + 6]) for _ in range(4)) for _ in range(30)] for k in range(70)]
+    rows = [(k * 10 + i, " ".join(rng.choice(own[k]) for _ in range(60)), f"l{k:02}") for k in range(70) for i in range(4)] + [(1, "same words here " * 3, "l00")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries = langid.learn(docs, F.col("text"), F.col("lang"), F.col("doc_id"))
+    assert len(dictionaries) == 70
+    odd = spark.createDataFrame([(1, "\u00b2 \u00bd \u2460"), (2, "\u2167 12"), (3, None), (4, ""), (5, " ".join(own[69][:20])), (None, " ".join(own[3][:20]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(odd, dictionaries).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (1, 2, 3, 4)) and got[5][0] == "l69" and got[None][0] == "l03"
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -380,6 +416,17 @@ def test_factorization_machine_learns_pairs():
     assert both > 0 > one and float(m.v[at[1]] @ m.v[at[2]]) > 0
 
 
+def test_warc_odd_ids_and_one_task_a_bundle(spark, tmp_path):
+    rows = [(None, None, "a" * 200), ("None", "u", "a" * 200), ("x\r\ny >%", "u", "b" * 150), ("null:", "u", "b" * 150), ("", "u", None), ("+ 1", "u", "c"), ("\u00e9", None, "d" * 300), ("\u00e9", None, "d" * 300)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    index = warc.write(pages, f"file://{tmp_path}/odd", bundles=5)
+    records = warc.read(index)
+    assert records.rdd.getNumPartitions() == index.agg(F.max("bundle")).first()[0] + 1
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.digest_of(records, "string").collect()), key=str)
+    want = [(None, 200, "revisit", "None"), ("None", 200, "response", None), ("x\r\ny >%", 150, "revisit", "null:"), ("null:", 150, "response", None), ("", 0, "response", None), ("+ 1", 1, "response", None), ("\u00e9", 300, "response", None), ("\u00e9", 300, "response", None)]
+    assert got == sorted(want, key=str)
+
+
 def test_warc_round_trip(spark, tmp_path):
     same = "x" * 200
     rows = [(5, "http://a/5", same), (3, "http://a/3", same), (9, None, same), (1, "http://a/1", "short"), (2, "http://a/2", "short"), (4, "http://a/4", None), (6, "http://a\r\n6", "ü" * 60), (6, "http://b/6", "ü" * 60), (None, "http://n", same), (7, "http://a/7", "y" * 700_000)]
