@@ -16,28 +16,28 @@ from loomgraph.llm.common import materialise, read_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised by a margin; what has no letter or falls between languages goes."""
+    """Documents whose language is recognised by a margin; what has no letter (nulls, empties) or ties goes. Without labels, all go."""
     return langid.accepted(docs, langid.learn(docs, F.col("text"), F.col("lang"), F.col("doc_id")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the hierarchical classifier keeps."""
+    """Documents that the hierarchical classifier keeps; null sources and languages are sites and paths of their own."""
     return quality_classifier.keep(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
+    """One document, that of the smallest id, of each group of near duplicates; texts without words are in no group and stay."""
     return jaccard.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; nulls and empties hold none."""
     return decontaminate.clean(docs, decontaminate.models(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, sources evened out as far as two passes allow."""
-    return mixing.mix(docs, target_entropy=1.0, max_repeat=2.0, budget="cover")
+    """Every document at least once, with its text, sources evened out as far as two passes allow; a null source is one."""
+    return mixing.mix(docs, target_entropy=1.0, max_repeat=2.0, budget="cover", carry=("text",))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
