@@ -6,9 +6,11 @@ forms share a term), hashed to ``SPACE`` buckets. The score is the logistic of
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 with x_i = 1 for terms present, so a pair such as an insult with a mention of a group has a weight of its
-own. Buckets that fewer than ``SUPPORT`` training documents hold, or whose rates in both labels differ by
-less than ``SIGNAL`` standard errors, are left out. The model is fitted on at
-most about ``MAX_LABELLED`` labelled rows, chosen by hash and with both labels drawn alike up to half of it.
+own. Buckets that fewer than ``SUPPORT`` training documents hold are left out. Of the others, those take part whose
+rates in both labels differ by ``SIGNAL`` standard errors, be it among all documents or among those that hold
+a bucket of the first kind: a term that is as frequent in clean texts as in toxic ones, but not beside an insult, is in.
+The model is fitted on at most ``MAX_LABELLED`` labelled documents, chosen by hash and with both labels drawn alike up to half
+of it; of rows with one id, one is taken.
 
 Defined results: null and empty texts get the score of no terms (the intercept); words are whole, texts are
 whole; without labels of both kinds every score is 0; repeated rows get equal scores; of several labels of
@@ -87,19 +89,34 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def informative(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets with enough support whose rates differ between the labels, in order."""
-    if not rows:
-        return np.array([], dtype=np.int64)
-    flat, label = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
+def differing(flat: np.ndarray, label: np.ndarray, docs: int, toxic: float) -> np.ndarray:
+    """Buckets with enough support whose rates differ between the labels, in order; flat and label: (bucket, label) pairs of ``docs`` documents."""
     seen, slot = np.unique(flat, return_inverse=True)
     n, pos = np.bincount(slot, minlength=len(seen)), np.bincount(slot, weights=label, minlength=len(seen))
-    n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
-    p = n / len(y)
+    n1, n0 = max(toxic, 1), max(docs - toxic, 1)
+    p = n / docs
     z = (pos / n1 - (n - pos) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
     return seen[(n >= SUPPORT) & (np.abs(z) >= SIGNAL)]
 
 
+def informative(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets that differ between the labels, alone or beside one that does, in order."""
+    if not rows:
+        return np.array([], dtype=np.int64)
+    sizes = np.array([len(r) for r in rows])
+    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    alone = differing(flat, y[doc], len(rows), float(y.sum()))
+    found = [alone]
+    ends = np.cumsum(sizes)
+    for bucket in alone.tolist():
+        holders = doc[flat == bucket]
+        toxic = float(y[holders].sum())
+        if 0 < toxic < len(holders):
+            beside = np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in holders.tolist()])
+            found.append(differing(beside, np.repeat(y[holders], sizes[holders]), len(holders), toxic))
+    return np.unique(np.concatenate(found))
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, seed: int = 5) -> Machine:
     """Adagrad on mini-batches; squared weights are held down."""
     rng = np.random.default_rng(seed)
@@ -142,13 +159,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = E
 
 
 def choose(marked: DataFrame, label: Column, key: Column, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, dict[int, int]] | None:
-    """At most about ``max_labelled`` keys by hash, up to half of it of each label, and how many there are of each."""
-    rows = marked.where(label.isNotNull()).select(key.alias("key"), (label > 0).cast("int").alias("y"), F.pmod(F.xxhash64(key), F.lit(1_000_000)).alias("h"))
+    """At most ``max_labelled`` keys, those of the least hashes, up to half of it of each label, and how many there are of each."""
+    rows = marked.where(label.isNotNull()).select(key.alias("key"), (label > 0).cast("int").alias("y"), F.xxhash64(F.lit(3), key).alias("h"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if set(counts) != {0, 1}:
         return None
-    share = {k: int(1_000_000 * (max_labelled / 2) / n) + 1 for k, n in counts.items()}
-    return rows.where(F.col("h") < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select("key", "y"), counts
+    some = [rows.where(F.col("y") == k).orderBy("h", "key").limit(max_labelled // 2).select("key", "y") for k in (0, 1)]
+    return some[0].unionByName(some[1]), counts
 
 
 def learn(docs: DataFrame, chosen: tuple[DataFrame, dict[int, int]] | None, id_col: str = "doc_id", text_col: str = "text") -> Machine | None:
@@ -156,8 +173,8 @@ def learn(docs: DataFrame, chosen: tuple[DataFrame, dict[int, int]] | None, id_c
     if chosen is None:
         return None
     keys, counts = chosen
-    # At most about MAX_LABELLED keys: small enough to send to every task.
-    drawn = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(keys), "key").select("text", "y")
+    # At most MAX_LABELLED keys: small enough to send to every task. Of rows with one key, the least text counts.
+    drawn = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(keys), "key").groupBy("key", "y").agg(F.min("text").alias("text")).select("text", "y")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, list[int]] = {}

@@ -416,6 +416,50 @@ def test_factorization_machine_learns_pairs():
     assert both > 0 > one and float(m.v[at[1]] @ m.v[at[2]]) > 0
 
 
+def test_factorization_machine_against_a_sum_over_pairs():
+    rng = __import__("numpy").random.default_rng(4)
+    machine = toxicity.Machine(rng.permutation(50), 0.3, rng.normal(size=50), rng.normal(size=(50, 8)))
+    for _ in range(20):
+        ids = rng.choice(50, size=rng.integers(0, 12), replace=False)
+        force = machine.w0 + sum(machine.w[i] for i in ids) + sum(float(machine.v[i] @ machine.v[j]) for k, i in enumerate(ids) for j in ids[:k])
+        assert abs(machine.logit(ids) - force) < 1e-9
+
+
+def test_pairs_without_a_signal_of_their_own():
+    """A group's name is as frequent in clean as in toxic texts; only beside the insult does it tell. Held-out texts."""
+    rng = random.Random(9)
+    plain = [f"word{i}" for i in range(200)]
+    rows = []
+    for i in range(4_000):
+        words = rng.sample(plain, 12)
+        insult, group = rng.random() < 0.3, rng.random() < 0.5
+        toxic = insult and group
+        rows.append((" ".join(words + ["vile"] * insult + ["groupname"] * (group if insult else rng.random() < 0.64)), float(toxic)))
+    rate = [sum("groupname" in t for t, y in rows if y == k) / sum(y == k for _, y in rows) for k in (0.0, 1.0)]
+    kept = {}
+    np = __import__("numpy")
+    sets = [np.array(toxicity.buckets(t, kept), dtype=np.int64) for t, _ in rows]
+    machine = toxicity.fit(sets[:3_000], np.array([y for _, y in rows[:3_000]]))
+    assert set(toxicity.terms("groupname")) <= set(machine.active.tolist())
+    right = [(machine.score(t) >= 0.5) == bool(y) for t, y in rows[3_000:]]
+    assert sum(right) >= 0.99 * len(right) and rate[0] > 0.4
+    assert machine.score("word1 vile") < 0.5 and machine.score("word1 groupname") < 0.5 < machine.score("word1 vile groupname")
+
+
+def test_toxicity_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "vile groupname"), (1, "vile groupname"), (2, "kind"), (3, None), (4, ""), (None, "vile"), (5, "kind " * 50_000)] + [(100 + i, "vile x" if i % 2 else "kind x") for i in range(60)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("score", "y", "key", "terms")})
+    marked = spark.createDataFrame([(100 + i, i % 2) for i in range(60)] + [(1, 1)], "doc_id long, toxic int")
+    chosen = toxicity.choose(marked, F.col("toxic"), F.col("doc_id"), max_labelled=40)
+    assert chosen[0].count() == 40 and chosen[1] == {0: 30, 1: 31}
+    machine = toxicity.learn(docs, chosen)
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score(docs, machine).collect()]
+    by_id = dict(got)
+    assert len(got) == docs.count() and by_id[1] > 0.7 > by_id[2] and by_id[3] == by_id[4] and by_id[None] > 0.7 and by_id[5] < 0.5
+    assert toxicity.score(docs.where("false"), machine).count() == 0
+    assert toxicity.choose(marked.where("toxic = 1"), F.col("toxic"), F.col("doc_id")) is None and toxicity.learn(docs, None) is None
+    assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
+
+
 def test_warc_odd_ids_and_one_task_a_bundle(spark, tmp_path):
     rows = [(None, None, "a" * 200), ("None", "u", "a" * 200), ("x\r\ny >%", "u", "b" * 150), ("null:", "u", "b" * 150), ("", "u", None), ("+ 1", "u", "c"), ("\u00e9", None, "d" * 300), ("\u00e9", None, "d" * 300)]
     pages = spark.createDataFrame(rows, "page_id string, url string, html string")
