@@ -14,16 +14,17 @@ sets are one class from the start. The join is exact: no bucket, group or candid
    holders are one column, with their number as its weight.
 3. Groups. Of the classes that share a common shingle, the most central leads: the one with the largest part
    of its rare shingles common, as an original has whose copies each have changes of their own. Each class
-   is checked exactly against the leader of most of its common shingles, in streams that hold one leader's
+   is checked exactly against one leader, that which most classes could follow, in streams that hold one leader's
    set at a time; connected components of all links found so far are the groups of similar documents. A group
    of n copies costs n checks, not n * n.
-4. Copies of one leader. Let x be a class whose check against its leader B failed and y another class
-   checked against B, neither smaller than B. Were x and y to share no shingle outside B, their overlap would
-   be within x's overlap with B, which is too small for sizes of at least B's; so x and y can link only if
-   they share a shingle outside B. The checks emit those shingles; classes of one leader meet on them alone
+4. Copies of one leader. Let x and y be classes that were checked against the same leader, of whose sets they hold o and p
+   shingles. If they share none outside it, their overlap is at most the smaller of o and p, so they can link only
+   if ``4 (n + m) / 9`` is not more than that: if m is at most ``9 o / 4 - n`` and n at most ``9 p / 4 - m`` (a class's
+   ``room``), which for failed checks is less than the leader's size. All others must share a shingle
+   outside the leader. The checks emit those shingles; classes of one leader meet on them alone
    (again by leaders first), so copies with changes of their own never meet in pairs.
-5. Matrix. Rows (column, group) with the sizes of the group's members. A class and another group of another
-   leader are a candidate if the columns that they share weigh what a member of its sizes needs; the groups' unions of
+5. Matrix. Rows (column, group) with the sizes of the group's members. A class and another group (of another
+   leader, or with room for it) are a candidate if the columns that they share weigh what a member of its sizes needs; the groups' unions of
    whole sets then bound the overlap with each of their members, and groups whose bound is under 0.8 stay closed.
 6. Opening. A class is checked exactly against those members of the groups left that share enough columns
    with it. Components of all links are the result.
@@ -325,14 +326,15 @@ def columns_of(held: DataFrame) -> DataFrame:
     return held.join(one, "tok")
 
 
-def leaders(rows: DataFrame, enough: Column | None = None) -> DataFrame:
-    """Pairs (a, b): each class and the leader of most of its columns (tok, cls, n, w), where they agree in size and share enough."""
+def leaders(rows: DataFrame, least: int = SHARED) -> DataFrame:
+    """Pairs (a, b): each class of rows (tok, cls, n, w) and, of the leaders that it shares ``least`` with and agrees with in size, that of most classes."""
     n, m = F.col("n"), F.col("leader_n")
     central = rows.groupBy("cls").agg(F.sum("w").alias("c"), F.max("n").alias("n")).select("cls", (F.col("c") * 1000 / (n - behind(n))).cast("int").alias("central"))
     top = rows.join(central, "cls").groupBy("tok").agg(F.max(F.struct("central", (-F.col("n")).alias("nn"), "cls")).alias("m")).select("tok", F.col("m.cls").alias("leader"), (-F.col("m.nn")).alias("leader_n"))
     fits = (F.col("cls") != F.col("leader")) & (5 * m >= 4 * n) & (4 * m <= 5 * n)
-    led = rows.join(top, "tok").where(fits).groupBy("cls", "n", "leader", "leader_n").agg(F.sum("w").alias("c")).where(F.col("c") >= (least_shared(n, m) if enough is None else enough))
-    best = led.groupBy("cls").agg(F.max(F.struct("c", "leader")).alias("m"))
+    led = rows.join(top, "tok").where(fits).groupBy("cls", "leader").agg(F.sum("w").alias("c")).where(F.col("c") >= least)
+    following = led.groupBy("leader").agg(F.count("*").alias("size"))
+    best = led.join(following, "leader").groupBy("cls").agg(F.max(F.struct("size", "c", "leader")).alias("m"))
     # Two classes may lead each other: one check is enough.
     pairs = best.select(F.greatest("m.leader", "cls").alias("x"), F.least("m.leader", "cls").alias("y"), F.col("m.leader").alias("a"), F.col("cls").alias("b"))
     return pairs.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
@@ -395,9 +397,9 @@ def unpacked(bag: bytes) -> np.ndarray:
 
 
 def checked(pairs: DataFrame, sets: DataFrame, many: bool = False) -> DataFrame:
-    """Pairs (a, b, led) by exact intersection: an, bn (sizes), ok (similarity of 0.8 or more), rest (b's shingles outside a).
+    """Pairs (a, b, led) by exact intersection: an, bn (sizes), both (overlap), ok (similarity of 0.8 or more), rest (b's shingles outside a).
 
-    ``rest`` is kept where a leads b and b is not smaller. A hot ``a`` is dealt in shares of about ``SHARE`` pairs, each
+    ``rest`` is kept where a leads b. A hot ``a`` is dealt in shares of about ``SHARE`` pairs, each
     with a copy of its set. ``many`` pairs move the sets to them in any case, so the plan is the same at every size.
     """
     shares = pairs.groupBy("a").agg(F.count("*").alias("c")).select(F.col("a").alias("sa"), F.ceil(F.col("c") / SHARE).cast("int").alias("shares"))
@@ -421,16 +423,16 @@ def checked(pairs: DataFrame, sets: DataFrame, many: bool = False) -> DataFrame:
                 at = np.minimum(np.searchsorted(own, s), len(own) - 1)
                 inside = own[at] == s
                 both = int(inside.sum())
-                out.append((a, b.as_py(), led, len(own), len(s), 100 * both >= 80 * (len(s) + len(own) - both), s[~inside].tobytes() if led and len(s) >= len(own) else b""))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["a", "b", "led", "an", "bn", "ok", "rest"])
+                out.append((a, b.as_py(), led, len(own), len(s), both, 100 * both >= 80 * (len(s) + len(own) - both), s[~inside].tobytes() if led else b""))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["a", "b", "led", "an", "bn", "both", "ok", "rest"])
 
     rows = routed.repartition("a", "share").sortWithinPartitions("a", "share", "side")
-    return rows.mapInArrow(run, "a long, b long, led boolean, an int, bn int, ok boolean, rest binary")
+    return rows.mapInArrow(run, "a long, b long, led boolean, an int, bn int, both int, ok boolean, rest binary")
 
 
 def outside(tests: DataFrame) -> DataFrame:
-    """Rows (tok, cls, n): a class's shingles outside its leader, each told apart by leader, for classes not smaller than it."""
+    """Rows (tok, cls, n): a class's shingles outside its leader, each told apart by leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -439,7 +441,7 @@ def outside(tests: DataFrame) -> DataFrame:
             if sum(sizes):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in ("a", "b", "bn")] + [pa.array(np.concatenate(bags))], names=["a", "cls", "n", "t"])
 
-    rows = tests.where("led and bn >= an").select("a", "b", "bn", "rest").mapInArrow(run, "a long, cls long, n int, t long")
+    rows = tests.where("led").select("a", "b", "bn", "rest").mapInArrow(run, "a long, cls long, n int, t long")
     return rows.select(F.xxhash64("a", "t").alias("tok"), "cls", "n")
 
 
@@ -527,7 +529,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     groups = components_of(links)
     # Classes of one leader, on what they have outside it: leaders first, then the pairs left.
     own = materialise(apart(grouped(outside(tests), groups), "tok", "g"), "own")
-    within = materialise(less(leaders(own.withColumn("w", F.lit(1)), F.lit(1)), either_way(first)).withColumn("led", F.lit(False)), "pairs")
+    within = materialise(less(leaders(own.withColumn("w", F.lit(1)), 1), either_way(first)).withColumn("led", F.lit(False)), "pairs")
     more = materialise(checked(within, sets), "tests")
     links = links.unionByName(links_of(more))
     groups = components_of(links)
@@ -535,12 +537,13 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     same_size = (5 * F.col("an") >= 4 * F.col("n")) & (4 * F.col("an") <= 5 * F.col("n"))
     beside = still.join(still.select("tok", F.col("a").alias("b"), F.col("an").alias("n"), F.col("ag").alias("bg")), "tok").where((F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & same_size).select("a", "b").distinct()
     # Classes of different leaders, on common shingles: rows of the matrix.
-    leader = tests.where("led and bn >= an").select(F.col("b").alias("cls"), F.col("a").alias("p"))
-    placed = grouped(hot, groups).join(leader, "cls", "left").withColumn("p", F.coalesce("p", "cls"))
-    rows = materialise(apart(placed, "tok", "g", "p"), "placed")
-    by_group = rows.groupBy("tok", "g", "p").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = rows.select("tok", F.col("cls").alias("q"), "n", "w", F.col("g").alias("own_g"), F.col("p").alias("own_p"))
-    fits = (F.col("own_g") > F.col("g")) & (F.col("own_p") != F.col("p")) & (5 * F.col("most") >= 4 * F.col("n")) & (4 * F.col("least") <= 5 * F.col("n"))
+    leader = tests.where("led").select(F.col("b").alias("cls"), F.col("a").alias("p"), F.floor(9 * F.col("both") / 4 - F.col("bn")).cast("int").alias("room"))
+    placed = grouped(hot, groups).join(leader, "cls", "left").withColumn("p", F.coalesce("p", "cls")).withColumn("room", F.coalesce("room", F.lit(-1)))
+    rows = materialise(apart(placed, "tok", "g"), "placed")
+    by_group = rows.groupBy("tok", "g", "p").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("widest"))
+    asked = rows.select("tok", F.col("cls").alias("q"), "n", "w", F.col("g").alias("own_g"), F.col("p").alias("own_p"), F.col("room").alias("own_room"))
+    inside = (F.col("least") <= F.col("own_room")) & (F.col("n") <= F.col("widest"))
+    fits = (F.col("own_g") > F.col("g")) & ((F.col("own_p") != F.col("p")) | inside) & (5 * F.col("most") >= 4 * F.col("n")) & (4 * F.col("least") <= 5 * F.col("n"))
     near = asked.join(by_group, "tok").where(fits).groupBy("q", "n", "own_p", "g", "p").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("w").alias("c"))
     # A group may spread over several leaders; what the class shares with the group is at most the sum.
     whole = near.groupBy("q", "n", "g").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("c").alias("c"))
@@ -548,9 +551,10 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     n, small, large = F.col("n"), F.greatest("least", F.ceil(4 * F.col("n") / 5).cast("int")), F.least("most", F.floor(5 * F.col("n") / 4).cast("int"))
     candidates = materialise(whole.where(F.col("c") >= F.least(least_shared(n, small), least_shared(n, large))).select("q", "n", "g", "least"), "candidates")
     # Members that share enough common shingles with a class and agree in size, but for pairs already checked.
-    member = rows.select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), "g", "p")
-    asks = rows.select("tok", F.col("cls").alias("q"), "w", F.col("p").alias("own_p")).join(candidates, "q")
-    shared = asks.join(member, ["tok", "g"]).where(same_size & (F.col("p") != F.col("own_p")))
+    member = rows.select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), "g", "p", "room")
+    asks = rows.select("tok", F.col("cls").alias("q"), "w", F.col("p").alias("own_p"), F.col("room").alias("own_room")).join(candidates, "q")
+    roomy = (F.col("an") <= F.col("own_room")) & (F.col("n") <= F.col("room"))
+    shared = asks.join(member, ["tok", "g"]).where(same_size & ((F.col("p") != F.col("own_p")) | roomy))
     pairs = shared.groupBy("a", "an", F.col("q").alias("b"), "n", "g").agg(F.sum("w").alias("c")).where(F.col("c") >= least_shared(F.col("an"), F.col("n"))).select("a", "b", "g")
     done = either_way(first.unionByName(within))
     pairs = materialise(less(pairs, done), "pairs")

@@ -85,6 +85,70 @@ def test_jaccard_components(spark, docs, texts):
     assert got == components_by_force(rows)
 
 
+def test_jaccard_large_groups_against_force(spark):
+    """Groups far beyond FEW: copies with changes of their own around the threshold, shared passages, exact copies, all sizes."""
+    rng = random.Random(21)
+    word = lambda: f"v{rng.randrange(10**9)}"
+    rows = []
+    for group in range(4):
+        base = [word() for _ in range(90 + 40 * group)]
+        for i in range(60):  # one word in 45 changed drops about a tenth of the shingles
+            w = list(base)
+            for _ in range(rng.randrange(0, 2 + len(base) // 22)):
+                w[rng.randrange(len(w))] = word() if i % 3 else f"same{group}"
+            rows.append(" ".join(w if i % 4 else w[: len(w) - rng.randrange(0, 12)]))
+    passage = [word() for _ in range(70)]
+    rows += [" ".join([word() for _ in range(rng.randrange(0, 30))] + passage + [word() for _ in range(rng.randrange(0, 10))]) for _ in range(80)]
+    rows += rows[:5] * 4
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(7)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.components(docs).collect()), key=str)
+    want = components_by_force(list(enumerate(rows)))
+    assert got == want and 40 < len({c for _, _, c in want}) < len(rows) - 40
+
+
+def test_prefixes_share_what_sizes_need():
+    """``least_shared`` is a bound for every pair that links: random sets under a common order."""
+    rng = random.Random(6)
+    for _ in range(3_000):
+        n = rng.randrange(4, 80)
+        a = set(rng.sample(range(200), n))
+        b = set(a)
+        for _ in range(rng.randrange(0, 1 + n // 5)):
+            if rng.random() < 0.6 and len(b) > 4:
+                b.discard(rng.choice(sorted(b)))
+            if rng.random() < 0.6:
+                b.add(rng.randrange(200))
+        if 100 * len(a & b) >= 80 * len(a | b) and len(b) >= 4:
+            first = [set(sorted(s)[: jaccard.prefix_length(len(s))]) for s in (a, b)]
+            behind = max(len(s) - jaccard.prefix_length(len(s)) for s in (a, b))
+            assert len(first[0] & first[1]) >= -(-4 * (len(a) + len(b)) // 9) - behind
+
+
+def test_jaccard_meetings_over_batches():
+    """Runs of a shingle that cross batches, with repeats, few and many holders."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    held = sorted({(t, rng.randrange(40)) for t in range(120) for _ in range(rng.choice([1, 2, 3, 8, 9, 30]))})
+    rows = sorted(held + rng.sample(held, 200))
+    cols = [np.array(x) for x in zip(*rows)]
+    size = 90 + cols[1]
+    for step in (1, 2, 7, 50, 5_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(cols[0][i : i + step]), pa.array(cols[1][i : i + step]), pa.array(size[i : i + step].astype(np.int32)), pa.array(np.zeros(len(cols[0][i : i + step]), np.int32))], names=["tok", "cls", "n", "salt"]) for i in range(0, len(rows), step)]
+        out = [r for b in jaccard.meetings(iter(batches)) for r in b.to_pylist()]
+        by_tok = collections.defaultdict(list)
+        for t, c in held:
+            by_tok[t].append(c)
+        pairs = collections.Counter()
+        for r in out:
+            if r["tok"] is None:
+                pairs[r["a"], r["b"]] += r["times"]
+        agree = lambda x, y: 5 * (90 + x) >= 4 * (90 + y) and 4 * (90 + x) <= 5 * (90 + y)
+        assert pairs == collections.Counter((x, y) for c in by_tok.values() if 2 <= len(c) <= jaccard.FEW for i, x in enumerate(c) for y in c[i + 1 :] if agree(x, y))
+        assert sorted((r["tok"], r["a"]) for r in out if r["tok"] is not None) == sorted((t, c) for t, cs in by_tok.items() if len(cs) > jaccard.FEW for c in cs)
+
+
 def test_jaccard_empty_and_keep_one(docs):
     assert jaccard.components(empty(docs)).count() == 0
     kept = jaccard.keep_one(docs)
