@@ -157,3 +157,63 @@ def prefer(rows: DataFrame, key: list[str], wanted: Column) -> DataFrame:
     """Of each key's rows those that are wanted, or all where none is: the linker's repeated narrowing."""
     w = Window.partitionBy(*key)
     return rows.withColumn("_hit", F.coalesce(wanted, F.lit(False))).withColumn("_any", F.max("_hit").over(w)).where(F.col("_hit") | ~F.col("_any")).drop("_hit", "_any")
+
+
+def envelope(rows: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:
+    """One row {total, offset, count, truncated, items} for a page of at most 500 rows, the items as an ordered array."""
+    total, part = page(rows, order, limit, offset)
+    w = Window.orderBy(*order)  # over at most one page
+    items = part.select(F.struct(F.row_number().over(w).alias("place"), F.struct(*rows.columns).alias("item")).alias("i"))
+    packed = items.agg(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["item"]).alias("items"))
+    shown = F.size("items").cast("long")
+    return packed.select(F.lit(total).cast("long").alias("total"), F.lit(max(0, offset)).cast("long").alias("offset"), shown.alias("count"), (F.lit(max(0, offset)) + shown < F.lit(total)).alias("truncated"), "items")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON text; nulls are kept."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def check_kind(kind: str, known: tuple[str, ...]) -> str:
+    """``kind`` if it is one of those known; otherwise an error that names them."""
+    if kind not in known:
+        raise ValueError(f"unknown kind {kind!r}; one of {', '.join(sorted(known))}")
+    return kind
+
+
+def qualified_names(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, qualified_name) of the ids asked for (one column), the name where there is no qualified one."""
+    return near(nodes, "id", ids).select("id", F.coalesce(F.nullif("qualified_name", F.lit("")), "name").alias("qualified_name"))
+
+
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    """Edges that agree in both ends, kind, confidence and all attributes once."""
+    return edges.dropDuplicates(edges.columns)
+
+
+def missing_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids that edges name and no node has: what a bounded read must look up."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return ends.join(nodes.select("id"), "id", "left_anti")
+
+
+def strided(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """``k`` rows at equal strides in the order of ``key`` (all if there are fewer): positions floor(i * n / k).
+
+    Places come from counts of key ranges, so no task holds more than a range."""
+    n = rows.count()
+    if n <= k:
+        return rows
+    ranged = rows.repartitionByRange(key).sortWithinPartitions(key).select(F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"), *rows.columns)
+    held = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from")).collect()
+    starts, before = [], 0
+    for r in sorted(held, key=lambda r: r["_part"]):
+        starts.append((r["_part"], r["_from"], before))
+        before += r["_n"]
+    place = F.lit(None).cast("long")
+    for part, first, start in starts:
+        place = F.when(F.col("_part") == part, F.col("_at") - first + start).otherwise(place)
+    numbered = ranged.withColumn("_place", place)
+    # Position p is hit if some whole i has floor(i * n / k) = p.
+    i = F.ceil(F.col("_place") * k / F.lit(n)).cast("long")
+    return numbered.where((F.floor(i * n / F.lit(k)) == F.col("_place")) & (i < k)).drop("_part", "_at", "_place")

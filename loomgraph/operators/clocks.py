@@ -25,6 +25,11 @@ def clock_domains(edges: DataFrame, root: DataFrame) -> DataFrame:
     return clocked.groupBy("root").agg(F.countDistinct("src").alias("process_count"), F.min("confidence").alias("min_confidence"), F.countDistinct("dst").alias("net_count"))
 
 
+def of_processes(nodes: DataFrame, edges: DataFrame, *kinds: str) -> DataFrame:
+    """Edges of some kinds whose source is a process; instances and units have none of their own."""
+    return of_kind(edges, *kinds).join(nodes.where(F.col("kind") == "process").select(F.col("id").alias("src")), "src", "left_semi")
+
+
 def domain_signals(edges: DataFrame, root: DataFrame) -> DataFrame:
     """Distinct signals that the processes of a domain drive."""
     clocked = rooted(of_kind(edges, "clocked_by"), root).select(F.col("src").alias("p"), F.col("root").alias("domain")).distinct()

@@ -70,3 +70,44 @@ def anchored_stubs(stubs: DataFrame, referenced: DataFrame, declares: DataFrame,
     seeds = stubs.join(referenced.select("id").distinct(), "id", "left_semi")
     inner = declares.join(stubs.select(F.col("id").alias("src")), "src", "left_semi").join(stubs.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit("declares").alias("via"))
     return reach(materialise(inner, "stubs"), seeds, rounds).select("id")
+
+
+#: Languages and features whose edges depend on more than the files that change.
+NEEDS_ALL = ("vhdl", "perl", "sln", "python", "tcl")
+
+
+def needs_full_link(files: DataFrame, edges: DataFrame, enriched: bool = False) -> bool:
+    """Whether a change must be linked in full: enrichment, bindings, or files of languages that link by the whole design."""
+    return enriched or not files.where(F.col("language").isin(*NEEDS_ALL)).limit(1).isEmpty() or not edges.where(F.col("kind") == "binds").limit(1).isEmpty()
+
+
+def merge_gate(metas: list[dict]) -> None:
+    """Refuse to merge graphs of unlike roots or versions, or enriched ones."""
+    for key in ("root", "schema_version", "codec_version"):
+        seen = {str(m.get(key)) for m in metas}
+        if len(seen) > 1:
+            raise ValueError(f"graphs differ in {key}: {', '.join(sorted(seen))}")
+    if any(m.get("enriched") for m in metas):
+        raise ValueError("an enriched graph cannot be merged")
+
+
+def adapter_union(parts: list[DataFrame], key: str, fingerprint: str) -> DataFrame:
+    """The union of parts, each key once; keys with unlike fingerprints are an error that names some of them."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    unlike = every.groupBy(key).agg(F.min(fingerprint).alias("a"), F.max(fingerprint).alias("b")).where("a <> b").orderBy(key).limit(5).collect()
+    if unlike:
+        raise ValueError(f"unlike versions of {', '.join(str(r[key]) for r in unlike)}")
+    return every.dropDuplicates([key])
+
+
+def delta_counters(before: DataFrame, after: DataFrame, keys: list[str], confidence: str = "confidence") -> DataFrame:
+    """One row: edges added, removed, upgraded and downgraded in confidence, and unchanged, between two graphs."""
+    a = before.groupBy(*keys).agg(F.max(confidence).alias("was"))
+    b = after.groupBy(*keys).agg(F.max(confidence).alias("now"))
+    j = a.join(b, keys, "full")
+    return j.agg(
+        F.count_if(F.col("was").isNull()).alias("added"), F.count_if(F.col("now").isNull()).alias("removed"),
+        F.count_if(F.col("now") > F.col("was")).alias("upgraded"), F.count_if(F.col("now") < F.col("was")).alias("downgraded"), F.count_if(F.col("now") == F.col("was")).alias("unchanged"),
+    )

@@ -154,3 +154,20 @@ def resolve_files(refs: DataFrame, files: DataFrame) -> DataFrame:
     """File references (ref_id, path) to file nodes or stubs."""
     joined = refs.join(files.select("path", F.lit(True).alias("_known")).distinct(), "path", "left")
     return joined.select("ref_id", F.concat(F.when(F.col("_known"), "file:").otherwise("unresolved:file:"), F.col("path")).alias("target"))
+
+
+def prefer_package(candidates: DataFrame) -> DataFrame:
+    """Bases of a class: of each reference's candidates (ref_id, package, qualified_name) those of its own package, or all."""
+    return prefer(candidates, ["ref_id"], F.startswith("qualified_name", F.concat("package", F.lit("."))))
+
+
+def foreign_targets(candidates: DataFrame) -> DataFrame:
+    """Foreign functions (ref_id, direction, language, is_definition): imports bind to C and C++, definitions before
+    declarations, exports to (System)Verilog."""
+    own = F.when(F.col("direction") == "import", F.col("language").isin("c", "cpp")).otherwise(F.col("language").isin("systemverilog", "verilog"))
+    return prefer(candidates.where(own), ["ref_id"], F.col("is_definition") | (F.col("direction") != "import"))
+
+
+def prefer_assertable(candidates: DataFrame) -> DataFrame:
+    """Targets of assertions (ref_id, kind): properties and sequences before signals of the name."""
+    return prefer(candidates, ["ref_id"], F.col("kind").isin("property", "sequence"))

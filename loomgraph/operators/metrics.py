@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The unit graph is compact; beyond this many links its whole-graph metrics are refused rather than collected.
@@ -13,15 +13,23 @@ MAX_LINKS = 2_000_000
 
 
 def percentiles(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
-    """Nearest-rank p50, p90, max and mean, the rank being rounded half to even."""
+    """Nearest-rank p50, p90, max and mean, the rank being rounded half to even.
 
-    def rank(q: float):
-        # Interpolation-free: the value of the rank, by exact percentile at a whole position.
-        at = F.expr(f"bround({q} * (n - 1))").cast("int")
-        return F.element_at("v", at + 1)
+    Equal values are counted first, so a group is one row per distinct value; ranks are running sums of these counts."""
+    counted = rows.groupBy(*group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(*group)
+    ranked = counted.select(*group, "v", "c", F.sum("c").over(whole.orderBy("v")).alias("upto"), F.sum("c").over(whole).alias("n"))
 
-    sorted_ = rows.groupBy(*group).agg(F.array_sort(F.collect_list(value)).alias("v"), F.count("*").alias("n"), F.max(value).alias("max"), F.avg(value).alias("mean"))
-    return sorted_.select(*group, rank(0.5).alias("p50"), rank(0.9).alias("p90"), "max", F.round("mean", 6).alias("mean"))
+    def at(q: float):
+        """The least value whose running count exceeds the rank."""
+        return F.min(F.when(F.col("upto") > F.expr(f"cast(bround({q} * (n - 1)) as long)"), F.col("v")))
+
+    return ranked.groupBy(*group).agg(at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("v").alias("max"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"))
+
+
+def top(measured: DataFrame, n: int, order: tuple[str, ...] = ("betweenness", "degree"), name: str = "unit") -> DataFrame:
+    """The first ``n`` units by falling measures, then by name."""
+    return measured.orderBy(*(F.desc(c) for c in order), name).limit(max(0, n))
 
 
 def links(projected: DataFrame) -> list[tuple[str, str]]:

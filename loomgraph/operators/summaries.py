@@ -114,3 +114,28 @@ def prune_paths(paths: DataFrame, max_nodes: int) -> tuple[DataFrame, int]:
 def locality(refs: DataFrame, closures: DataFrame) -> DataFrame:
     """Per edited file: distinct references that its closure resolves anew (refs: file, src, kind; closures: edit, file)."""
     return closures.join(refs, "file").groupBy("edit").agg(F.countDistinct("file", "src", "kind").alias("reresolved"))
+
+
+#: Rows that a report shows of each list at most (fixed values); counts beside them are of all rows.
+CAPS = {"crossings": 50, "suppressed": 50, "power": 50, "collapses": 20, "instances": 20, "errors": 20, "constraints": 32}
+
+
+def capped(rows: DataFrame, what: str, *order) -> tuple[int, DataFrame]:
+    """How many rows there are, and those that a report shows."""
+    return rows.count(), rows.orderBy(*order).limit(CAPS[what])
+
+
+def status(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row on a stored graph: files parsed and skipped, parse errors, nodes, edges, unresolved targets."""
+    by_file = files.agg(F.count_if(F.col("skipped_reason").isNull()).alias("parsed"), F.count_if(F.col("skipped_reason").isNotNull()).alias("skipped"), F.coalesce(F.sum("parse_error_count"), F.lit(0)).alias("errors"))
+    counts = nodes.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges")), edges.where(F.col("kind") != "declares").select("dst").distinct().join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").agg(F.count("*").alias("unresolved"))
+    out = by_file.withColumn("k", F.lit(1))
+    for c in counts:
+        out = out.join(c.withColumn("k", F.lit(1)), "k")
+    return out.drop("k")
+
+
+def test_report(nodes: DataFrame, covers: DataFrame) -> DataFrame:
+    """(test, dut, confidence) by names, from test_covers (test_id, dut_id, confidence)."""
+    named = lambda c, n: nodes.select(F.col("id").alias(c), F.col("name").alias(n))
+    return covers.join(named("test_id", "test"), "test_id").join(named("dut_id", "dut"), "dut_id").select("test", "dut", "confidence").orderBy("test", "dut")

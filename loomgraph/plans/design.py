@@ -49,6 +49,14 @@ LOOKS_AT: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "q15_articulation": _steps_only,
     "q15_communities": _steps_only,
     "ag10_projection": _steps_only,
+    "sl05_metrics_top": _steps_only,
+    "ag15_nearest_ranks": _steps_only,
+    "sl01_envelope": (("module",), ("extends",)),
+    "wn09_strided_sample": (("module",), ("extends",)),
+    "q20_qualified_names": ((), ("instantiates",)),
+    "jn18_process_edges": (("process",), ("drives", "reads", "declares")),
+    "prj09_json": (("port",), ("extends",)),
+    "ag20_delta_counters": (("port",), ("drives",)),
     "ag15_percentiles": _steps_only,
     "ag17_rollup": _steps_only,
     "ag18_most_instantiated": _steps_only,
@@ -441,3 +449,67 @@ def trv13_test_covers(n, e):
     wide = e.unionByName(more.select("src", "dst", "kind", *(v.alias(c) for c, v in blank.items())))
     covers = summaries.derive_test_covers(n.unionByName(benches), wide, ends)
     return covers.join(ends, covers.test_id == ends.id, "left_semi").select("test_id", "dut_id")
+
+
+@query("select count(*) as total, cast(10 as bigint) as \"offset\", cast(25 as bigint) as \"count\", count(*) > 35 as truncated, (select string_agg(id, ',' order by line, id) from (select id, line from nodes where kind = 'module' and language = 'vhdl' order by line, id limit 25 offset 10)) as items from nodes where kind = 'module' and language = 'vhdl'")
+def sl01_envelope(n, e):
+    units = n.where("kind = 'module' and language = 'vhdl'").select("line", "id")
+    return bounded.envelope(units, ["line", "id"], 25, 10).withColumn("items", F.array_join(F.transform("items", lambda x: x["id"]), ","))
+
+
+@query("select id, coalesce(nullif(qualified_name, ''), name) as qualified_name from nodes where id in (select dst from edges where kind = 'instantiates' and src like 'customer::instance:1%')")
+def q20_qualified_names(n, e):
+    asked = e.where("kind = 'instantiates' and src like 'customer::instance:1%'").select("dst")
+    return bounded.qualified_names(n, asked)
+
+
+@query("select kind, count(*) as n from (select distinct * from edges) group by 1")
+def wn03_distinct_edges(n, e):
+    return bounded.histogram(bounded.distinct_edges(e))
+
+
+@query("select id, line from (select id, line, row_number() over (order by id) - 1 as p, count(*) over () as n from nodes where kind = 'module' and language = 'vhdl') where p in (select floor(i * (select count(*) from nodes where kind = 'module' and language = 'vhdl') / 40.0) from range(40) t(i))")
+def wn09_strided_sample(n, e):
+    return bounded.strided(n.where("kind = 'module' and language = 'vhdl'").select("id", "line"), "id", 40)
+
+
+@query("select id, count(*) as n from (select src as id from edges union all select dst from edges) where id not in (select id from nodes) group by 1")
+def jn22_missing_ends(n, e):
+    ends = e.select(F.explode(F.array("src", "dst")).alias("id"))
+    return ends.join(bounded.missing_ends(n, e), "id", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("select kind, count(*) as n, count(distinct src) as processes from edges where kind in ('drives', 'reads', 'declares') and src in (select id from nodes where kind = 'process') group by 1")
+def jn18_process_edges(n, e):
+    return clocks.of_processes(n, e, "drives", "reads", "declares").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("src").alias("processes"))
+
+
+@query(f", {_steps}, pr as (select parent, target, count(*) as weight from steps group by 1, 2), ends as (select parent as unit, 0 as i, weight as o from pr union all select target, weight, 0 from pr), fan as (select unit, cast(sum(i) as bigint) as fan_in, cast(sum(o) as bigint) as fan_out from ends group by unit) select * from fan order by fan_in desc, fan_out desc, unit limit 20")
+def sl05_metrics_top(n, e):
+    return metrics.top(bounded.fan(bounded.projection(n, e)), 20, ("fan_in", "fan_out"))
+
+
+@query(", u as (select split_part(dst, ':', 1) as family, count(*) as c from edges where kind = 'instantiates' group by dst, 1), r as (select family, c, row_number() over (partition by family order by c) - 1 as k, count(*) over (partition by family) as n from u) select family, max(c) filter (where k = cast(round_even(0.5 * (n - 1), 0) as bigint)) as p50, max(c) filter (where k = cast(round_even(0.9 * (n - 1), 0) as bigint)) as p90, max(c) as max, round(avg(c), 6) as mean from r group by family")
+def ag15_nearest_ranks(n, e):
+    uses = bounded.instance_counts(e).withColumn("family", F.split_part("unit", F.lit(":"), F.lit(1)))
+    return metrics.percentiles(uses, "instances", ["family"])
+
+
+@query("select json_object('id', id, 'name', name, 'direction', direction, 'line', line) as json from nodes where kind = 'port'")
+def prj09_json(n, e):
+    return bounded.as_json(n.where("kind = 'port'").select("id", "name", "direction", "line"))
+
+
+@query("select count(*) filter (where is_low and not is_gone) as upgraded, cast(0 as bigint) as downgraded, cast(0 as bigint) as added, count(*) filter (where is_gone) as removed, count(*) filter (where not is_low and not is_gone) as unchanged from (select src, dst, max(confidence) < 0.8 as is_low, dst like '%7' as is_gone from edges where kind = 'drives' group by src, dst)")
+def ag20_delta_counters(n, e):
+    from ..operators import incremental
+
+    before = e.where("kind = 'drives'").select("src", "dst", "confidence")
+    after = before.where("dst not like '%7'").withColumn("confidence", F.when(F.col("confidence") < 0.8, 0.8).otherwise(F.col("confidence")))
+    return incremental.delta_counters(before, after, ["src", "dst"])
+
+
+@query("select (select count(*) from nodes where kind = 'module' and line % 5 <> 0) as parsed, (select count(*) from nodes where kind = 'module' and line % 5 = 0) as skipped, (select cast(sum(line % 3) as bigint) from nodes where kind = 'module') as errors, (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, (select count(distinct dst) from edges where kind <> 'declares' and dst not in (select id from nodes)) as unresolved")
+def q16_status(n, e):
+    files = n.where("kind = 'module'").select(F.when(F.col("line") % 5 == 0, "size").alias("skipped_reason"), (F.col("line") % 3).alias("parse_error_count"))
+    return summaries.status(files, n, e)

@@ -294,3 +294,53 @@ def test_stored_graph_is_sorted_and_replaced_atomically(spark, tmp_path):
     finally:
         bounded.PUSHED = many
     assert bounded.near(stored, "dst", n.where("false").select("id")).count() == 0
+
+
+def test_configuration_and_waivers(tmp_path):
+    from loomgraph.operators.lint import CHECKS
+    from loomgraph.sources import config
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "loomgraph.toml").write_text('[build]\nsources = ["rtl/**/*.sv"]\nodd = 1\n')
+    found = config.find(str(tmp_path / "a" / "b"))
+    assert found == str(tmp_path / "loomgraph.toml") and config.find("/") is None
+    built, warnings = config.load((tmp_path / "loomgraph.toml").read_text())
+    assert built["sources"] == ["rtl/**/*.sv"] and built["max_file_size_kb"] == 2048 and warnings == ["unknown key 'odd'"]
+    assert config.DEFAULTS["sources"] == []
+    with pytest.raises(ValueError):
+        config.load('[build]\nsources = "x"\n')
+    assert config.waivers('[[waiver]]\ncheck = "open-port"\nfile = "rtl/*"\nreason = "vendor"\n', CHECKS) == [{"check": "open-port", "file": "rtl/*"}]
+    for bad in ('[[waiver]]\nreason = "x"\n', '[[waiver]]\ncheck = "nope"\n', '[[waiver]]\nfiles = "x"\n'):
+        with pytest.raises(ValueError):
+            config.waivers(bad, CHECKS)
+    assert config.relative("/w/./rtl/a.sv", "/w") == "rtl/a.sv" and config.relative("/x/a.sv", "/w") == "/x/a.sv" and config.relative("rtl//a.sv", "/w") == "rtl/a.sv"
+    assert config.confined("rtl/a.sv", "/w") and not config.confined("../a.sv", "/w") and not config.confined("/wx/a", "/w")
+
+
+def test_merge_gates_and_narrowing(spark):
+    from loomgraph.operators import bounded, incremental
+
+    base = {"root": "r", "schema_version": 1, "codec_version": 1}
+    incremental.merge_gate([base, dict(base)])
+    for bad in ({**base, "root": "x"}, {**base, "schema_version": 2}, {**base, "enriched": True}):
+        with pytest.raises(ValueError):
+            incremental.merge_gate([base, bad])
+    a, b, c = (spark.createDataFrame(r, "path string, h string") for r in ([("x", "1"), ("y", "2")], [("y", "2"), ("z", "3")], [("x", "9")]))
+    assert incremental.adapter_union([a, b], "path", "h").count() == 3
+    with pytest.raises(ValueError, match="x"):
+        incremental.adapter_union([a, b, c], "path", "h")
+    files, none = spark.createDataFrame([("systemverilog",)], "language string"), spark.createDataFrame([], "kind string")
+    assert not incremental.needs_full_link(files, none) and incremental.needs_full_link(files, none, enriched=True)
+    assert incremental.needs_full_link(files.unionByName(spark.createDataFrame([("vhdl",)], "language string")), none)
+    assert incremental.needs_full_link(files, spark.createDataFrame([("binds",)], "kind string"))
+    bases = spark.createDataFrame([(1, "p", "p.c"), (1, "p", "q.c"), (2, "p", "q.c"), (2, "p", "pp.c")], "ref_id int, package string, qualified_name string")
+    assert {(r["ref_id"], r["qualified_name"]) for r in link.prefer_package(bases).collect()} == {(1, "p.c"), (2, "q.c"), (2, "pp.c")}
+    dpi = spark.createDataFrame([(1, "import", "c", False), (1, "import", "cpp", True), (1, "import", "verilog", True), (2, "export", "systemverilog", False), (2, "export", "c", True)], "ref_id int, direction string, language string, is_definition boolean")
+    assert {(r["ref_id"], r["language"]) for r in link.foreign_targets(dpi).collect()} == {(1, "cpp"), (2, "systemverilog")}
+    asserts = spark.createDataFrame([(1, "signal"), (1, "property"), (2, "signal")], "ref_id int, kind string")
+    assert {(r["ref_id"], r["kind"]) for r in link.prefer_assertable(asserts).collect()} == {(1, "property"), (2, "signal")}
+    assert bounded.check_kind("module", bounded.UNITS) == "module"
+    with pytest.raises(ValueError, match="class"):
+        bounded.check_kind("modul", bounded.UNITS)
+    few = spark.createDataFrame([(i,) for i in range(7)], "k int")
+    assert sorted(r["k"] for r in bounded.strided(few, "k", 3).collect()) == [0, 2, 4] and bounded.strided(few, "k", 9).count() == 7
