@@ -127,3 +127,13 @@ def graphml_head(nodes: DataFrame, edges: DataFrame) -> str:
 
 
 GRAPHML_TAIL = "</graph>\n</graphml>"
+
+
+def gexf_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The body of a GEXF file (section, value), one element a line: nodes with id and label, edges with their kind as label."""
+    n = nodes.select(F.lit("nodes").alias("section"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('" label="'), _xml(F.coalesce("name", "id")), F.lit('"/>')).alias("value"))
+    e = edges.select(F.lit("edges").alias("section"), F.concat(F.lit('<edge source="'), _xml(F.col("src")), F.lit('" target="'), _xml(F.col("dst")), F.lit('" label="'), _xml(F.col("kind")), F.lit('"/>')).alias("value"))
+    return n.unionByName(e)
+
+
+GEXF_HEAD, GEXF_TAIL = '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://gexf.net/1.3" version="1.3">\n<graph defaultedgetype="directed">', "</graph>\n</gexf>"

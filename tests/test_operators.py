@@ -181,7 +181,17 @@ def test_store_round_trip_and_export(spark, tmp_path):
     assert q.hierarchy("region_1", 1).where("depth = 1").count() > 0 and q.find_module("nation_3").count() == 1
     with pytest.raises(ValueError):
         q.hierarchy("nowhere")
+    import json
+
+    from loomgraph.__main__ import answer, main
+
+    lines = [json.loads(x) for x in answer(spark, root, "find-module", ["nation_3"])]
+    assert len(lines) == 1 and lines[0]["instantiation_count"] == 1
+    paged = json.loads(answer(spark, root, "modules", [], page=2, offset=1)[0])
+    assert paged["count"] == 2 and paged["truncated"] and paged["total"] > 100 and len(paged["items"]) == 2
+    assert main([root, "unit", "region_1"]) == 0 and main([root, "unit", "nowhere"]) == 2 and main([root, "no-such", "x"]) == 2 and main([root, "unit"]) == 2
     some = spark.createDataFrame([("a<", "k&")], "id string, name string")
+    assert {r["value"] for r in store.gexf_rows(some, spark.createDataFrame([("a<", "a<", "x")], "src string, dst string, kind string")).collect()} == {'<node id="a&lt;" label="k&amp;"/>', '<edge source="a&lt;" target="a&lt;" label="x"/>'}
     assert store.graphml_rows(some, spark.createDataFrame([("a<", "a<", "x")], "src string, dst string, kind string")).collect()[0][0] == '<node id="a&lt;"><data key="name">k&amp;</data></node>'
     assert store.node_link_rows(some, some.select(F.col("id").alias("src"))).count() == 2
     kept = store.replace_sources(spark.createDataFrame([("a", 1), ("b", 1)], "src string, v int"), spark.createDataFrame([("a", 2), ("b", 2)], "src string, v int"), spark.createDataFrame([("a",)], "src string"))
