@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share.
+    """A fresh path in the folder that driver and executors share, below one for the application.
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset, as in
     local tests, a temporary folder takes its place (a local master has one machine).
@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -30,9 +30,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder, once none of its frames is read any more."""
+    _delete(spark, shared_dir(spark, "").rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files behind a frame that ``materialise`` returned, once nothing reads it any more."""
-    sc = df.sparkSession.sparkContext
     for f in df.inputFiles()[:1]:
-        path = sc._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, f.rsplit("/", 1)[0])

@@ -354,3 +354,16 @@ def test_merge_gates_and_narrowing(spark):
         bounded.check_kind("modul", bounded.UNITS)
     few = spark.createDataFrame([(i,) for i in range(7)], "k int")
     assert sorted(r["k"] for r in bounded.strided(few, "k", 3).collect()) == [0, 2, 4] and bounded.strided(few, "k", 9).count() == 7
+
+
+def test_shared_tables_are_dropped_and_released(spark):
+    from pathlib import Path
+
+    from loomgraph.sources import shared
+
+    a, b = shared.materialise(spark.range(5), "a"), shared.materialise(spark.range(6), "b")
+    at = [Path(x.inputFiles()[0].removeprefix("file://")).parent for x in (a, b)]
+    assert all(p.is_dir() for p in at) and at[0].parent == at[1].parent and at[0].parent.name == spark.sparkContext.applicationId
+    shared.drop(a)
+    assert not at[0].exists() and b.count() == 6
+    shared.drop(spark.range(3).where("id < 0"))  # no files behind it
