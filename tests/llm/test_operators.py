@@ -643,3 +643,26 @@ def test_pipeline_stages(spark):
             assert all(i == c for i, _, c in components_by_force(rows))
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in last.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    """Nulls in any column, empties, repeated rows, a very long text, clashing columns, and empty tables."""
+    import corpus_pipeline
+
+    base = docs.orderBy("doc_id").limit(60).unionByName(docs.where("doc_id is null or doc_id > 900000")).cache()
+    base = base.unionByName(base.where("doc_id = 900006").withColumn("doc_id", F.lit(900007).cast("long")))
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+    whole = rows(base)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, base, SF)
+        assert kept.columns == base.columns and not rows(kept) - whole, name
+        assert stage(spark, base.where("false"), SF).count() == 0, name
+    language = rows(stages["language"](spark, base, SF))
+    assert all((t and any(map(str.isalpha, t))) for _, t in language) and language[None, "A null id and some words to follow it"] in (0, 1)
+    single = rows(stages["near_duplicates"](spark, base, SF))
+    assert single[900005, "one two"] == 1 and single[900001, None] == 1 and single[900002, ""] == 1 and sum(i in (900006, 900007) for i, _ in single) == 1
+    assert rows(stages["benchmark"](spark, base, SF))[900005, "one two"] == 2
+    mixed = stages["mixture"](spark, base, SF)
+    assert {"doc_id", "text", "weight", "epoch"} <= set(mixed.columns) and not set(whole) - set(rows(mixed))
+    assert stages["mixture"](spark, base.where("false"), SF).count() == 0
