@@ -15,6 +15,18 @@ SPACES = r"[\x20\x09-\x0D]+"
 NO_SPACE = r"[^\x20\x09-\x0D]"
 
 
+#: Rows of text that a Python worker gets at once; texts may be long, and both sides hold a batch in memory.
+BATCH = 2_000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after the session's Arrow batches have been made no larger than ``BATCH`` rows."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH:
+        conf.set(key, str(BATCH))
+    return docs
+
+
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small driver-side table as a native relation (no RDD behind it)."""
     ddl = T.ArrayType(T._parse_datatype_string(schema))

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import small_batches
+
 #: About so many items share a latent space.
 RANK = 256
 OVERSAMPLE = 16
@@ -121,8 +123,10 @@ def frequencies(docs: DataFrame, names: dict[str, int]) -> tuple[int, np.ndarray
         own, counts = Vocabulary(names), np.zeros(len(names) + 2, np.int64)
         for b in batches:
             for t in b.column("text"):
-                k = np.unique(own.ids(t.as_py()))
-                counts[k] += 1
+                # Tokens that differ by their edges only may have one number.
+                k = {own[x] for x in set((t.as_py() or "").lower().split())}
+                k.discard(own.none)
+                counts[list(k)] += 1
                 counts[-1] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["k", "n"])
@@ -169,7 +173,7 @@ def in_order(items: DataFrame) -> list[tuple]:
 
 def models(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", text_col: str = "text", rank: int = RANK, block: int = BLOCK) -> list[Model]:
     """A model for about every ``rank`` items; the list is as long as the benchmark is large, never larger with the corpus."""
-    texts = docs.select(F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(text_col).alias("text"))
     rows = benchmark.where(F.length(F.coalesce(F.col(item_text), F.lit(""))) > 0).select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
     blocks = max(1, -(-rows.count() // block))
     out = []
@@ -219,11 +223,17 @@ class Scanner:
             own, counts = np.unique(n, return_counts=True)
             self.places.append(own)
             self.counts.append(counts)
-        self.least = [MATCH * len(n) if len(n) >= LEAST_WORDS else len(n) for n in model.numbers]
+        self.least = np.array([MATCH * len(n) if len(n) >= LEAST_WORDS else max(1, len(n)) for n in model.numbers])
+        self.longest = max(map(len, model.numbers), default=0)
         self.weight = model.idf**2
-
-    def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """By item, the windows (first word, end) that may have the candidate cosine, in order."""
+        self.lengths = np.array([len(n) for n in model.numbers])
+        # How often each word stands in each item.
+        self.held = np.zeros((len(model.names), len(model.numbers)), np.float32)
+        for k, (own, counts) in enumerate(zip(self.places, self.counts)):
+            self.held[own, k] = counts
+
+    def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first word, end) of windows that may have the candidate cosine, by item and in order."""
         m, n = self.m, len(ids)
         weights = np.r_[0, np.cumsum(self.weight[ids])]
         starts, ends = [], []
@@ -237,7 +247,7 @@ class Scanner:
             starts.append(at[near])
             ends.append(to[near])
         starts, ends = np.concatenate(starts), np.concatenate(ends)
-        out: dict[int, list[tuple[int, int]]] = {}
+        out = []
         order = np.argsort(starts, kind="stable")
         starts, ends = starts[order], ends[order]
         # A word that stands repeatedly counts once each time, which is at most the norm: no cosine is taken for less.
@@ -247,15 +257,25 @@ class Scanner:
             if i == j:
                 continue
             lo, hi = starts[i], ends[i:j].max()
+            # Items that have too few of their words here, and around, cannot have the subsequence either.
+            around = np.unique(ids[max(0, lo - self.longest) : hi + self.longest])
+            own = np.flatnonzero(self.held[around[around < len(m.names)]].sum(0) >= self.least)
+            if not len(own):
+                continue
             inside = ids[lo:hi] < len(m.names)
             upto = np.r_[0, np.cumsum(inside)]
-            sums = np.zeros((int(upto[-1]) + 1, m.loaded.shape[1]), np.float32)
-            np.cumsum(m.loaded[ids[lo:hi][inside]], axis=0, out=sums[1:])
+            sums = np.zeros((int(upto[-1]) + 1, len(own)), np.float32)
+            np.cumsum(m.loaded[np.ix_(ids[lo:hi][inside], own)], axis=0, out=sums[1:])
             products = sums[upto[ends[i:j] - lo]] - sums[upto[starts[i:j] - lo]]
-            w, k = np.nonzero(products >= least[i:j, None])
-            for item, s, e in zip(k.tolist(), starts[i + w].tolist(), ends[i + w].tolist()):
-                out.setdefault(item, []).append((s, e))
-        return out
+            at = np.flatnonzero(products >= least[i:j, None])
+            if len(at):
+                w, k = np.divmod(at, products.shape[1])
+                out.append((own[k], starts[i + w], ends[i + w]))
+        if not out:
+            return (np.empty(0, np.int64),) * 3
+        k, s, e = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((s, k))
+        return k[order], s[order], e[order]
 
     def cosine(self, ids: np.ndarray, k: int) -> float:
         """Of a window and an item."""
@@ -278,34 +298,30 @@ class Scanner:
         n = len(ids)
         if not n:
             return []
-        out = []
-        for k, windows in self.candidates(ids).items():
+        items, starts, ends = self.candidates(ids)
+        if not len(items):
+            return []
+        lows, highs = np.maximum(0, starts - self.lengths[items]), np.minimum(n, ends + self.lengths[items])
+        # Windows whose surroundings overlap are first checked as one: what that lacks, none of them has.
+        apart = items * (n + 1)
+        upto = np.maximum.accumulate(highs + apart)
+        first = np.flatnonzero(np.r_[True, (lows + apart)[1:] >= upto[:-1]])
+        last = np.r_[first[1:], len(items)]
+        best: dict[int, tuple] = {}
+        for i, j, k, lo, hi in zip(first.tolist(), last.tolist(), items[first].tolist(), lows[first].tolist(), (upto[last - 1] - apart[first]).tolist()):
+            whole = self.common(ids[lo:hi], k)
+            if not whole:
+                continue
             length, answer = len(m.numbers[k]), m.answers[k]
-            # Windows whose surroundings overlap are first checked as one: what that lacks, none of them has.
-            runs: list[list[tuple[int, int, int, int]]] = []
-            end = -1
-            for s, e in windows:
-                lo, hi = max(0, s - length), min(n, e + length)
-                if lo >= end:
-                    runs.append([])
-                runs[-1].append((lo, hi, s, e))
-                end = max(end, hi)
-            best = None
-            for run in runs:
-                if len(run) > 1 and not self.common(ids[run[0][0] : max(hi for _, hi, _, _ in run)], k):
+            for s, e, lo, hi in zip(*(x[i:j].tolist() for x in (starts, ends, lows, highs))):
+                found = whole if j == i + 1 else self.common(ids[lo:hi], k)
+                if not found:
                     continue
-                for lo, hi, s, e in run:
-                    found = self.common(ids[lo:hi], k)
-                    if not found:
-                        continue
-                    share = found.bit_count() / length
-                    last = (found >> (length - answer)).bit_count() / answer if answer else 1.0
-                    if last >= ANSWER and (best is None or (share, last) > best[:2]):
-                        best = (share, last, lo, hi, s, e)
-            if best:
-                share, last, lo, hi, s, e = best
-                out.append((m.ids[k], self.cosine(ids[s:e], k), share, last, lo, hi))
-        return out
+                share = found.bit_count() / length
+                answered = (found >> (length - answer)).bit_count() / answer if answer else 1.0
+                if answered >= ANSWER and (k not in best or (share, answered) > best[k][:2]):
+                    best[k] = (share, answered, lo, hi, s, e)
+        return [(m.ids[k], self.cosine(ids[s:e], k), share, answered, lo, hi) for k, (share, answered, lo, hi, s, e) in best.items()]
 
 
 def sent(spark, models_: list[Model]) -> list:

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import drop, materialise
+from .common import drop, materialise, small_batches
 
 WIDTH = 5
 #: Rare shingles that linked sets share at least.
@@ -509,7 +509,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Per row, beside what ``components`` gives: h (its text's hash) and c (its component's own number, null for an empty text)."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counted = materialise(census(texts, width), "census")
     found = materialise(met(texts, frequent_table(counted), width), "met")
     # Common shingles of classes that have enough of them, and pairs by shingles of few holders.
@@ -597,7 +597,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keys = judged.select(F.xxhash64("doc_id", "h").alias("_key"), F.col("doc_id").alias("_key_id"), F.col("h").alias("_key_h"), F.col("stays").alias("_stays"))
     same = (F.col("_k") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_key_id")) & (F.col("_h") == F.col("_key_h"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = keyed.join(keys, same, "left_anti").select(*columns)
+    # A merge join at every size: what is removed grows with the corpus.
+    out = keyed.join(keys.hint("merge"), same, "left_anti").select(*columns)
     if not judged.where("stays").isEmpty():
         again = keyed.join(keys.where("_stays"), same, "left_semi").dropDuplicates([id_col, "_h"]).select(*columns)
         out = out.unionByName(again)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import literal_table
+from .common import literal_table, small_batches
 
 DICTIONARY = 32_768
 MAX_DOCS = 100
@@ -95,7 +95,7 @@ class Compressed:
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``carry`` columns, doc_id, lang_pred, score, accepted for every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
     keep = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,4 +117,4 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
         for b in batches:
             yield b.filter(pa.array([own.best(t.as_py())[2] for t in b.column(text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

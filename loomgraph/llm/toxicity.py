@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = 1 << 22
 MAX_LABELLED = 12_000
 SUPPORT = 4
@@ -196,7 +198,7 @@ def learn(docs: DataFrame, chosen: tuple[DataFrame, dict[int, int]] | None, id_c
 
 def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, score."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if machine is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
     parts = (machine.active, machine.w0, machine.w, machine.v)
