@@ -1,8 +1,8 @@
 """Main text of web pages by site style trees.
 
 Pages of one host are merged into a tree of style nodes: a node is the path of element names and class or id
-tokens from the root. Its content features are the segments of its blocks (text between sentence ends and the
-like: the first and last of each block), its presentation features the sequences of its children's names. A
+tokens from the root. Its content features are all segments of its blocks (text between sentence ends and the
+like), its presentation features the sequences of its children's names. A
 feature on c of a host's m pages has entropy ``log c / log(m + UNLIKE)``: 0 if one page has it, near 1 if
 every page has it; ``UNLIKE`` stands for pages with nothing in common, so that few pages prove little. A node's
 importance is one minus the mean entropy of its features over their occurrences; that of a node with text is
@@ -34,7 +34,10 @@ import html as entities
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -48,12 +51,11 @@ UNIMPORTANT = 0.6
 UNLIKE = 8
 #: The part of a text node's importance that its own content makes up.
 OWN = 0.9
-#: Where a block's text is cut into segments.
-SEGMENT = re.compile(r"[.!?;:|\u00b7\u2022\u2013\u2014]+\s+|\s+[|\u00b7\u2022\u2013\u2014]+\s+")
+#: Where a block's text is cut into segments; white space left before a mark is stripped.
+SEGMENT = re.compile(r"[.!?;:|\u00b7\u2022\u2013\u2014]+\s+")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
-SPACE = re.compile(r"\s+")
 #: Fixed values of HTML: elements without content, elements whose content is no markup, and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -82,6 +84,7 @@ class Node:
         self.tag, self.path, self.parent, self.outside, self.noted, self.inside, self.children, self.size, self.holds = tag, path, parent, outside, noted, inside, [], 0, False
 
 
+@lru_cache(10_000)
 def style(attributes: str) -> tuple[str, bool]:
     """Class and id tokens (digits dropped), and whether they mark noise."""
     if not attributes or attributes.isspace():
@@ -109,7 +112,7 @@ def blocks(source: str | None) -> tuple[list[tuple[str, Node]], list[Node]]:
 
     def flush() -> None:
         if text:
-            joined = SPACE.sub(" ", entities.unescape("".join(text))).strip()
+            joined = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if joined:
                 out.append((joined, owner))
@@ -200,9 +203,8 @@ def blocks(source: str | None) -> tuple[list[tuple[str, Node]], list[Node]]:
 
 
 def segments(text: str) -> list[str]:
-    """The first and the last segment of a block."""
-    parts = [x for p in SEGMENT.split(text) if (x := p.strip())]
-    return list(dict.fromkeys((parts[0], parts[-1]))) if parts else []
+    """The distinct segments of a block, in order."""
+    return list(dict.fromkeys(x for p in SEGMENT.split(text) if (x := p.strip())))
 
 
 def number(text: str) -> int:
@@ -253,12 +255,13 @@ def page_features(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: set[tuple] = set()
+            of: dict[tuple[int, int], set] = defaultdict(set)
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
                 page, found = features(source)
-                rows.update((host, page, *f) for f in found)
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if i == 5 else pa.int64()) for i, c in enumerate(cols)], names=["host", "page", "path", "parent", "feature", "content"])
+                of[host, page] |= found
+            keys = np.repeat(np.array(list(of), np.int64).reshape(-1, 2), [len(f) for f in of.values()], axis=0)
+            cols = list(zip(*chain.from_iterable(of.values()))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())], names=["host", "page", "path", "parent", "feature", "content"])
 
     return pages.select("host", "html").mapInArrow(run, "host long, page long, path long, parent long, feature long, content boolean").distinct()
 

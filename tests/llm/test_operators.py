@@ -604,6 +604,19 @@ def test_style_trees_alone_remove_what_repeats(spark):
     assert got == want
 
 
+def test_style_trees_read_the_middle_of_blocks(spark):
+    """Blocks that begin and end alike on every page are no template if they differ between."""
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(8))
+    body = [f"Good morning, readers. {'. '.join(text() for _ in range(8))}. See you tomorrow." for _ in range(40)]
+    note = "Good morning, readers. Made with the same tool. See you tomorrow."
+    rows = [(i, f"https://daily.example/{i}", f"<div><h1>{text()}</h1><p>{b}</p><div class=z>{note}</div></div>") for i, b in enumerate(body)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n")[1:] for r in html_text.extract_text(pages, marks=False).collect()}
+    assert got == {i: [b] for i, b in enumerate(body)}
+    assert html_text.segments("One. Two | three; one. One \u2014 Four") == ["One", "Two", "three", "one", "Four"]
+
+
 def test_notes_do_not_take_the_page(spark):
     body = "<p>One two three four five</p><p>Six seven eight nine ten</p>"
     kept = "One two three four five\nSix seven eight nine ten"
