@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +45,8 @@ CANDIDATE = 0.45
 MATCH = 0.6
 ANSWER = 0.5
 LEAST_WORDS = 8
-MAX_KEPT = 400_000
+#: Texts of about so many characters together are cut into words at once.
+SLICE = 4_000_000
 #: Models that go to a task together.
 SENT = 8
 #: Windows that start within so many words are projected together.
@@ -61,25 +63,34 @@ def words(text: str | None) -> list[str]:
     return [w for t in (text or "").lower().split() if (w := word(t))]
 
 
-class Vocabulary(dict):
-    """Numbers of raw tokens: the benchmark word's, or ``unknown``; ``none`` for tokens without a word. Starts anew when full."""
+def split(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """``words`` of each text, by Arrow: the number of the first text of a slice, the slice's words, and where each of its texts begins and ends."""
+    # Stripped, as Arrow reads beyond the end of a text that ends in white space, and may then leave it in the last word.
+    lowered = [(t or "").lower().strip() for t in texts.to_pylist()]
+    upto = np.r_[0, np.cumsum([len(t) for t in lowered], dtype=np.int64)]
+    first = 0
+    while first < len(lowered):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + SLICE, "right")) - 1)
+        tokens = pc.utf8_split_whitespace(pa.array(lowered[first:last], pa.string()))
+        found = pc.utf8_trim(tokens.flatten(), EDGE)
+        some = pc.not_equal(found, "")
+        at = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))]
+        offsets = tokens.offsets.to_numpy()
+        yield first, found.filter(some), at[offsets - offsets[0]]
+        first = last
+
+
+class Vocabulary:
+    """Numbers of words: the benchmark word's, or ``unknown``."""
 
     def __init__(self, names: dict[str, int]):
-        self.names, self.unknown, self.none = names, len(names), -1
+        self.names, self.unknown = pa.array(sorted(names, key=names.__getitem__), pa.string()), len(names)
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= MAX_KEPT:
-            self.clear()
-        w = word(token)
-        k = self.names.get(w, self.unknown) if w else self.none
-        if len(token) < 64:
-            self[token] = k
-        return k
+    def numbers(self, found: pa.Array) -> np.ndarray:
+        return pc.index_in(found, value_set=self.names).fill_null(self.unknown).to_numpy()
 
     def ids(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").lower().split()
-        k = np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
-        return k[k >= 0]
+        return next(self.numbers(found) for _, found, _ in split(pa.array([text], pa.string())))
 
 
 class Model:
@@ -121,13 +132,12 @@ def frequencies(docs: DataFrame, names: dict[str, int]) -> tuple[int, np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = Vocabulary(names), np.zeros(len(names) + 2, np.int64)
+        size = len(names) + 1
         for b in batches:
-            for t in b.column("text"):
-                # Tokens that differ by their edges only may have one number.
-                k = {own[x] for x in set((t.as_py() or "").lower().split())}
-                k.discard(own.none)
-                counts[list(k)] += 1
-                counts[-1] += 1
+            counts[-1] += b.num_rows
+            for _, found, offsets in split(b.column("text")):
+                pairs = np.repeat(np.arange(len(offsets) - 1) * size, np.diff(offsets)) + own.numbers(found)
+                counts[:-1] += np.bincount(pc.unique(pa.array(pairs)).to_numpy() % size, minlength=size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["k", "n"])
 
@@ -294,8 +304,16 @@ class Scanner:
 
     def hits(self, text: str | None) -> list[tuple]:
         """(item, cosine, share of words matched, share of answer matched, first word, last word) by item."""
-        m, ids = self.m, self.vocabulary.ids(text)
-        n = len(ids)
+        return self.found(self.vocabulary.ids(text))
+
+    def all_hits(self, found: pa.Array, offsets: np.ndarray) -> Iterator[list[tuple]]:
+        """The ``hits`` of each text of a slice of ``split``."""
+        ids = self.vocabulary.numbers(found)
+        for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            yield self.found(ids[i:j])
+
+    def found(self, ids: np.ndarray) -> list[tuple]:
+        m, n = self.m, len(ids)
         if not n:
             return []
         items, starts, ends = self.candidates(ids)
@@ -342,11 +360,11 @@ def leaks(docs: DataFrame, models_: list[Model], id_col: str = "doc_id", text_co
             own = [Scanner(m) for m in table.value]
             for b in batches:
                 at, found = [], []
-                for i, t in enumerate(b.column("text")):
+                for first, *texts in split(b.column("text")):
                     for s in own:
-                        for h in s.hits(t.as_py()):
-                            at.append(i)
-                            found.append(h)
+                        for i, hits in enumerate(s.all_hits(*texts), first):
+                            at += [i] * len(hits)
+                            found += hits
                 target = b.column("doc_id").take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([target, pa.array([h[0] for h in found], item), *(pa.array([h[j] for h in found], pa.float64()) for j in (1, 2, 3))], names=["doc_id", "item_id", "cosine", "matched", "answer_matched"])
 
@@ -365,8 +383,12 @@ def clean(docs: DataFrame, models_: list[Model], text_col: str = "text") -> Data
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [Scanner(m) for m in table.value]
             for b in batches:
-                keep = [not any(s.hits(t.as_py()) for s in own) for t in b.column(text_col)]
-                yield b.filter(pa.array(keep, pa.bool_()))
+                keep = np.ones(b.num_rows, bool)
+                for first, *texts in split(b.column(text_col)):
+                    for s in own:
+                        for i, hits in enumerate(s.all_hits(*texts), first):
+                            keep[i] &= not hits
+                yield b.filter(pa.array(keep))
 
         return rows.mapInArrow(run, rows.schema)
 

@@ -410,6 +410,31 @@ def test_decontamination_odd_ids_rows_and_texts(spark):
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.clean(docs, none).count() == 7 and decontaminate.leaks(docs.where("false"), decontaminate.models(docs, bench), item_type="decimal(9,2)").count() == 0
 
 
+def test_decontamination_splits_texts_as_words_does(many_items, monkeypatch):
+    """Whole batches are cut at once, in slices; every text gets the words and hits that it has alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    signs = list("a\u00df\u0130\u03a3\u03c3\u03c2\u00e9.!-_'\"\u00ab\u00bb\u201c\u2026\u00bf\t\n\x0b\x1c\x1f\x85\xa0\u2003\u2028\u3000\u200b\ufeff\x00\U0001d49c") + [" "] * 6
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)] + [None, "", "x" * 500]
+    for size in (1, 100, 4_000_000):
+        monkeypatch.setattr(decontaminate, "SLICE", size)
+        cut = []
+        for first, found, at in decontaminate.split(pa.array(["no"] + texts).slice(1)):
+            assert first == len(cut)
+            cut += [found.to_pylist()[i:j] for i, j in zip(at[:-1], at[1:])]
+        assert cut == [decontaminate.words(t) for t in texts]
+    assert list(decontaminate.split(pa.array([], pa.string()))) == []
+    items, passage = many_items[0][:50], many_items[1]
+    names = {w: i for i, w in enumerate(sorted({w for _, t in items for w in decontaminate.words(t)}))}
+    scanner = decontaminate.Scanner(decontaminate.Model(items, names, np.append(np.ones(len(names)), 0), np.eye(len(names))))
+    rows = [" ".join(passage(50)) + (f" {items[i][1].upper()}! " if i % 2 else " ") + " ".join(passage(50)) for i in range(50)] + [None, ""]
+    monkeypatch.setattr(decontaminate, "SLICE", 3000)
+    got = [h for _, *x in decontaminate.split(pa.array(rows)) for h in scanner.all_hits(*x)]
+    assert got == [scanner.hits(t) for t in rows] and {h[0] for hs in got for h in hs} == set(range(1, 50, 2))
+
+
 def test_common_subsequence_against_tables():
     rng = random.Random(5)
     np = decontaminate.np
