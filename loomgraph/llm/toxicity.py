@@ -20,7 +20,7 @@ one document the highest counts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,32 +91,52 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def differing(flat: np.ndarray, label: np.ndarray, docs: int, toxic: float) -> np.ndarray:
-    """Buckets with enough support whose rates differ between the labels, in order; flat and label: (bucket, label) pairs of ``docs`` documents."""
-    seen, slot = np.unique(flat, return_inverse=True)
-    n, pos = np.bincount(slot, minlength=len(seen)), np.bincount(slot, weights=label, minlength=len(seen))
+def differing(n: np.ndarray, pos: np.ndarray, docs: int, toxic: float) -> np.ndarray:
+    """Buckets with enough support whose rates differ between the labels, in order; n, pos: how many of ``docs`` documents, and of its ``toxic`` ones, hold each."""
+    some = np.flatnonzero(n >= SUPPORT)
+    n, pos = n[some].astype(np.int64), pos[some].astype(float)
     n1, n0 = max(toxic, 1), max(docs - toxic, 1)
     p = n / docs
     z = (pos / n1 - (n - pos) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    return seen[(n >= SUPPORT) & (np.abs(z) >= SIGNAL)]
+    return some[np.abs(z) >= SIGNAL]
+
+
+def holding(rows: Iterable[np.ndarray], space: int) -> np.ndarray:
+    """How many rows hold each bucket."""
+    n = np.zeros(space, np.int32)
+    for r in rows:
+        n[r] += 1  # a row's buckets are distinct
+    return n
+
+
+def numbered(rows: list[np.ndarray], kept: np.ndarray, space: int) -> list[np.ndarray]:
+    """The rows with the places of their buckets in ``kept``; others are left out."""
+    at = np.full(space, -1, np.int32)
+    at[kept] = np.arange(len(kept))
+    return [x[x >= 0] for r in rows for x in (at[r],)]
 
 
 def informative(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets that differ between the labels, alone or beside one that does, in order."""
-    if not rows:
-        return np.array([], dtype=np.int64)
-    sizes = np.array([len(r) for r in rows])
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    alone = differing(flat, y[doc], len(rows), float(y.sum()))
+    """Buckets that differ between the labels, alone or beside one that does, in order.
+
+    Rows are counted one by one: the driver holds them and their supported buckets, no table of all their terms.
+    """
+    space = 1 + max((int(r.max()) for r in rows if len(r)), default=-1)
+    n = holding(rows, space)
+    # A bucket too rare among all documents is too rare beside any other.
+    supported = np.flatnonzero(n >= SUPPORT)
+    n, rows, toxic = n[supported], numbered(rows, supported, space), y > 0
+    space = len(supported)
+    alone = differing(n, holding((rows[i] for i in np.flatnonzero(toxic)), space), len(rows), float(toxic.sum()))
     found = [alone]
-    ends = np.cumsum(sizes)
-    for bucket in alone.tolist():
-        holders = doc[flat == bucket]
-        toxic = float(y[holders].sum())
-        if 0 < toxic < len(holders):
-            beside = np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in holders.tolist()])
-            found.append(differing(beside, np.repeat(y[holders], sizes[holders]), len(holders), toxic))
-    return np.unique(np.concatenate(found))
+    held = numbered(rows, alone, space)
+    flat, doc = np.concatenate([np.empty(0, np.int32), *held]), np.repeat(np.arange(len(rows), dtype=np.int32), [len(h) for h in held])
+    doc = doc[np.argsort(flat, kind="stable")]
+    for holders in np.split(doc, np.cumsum(n[alone])[:-1]) if len(alone) else ():
+        bad = holders[toxic[holders]]
+        if 0 < len(bad) < len(holders):
+            found.append(differing(holding((rows[i] for i in holders), space), holding((rows[i] for i in bad), space), len(holders), float(len(bad))))
+    return supported[np.unique(np.concatenate(found))]
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, seed: int = 5) -> Machine:
@@ -124,7 +144,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = E
     rng = np.random.default_rng(seed)
     active = informative(rows, y)
     m = len(active)
-    ids = [np.searchsorted(active, r[np.isin(r, active, assume_unique=True)]) for r in rows]
+    ids = numbered(rows, active, 1 + max((int(r.max()) for r in rows if len(r)), default=-1))
     w0 = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     w, v = np.zeros(m), rng.normal(0, 0.01, (m, rank))
     gw, gv, g0 = np.full(m, 1e-2), np.full((m, rank), 1e-1), 1.0
@@ -185,12 +205,12 @@ def learn(docs: DataFrame, chosen: tuple[DataFrame, dict[int, int]] | None, id_c
             yield pa.RecordBatch.from_arrays([found, b.column("y")], names=["terms", "y"])
 
     got = drawn.mapInArrow(hashed, "terms binary, y int").toArrow()
-    rows_ = [np.frombuffer(t.as_py(), dtype=np.int32).astype(np.int64) for t in got.column("terms")]
-    y = np.array(got.column("y").to_pylist(), dtype=float)
+    rows_ = sorted(zip(got.column("terms").to_pylist(), got.column("y").to_pylist()))  # the same whatever the order of tasks
+    del got
+    y = np.array([k for _, k in rows_], dtype=float)
     if not 0 < y.sum() < len(y):
         return None
-    order = sorted(range(len(rows_)), key=lambda i: (rows_[i].tobytes(), y[i]))  # the same whatever the order of tasks
-    machine = fit([rows_[i] for i in order], y[order])
+    machine = fit([np.frombuffer(t, dtype=np.int32) for t, _ in rows_], y)
     # Both labels were drawn up to a bound of their own; the intercept returns to their true ratio.
     machine.w0 += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return machine

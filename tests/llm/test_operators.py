@@ -535,6 +535,32 @@ def test_pairs_without_a_signal_of_their_own():
     assert machine.score("word1 vile") < 0.5 and machine.score("word1 groupname") < 0.5 < machine.score("word1 vile groupname")
 
 
+def test_informative_terms_need_little_memory():
+    """4 million terms of 4,000 documents: the terms chosen are those of a table of all, without one on the driver."""
+    tracemalloc = __import__("tracemalloc")
+    np = toxicity.np
+    rng = np.random.default_rng(6)
+    y = (np.arange(4_000) % 4 == 0).astype(float)
+    rows = [np.unique(np.r_[rng.zipf(1.2, 1_000) % 50_000, rng.integers(50_001, toxicity.SPACE, 500), [50_000] * int(rng.random() < 0.2 + 0.5 * k)]).astype(np.int32) for k in y]
+    tracemalloc.start()
+    got = toxicity.informative(rows, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+
+    def force(some):
+        docs, bad = len(some), y[some].sum()
+        if not 0 < bad < docs:
+            return set()
+        n, pos = (np.bincount(np.concatenate([rows[i] for i in ids]), minlength=toxicity.SPACE) for ids in (some, [i for i in some if y[i]]))
+        p = n / docs
+        z = (pos / bad - (n - pos) / (docs - bad)) / np.sqrt(p * (1 - p) * (1 / bad + 1 / (docs - bad)) + 1e-12)
+        return set(np.flatnonzero((n >= toxicity.SUPPORT) & (abs(z) >= toxicity.SIGNAL)).tolist())
+
+    alone = force(range(len(rows)))
+    assert 50_000 in alone and set(got.tolist()) == alone.union(*(force([i for i in range(len(rows)) if b in rows[i]]) for b in alone))
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, "vile groupname"), (1, "vile groupname"), (2, "kind"), (3, None), (4, ""), (None, "vile"), (5, "kind " * 50_000)] + [(100 + i, "vile x" if i % 2 else "kind x") for i in range(60)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("score", "y", "key", "terms")})
     marked = spark.createDataFrame([(100 + i, i % 2) for i in range(60)] + [(1, 1)], "doc_id long, toxic int")
