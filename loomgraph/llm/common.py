@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import drop, materialise, shared_dir  # noqa: F401
+from ..sources.shared import drop, materialise, shared_dir, tidy  # noqa: F401
 
 #: White space and what it is not, as the contracts define words.
 SPACES = r"[\x20\x09-\x0D]+"

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import drop, materialise, small_batches
+from .common import drop, materialise, small_batches, tidy
 
 WIDTH = 5
 #: Rare shingles that linked sets share at least.
@@ -486,7 +486,9 @@ def bounded(candidates: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFr
 
 
 def components_of(links: DataFrame) -> DataFrame:
-    return connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("g"))
+    groups = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("g"))
+    tidy(links.sparkSession)
+    return groups
 
 
 def named_in(pairs: DataFrame) -> DataFrame:
@@ -512,6 +514,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     texts = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counted = materialise(census(texts, width), "census")
     found = materialise(met(texts, frequent_table(counted), width), "met")
+    tidy(docs.sparkSession)
     # Common shingles of classes that have enough of them, and pairs by shingles of few holders.
     held = materialise(columns_of(found.where(F.col("tok").isNotNull()).select("tok", F.col("a").alias("cls"), F.col("an").alias("n"))), "held")
     heat = held.groupBy("cls").agg(F.sum("w").cast("int").alias("heat"))
@@ -522,15 +525,18 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     opened = times.join(hottest[0], "a", "left").join(hottest[1], "b", "left").where(reach >= least_shared(F.col("an"), F.col("bn"))).select("a", "b")
     lead = materialise(leaders(hot), "pairs")
     opened = materialise(less(opened, either_way(lead)), "pairs")
+    tidy(docs.sparkSession)
     first = lead.withColumn("led", F.lit(True)).unionByName(opened.withColumn("led", F.lit(False)))
     sets = materialise(sets_of(texts, counted, named_in(first), width), "sets")
     tests = materialise(checked(first, sets, many=True), "tests")
+    tidy(docs.sparkSession)
     links = links_of(tests)
     groups = components_of(links)
     # Classes of one leader, on what they have outside it: leaders first, then the pairs left.
     own = materialise(apart(grouped(outside(tests), groups), "tok", "g"), "own")
     within = materialise(less(leaders(own.withColumn("w", F.lit(1)), 1), either_way(first)).withColumn("led", F.lit(False)), "pairs")
     more = materialise(checked(within, sets), "tests")
+    tidy(docs.sparkSession)
     links = links.unionByName(links_of(more))
     groups = components_of(links)
     still = apart(grouped(own.drop("g"), groups), "tok", "g").select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
@@ -550,6 +556,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     # What is needed grows up to the class's own size and falls behind it: the ends of the group's sizes need least.
     n, small, large = F.col("n"), F.greatest("least", F.ceil(4 * F.col("n") / 5).cast("int")), F.least("most", F.floor(5 * F.col("n") / 4).cast("int"))
     candidates = materialise(whole.where(F.col("c") >= F.least(least_shared(n, small), least_shared(n, large))).select("q", "n", "g", "least"), "candidates")
+    tidy(docs.sparkSession)
     # Members that share enough common shingles with a class and agree in size, but for pairs already checked.
     member = rows.select("tok", F.col("cls").alias("a"), F.col("n").alias("an"), "g", "p", "room")
     asks = rows.select("tok", F.col("cls").alias("q"), "w", F.col("p").alias("own_p"), F.col("room").alias("own_room")).join(candidates, "q")
@@ -569,6 +576,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     shut = wide.select("q", "g").join(bounded(wide, unions, every).select("q", "g"), ["q", "g"], "left_anti").withColumnRenamed("q", "b")
     last = pairs.join(shut, ["b", "g"], "left_anti").select("a", "b").unionByName(beside).distinct()
     tests_left = materialise(checked(last.withColumn("led", F.lit(False)), every), "tests")
+    tidy(docs.sparkSession)
     final = groups if tests_left.where("ok").isEmpty() else components_of(links.unionByName(links_of(tests_left)))
     final = final.select(F.col("cls").alias("node"), F.col("g").alias("component"))
     thin = counted.where(F.col("n").isNotNull()).select("doc_id", "h", "n", "cls")
@@ -578,6 +586,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     result = materialise(out, "components")
     for used in (counted, found, held, hot, lead, opened, sets, others, tests, own, within, more, rows, candidates, pairs, beside, tests_left, final):
         drop(used)
+    tidy(docs.sparkSession)
     return result
 
 

@@ -157,6 +157,23 @@ def test_jaccard_empty_and_keep_one(docs):
     assert len(ids) == len(set(ids)) and 900005 in ids
 
 
+def test_jaccard_leaves_no_broadcasts(spark, docs):
+    """What its many queries have broadcast does not stay in the driver's memory."""
+    time, sc = __import__("time"), spark.sparkContext
+
+    def held() -> float:
+        """MB of blocks in memory (a local master has one store); the cleaner works behind the collector."""
+        return sc._jvm.org.apache.spark.SparkEnv.get().memoryManager().storageMemoryUsed() / 1e6
+
+    jaccard.tidy(spark)
+    time.sleep(3)
+    before = held()
+    rows = jaccard.components(docs)
+    time.sleep(3)
+    after = held()
+    assert rows.count() == docs.count() and after - before < 7
+
+
 def test_keep_one_with_null_and_repeated_ids(spark):
     text = lambda k, n=40: " ".join(f"t{k}w{i}" for i in range(n))
     rows = [(None, text(1)), (None, text(2)), (None, text(1)), (7, text(3)), (7, text(4)), (7, text(4)), (3, text(4) + " more"), (5, text(2) + " more"), (None, ""), (None, ""), (None, None)]
