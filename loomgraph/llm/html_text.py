@@ -35,7 +35,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise
+from .common import drop, materialise, tidy
 
 #: Style nodes of at most this importance are removed.
 UNIMPORTANT = 0.6
@@ -51,6 +50,10 @@ UNIMPORTANT = 0.6
 UNLIKE = 8
 #: The part of a text node's importance that its own content makes up.
 OWN = 0.9
+#: Pages that a task remembers.
+MAX_SEEN = 150_000
+#: Stands for a path where all pages of a host are meant; no path is negative.
+WHOLE = -1
 #: Where a block's text is cut into segments; white space left before a mark is stripped.
 SEGMENT = re.compile(r"[.!?;:|\u00b7\u2022\u2013\u2014]+\s+")
 
@@ -207,7 +210,7 @@ def segments(text: str) -> list[str]:
     return list(dict.fromkeys(x for p in SEGMENT.split(text) if (x := p.strip())))
 
 
-def number(text: str) -> int:
+def number(text: str | bytes) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
@@ -250,27 +253,90 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def page_features(pages: DataFrame) -> DataFrame:
-    """Distinct rows (host, page, path, parent, feature, content) from rows (host, html)."""
+class Seen(set):
+    """Pages met in a task; starts anew when full, so that some may be met again."""
+
+    def first(self, page: tuple) -> bool:
+        if page in self:
+            return False
+        if len(self) >= MAX_SEEN:
+            self.clear()
+        self.add(page)
+        return True
+
+
+def packed(found: set[tuple[int, int, int, bool]]) -> bytes:
+    """Features in order, a column (path, parent, feature, content) after the other."""
+    return np.array(sorted(found), np.int64).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(nodes: bytes) -> np.ndarray:
+    return np.frombuffer(nodes, np.int64).reshape(4, -1)
+
+
+def read_once(b: pa.RecordBatch, seen: Seen) -> Iterator[tuple[int, int, bytes]]:
+    """(host, page, packed features) of the pages that the task has not met, so that copies are not sent on."""
+    for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+        page, found = features(source)
+        nodes = packed(found)
+        if seen.first((host, page, number(nodes))):
+            yield host, page, nodes
+
+
+def novelty(pages: DataFrame) -> DataFrame:
+    """(page, new): the share of a page's content that no other page has; pages without any are left out. From rows (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for b in batches:
-            of: dict[tuple[int, int], set] = defaultdict(set)
-            for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                page, found = features(source)
-                of[host, page] |= found
-            keys = np.repeat(np.array(list(of), np.int64).reshape(-1, 2), [len(f) for f in of.values()], axis=0)
-            cols = list(zip(*chain.from_iterable(of.values()))) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())], names=["host", "page", "path", "parent", "feature", "content"])
-
-    return pages.select("host", "html").mapInArrow(run, "host long, page long, path long, parent long, feature long, content boolean").distinct()
+            hosts, numbers, sizes, contents = [], [], [], []
+            for host, page, nodes in read_once(b, seen):
+                x = unpacked(nodes)
+                contents.append(np.unique(x[2][x[3] == 1]))
+                hosts.append(host)
+                numbers.append(page)
+                sizes.append(int(x[3].sum()))
+            # A row for the page itself, whose host is told, then one for each of its contents.
+            each, k = [len(c) for c in contents], len(hosts)
+            column = np.concatenate([np.array(numbers, np.int64), *contents])
+            of = np.r_[np.array(numbers, np.int64), np.repeat(np.array(numbers, np.int64), each)]
+            host = pa.concat_arrays([pa.array(hosts, pa.int64()), pa.nulls(sum(each), pa.int64())])
+            n = pa.concat_arrays([pa.array(sizes, pa.int32()), pa.nulls(sum(each), pa.int32())])
+            yield pa.RecordBatch.from_arrays([host, pa.array(column), pa.array(of), n], names=["host", "feature", "page", "n"])
+
+    told = pages.select("host", "html").mapInArrow(run, "host long, feature long, page long, n int")
+    once = told.groupBy("host", "feature").agg(F.min("page").alias("page"), F.max("page").alias("last"), F.max("n").alias("n")).where("page = last")
+    shares = once.groupBy("page").agg(F.count(F.when(F.col("host").isNull(), 1)).alias("k"), F.sum("n").alias("n")).where("k > 0")
+    return shares.select("page", F.least(F.col("k") / F.col("n"), F.lit(1.0)).alias("new"))
+
+
+def weighted(pages: DataFrame, new: DataFrame) -> DataFrame:
+    """(host, path, parent, feature, content, c): the sum of ``new`` over the host's pages with a feature; that over all its pages has the path ``WHOLE``.
+
+    Pages are read again rather than their features stored, and move in one row each; the join is a merge join at every size,
+    since ``new`` grows with the pages."""
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for b in batches:
+            found = list(zip(*read_once(b, seen))) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int64(), pa.binary()))], names=["host", "page", "nodes"])
 
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.array([[WHOLE], [0], [0], [0]], np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                some = b.slice(at, 500)
+                # Pages of equal blocks may differ in elements without text: they are one page with the features of all.
+                all_ = [np.unique(np.hstack([whole, *map(unpacked, p)]), axis=1) if len(p) > 1 else np.hstack([whole, unpacked(p[0])]) for p in some.column("packs").to_pylist()]
+                each, x = [a.shape[1] for a in all_], np.hstack(all_)
+                host, c = (np.repeat(some.column(k).to_numpy(), each) for k in ("host", "new"))
+                yield pa.RecordBatch.from_arrays([pa.array(host), *map(pa.array, x[:3]), pa.array(x[3] == 1), pa.array(c)], names=["host", "path", "parent", "feature", "content", "new"])
 
-def novelty(counted: DataFrame) -> DataFrame:
-    """(page, new): the share of a page's content that no other page has; pages without any are left out."""
-    own = counted.where("content").groupBy("feature").agg(F.min("page").alias("page"), F.max("page").alias("last")).where("page = last")
-    of = counted.where("content").select("page", "feature").groupBy(F.col("page").alias("p")).agg(F.count("*").alias("n"))
-    return own.groupBy("page").agg(F.count("*").alias("k")).join(of, F.col("page") == F.col("p")).select("page", F.least(F.col("k") / F.col("n"), F.lit(1.0)).alias("new"))
+    rows = pages.select("host", "html").mapInArrow(packs, "host long, page long, nodes binary")
+    met = rows.join(new.hint("merge"), "page").groupBy("page", "host", "new").agg(F.collect_set("nodes").alias("packs")).select("host", "new", "packs")
+    each = met.mapInArrow(opened, "host long, path long, parent long, feature long, content boolean, new double")
+    return each.groupBy("host", "path", "parent", "feature", "content").agg(F.sum("new").alias("c"))
 
 
 def style_tree(per_feature: DataFrame, sizes: DataFrame | float) -> DataFrame:
@@ -288,17 +354,19 @@ def style_tree(per_feature: DataFrame, sizes: DataFrame | float) -> DataFrame:
 
 def unimportant(pages: DataFrame) -> DataFrame:
     """(host, path) of the style nodes that go, from rows (host, html)."""
-    counted = materialise(page_features(pages), "features")
-    new = materialise(novelty(counted), "novelty")
-    by_host = materialise(counted.join(new, "page").groupBy("host", "path", "parent", "feature", "content").agg(F.sum("new").alias("c")), "by-host")
-    sizes = counted.select("host", "page").distinct().join(new, "page").groupBy(F.col("host").alias("of")).agg(F.sum("new").alias("m"))
+    new = materialise(novelty(pages), "novelty")
+    tidy(pages.sparkSession)
+    told = materialise(weighted(pages, new), "by-host")
+    tidy(pages.sparkSession)
+    by_host, sizes = told.where(F.col("path") != WHOLE), told.where(F.col("path") == WHOLE).select(F.col("host").alias("of"), F.col("c").alias("m"))
     by_all = by_host.groupBy("path", "parent", "feature", "content").agg(F.sum("c").alias("c")).withColumn("host", F.lit(0).cast("long"))
     every = style_tree(by_all, float(new.agg(F.sum("new").alias("m")).first()["m"] or 0))
     low = F.col("importance") <= UNIMPORTANT
     shared = by_host.where("content").select("host", "path").distinct().join(every.where(low).select("path"), "path").select("host", "path")
     out = materialise(style_tree(by_host, sizes).where(low).select("host", "path").unionByName(shared).distinct(), "styles")
-    for used in (counted, new, by_host):
+    for used in (new, told):
         drop(used)
+    tidy(pages.sparkSession)
     return out
 
 

@@ -685,6 +685,34 @@ def test_style_trees_read_the_middle_of_blocks(spark):
     assert html_text.segments("One. Two | three; one. One \u2014 Four") == ["One", "Two", "three", "one", "Four"]
 
 
+def test_style_features_move_alike_at_every_size(spark, monkeypatch):
+    """Copies, pages on two hosts, and equal blocks under different empty elements; pages meet their weights by a merge join, few as they are."""
+    page = lambda i, more="": f"<div class=a><p>Shared. Text {i} of its own. More {i}</p><b>Menu | Home</b>{more}</div>"
+    rows = [(h, page(i)) for i in range(30) for h in (i % 3, 0) for _ in range(1 + i % 2)] + [(1, page(5, "<div><hr></div>")), (1, page(1, "<ul><li></ul>")), (2, ""), (2, None)]
+    of = {}
+    for host, source in rows:
+        number, found = html_text.features(source)
+        of.setdefault((host, number), set()).update(found)
+    holders, n = {}, collections.Counter()
+    for (_, number), found in of.items():
+        n[number] += sum(f[3] for f in found)
+        for f in found:
+            if f[3]:
+                holders.setdefault(f[2], set()).add(number)
+    own = collections.Counter(next(iter(h)) for h in holders.values() if len(h) == 1)
+    force = {}
+    for (host, number), found in of.items():
+        for f in (*found, (html_text.WHOLE, 0, 0, False)) if own[number] else ():
+            force[host, *f] = force.get((host, *f), 0) + min(1, own[number] / n[number])
+    plans = {}
+    monkeypatch.setattr(html_text, "materialise", lambda df, name, write=html_text.materialise: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    pages = spark.createDataFrame(rows, "host long, html string").repartition(3)
+    new = html_text.materialise(html_text.novelty(pages), "novelty")
+    got = {tuple(r)[:5]: r["c"] for r in html_text.weighted(pages, new).collect()}
+    assert got.keys() == force.keys() and all(abs(got[k] - c) < 1e-9 for k, c in force.items())
+    assert html_text.unimportant(pages).count() > 0 and "SortMergeJoin" in plans["by-host"] and "BroadcastHashJoin" not in plans["by-host"]
+
+
 def test_notes_do_not_take_the_page(spark):
     body = "<p>One two three four five</p><p>Six seven eight nine ten</p>"
     kept = "One two three four five\nSix seven eight nine ten"
