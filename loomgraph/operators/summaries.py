@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bounded import confidence_distribution, of_kind, top_modules
+from .bounded import confidence_distribution, missing_targets, of_kind, top_modules
 from .traverse import reach, step_edges
 
 #: Fixed pattern: names of testbench tops.
@@ -128,7 +128,7 @@ def capped(rows: DataFrame, what: str, *order) -> tuple[int, DataFrame]:
 def status(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row on a stored graph: files parsed and skipped, parse errors, nodes, edges, unresolved targets."""
     by_file = files.agg(F.count_if(F.col("skipped_reason").isNull()).alias("parsed"), F.count_if(F.col("skipped_reason").isNotNull()).alias("skipped"), F.coalesce(F.sum("parse_error_count"), F.lit(0)).alias("errors"))
-    counts = nodes.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges")), edges.where(F.col("kind") != "declares").select("dst").distinct().join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").agg(F.count("*").alias("unresolved"))
+    counts = nodes.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges")), missing_targets(nodes, edges).agg(F.count("*").alias("unresolved"))
     out = by_file.withColumn("k", F.lit(1))
     for c in counts:
         out = out.join(c.withColumn("k", F.lit(1)), "k")

@@ -331,7 +331,7 @@ def ag18_most_instantiated(n, e):
 def ag21_graph_counts(n, e):
     a = n.agg(F.count("*").alias("nodes"))
     b = e.agg(F.count("*").alias("edges"))
-    c = bounded.unresolved(n, e).agg(F.count("*").alias("unresolved"))
+    c = bounded.missing_targets(n, e).agg(F.count("*").alias("unresolved"))
     one = [x.withColumn("k", F.lit(1)) for x in (a, b, c)]
     return one[0].join(one[1], "k").join(one[2], "k").drop("k")
 

@@ -382,3 +382,19 @@ def test_strided_places_hold_however_ranges_are_merged(spark):
     finally:
         for k, v in was.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_graph_is_read_from_the_tables_alone(spark):
+    """Nothing is shuffled or written to have the graph, and kinds that are not asked for are not read."""
+    from loomgraph.sources import bridge, store
+
+    from tests.conftest import SF
+
+    n, e = bridge.graph(spark, SF, ("part", "signal"), ("imports",))
+    assert {f.rsplit("/", 1)[-1] for f in e.inputFiles()} == {"part.parquet"} and {f.rsplit("/", 1)[-1] for f in n.inputFiles()} == {"part.parquet", "nation.parquet", "region.parquet"}
+    assert "Exchange" not in n.unionByName(n)._jdf.queryExecution().executedPlan().toString()
+    n, e = bridge.graph(spark, SF)
+    stored_n, stored_e, _ = store.load(spark, bridge.stored(spark, SF))
+    for view, kept in ((n, stored_n), (e, stored_e)):
+        assert view.exceptAll(kept.select(*view.columns)).isEmpty() and kept.select(*view.columns).exceptAll(view).isEmpty()
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
