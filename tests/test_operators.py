@@ -398,3 +398,11 @@ def test_graph_is_read_from_the_tables_alone(spark):
     for view, kept in ((n, stored_n), (e, stored_e)):
         assert view.exceptAll(kept.select(*view.columns)).isEmpty() and kept.select(*view.columns).exceptAll(view).isEmpty()
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_missing_ends_and_targets(spark):
+    n = spark.createDataFrame([("a",), ("b",)], "id string")
+    e = spark.createDataFrame([("a", "x", "drives"), ("y", "x", "drives"), ("a", "b", "reads"), ("b", "z", "declares"), ("a", "w", "reads")], "src string, dst string, kind string")
+    assert {tuple(r) for r in bounded.missing_ends(n, e).collect()} == {("x", 2), ("y", 1), ("z", 1), ("w", 1)}
+    assert {tuple(r) for r in bounded.unresolved(n, e).collect()} == {("x", 2, "a"), ("w", 1, "a")}
+    assert {r["id"] for r in bounded.missing_targets(n, e).collect()} == {"x", "w"}
