@@ -406,3 +406,53 @@ def test_missing_ends_and_targets(spark):
     assert {tuple(r) for r in bounded.missing_ends(n, e).collect()} == {("x", 2), ("y", 1), ("z", 1), ("w", 1)}
     assert {tuple(r) for r in bounded.unresolved(n, e).collect()} == {("x", 2, "a"), ("w", 1, "a")}
     assert {r["id"] for r in bounded.missing_targets(n, e).collect()} == {"x", "w"}
+
+
+def test_articulation_points_and_betweenness_on_random_graphs(spark):
+    """Exact at any size: by taking units away, and by counting shortest paths from every unit."""
+    from collections import deque
+
+    for seed, n, m in ((1, 30, 34), (2, 24, 40), (3, 600, 640)):
+        rng = random.Random(seed)
+        pairs = {(f"u{rng.randrange(n)}", f"u{rng.randrange(n)}") for _ in range(m)} | {("u0", "u0")}
+        frame = spark.createDataFrame([(a, b, 1) for a, b in pairs], "parent string, target string, weight long")
+        units = {u for p in pairs for u in p}
+        out = {u: sorted({b for a, b in pairs if a == u and b != a}) for u in units}
+        if n < 100:
+            near = {u: {b for a, b in pairs if a == u} | {a for a, b in pairs if b == u} for u in units}
+
+            def parts(without):
+                left, count = units - {without}, 0
+                while left:
+                    count, todo = count + 1, [left.pop()]
+                    while todo:
+                        more = near[todo.pop()] & left
+                        left -= more
+                        todo += more
+                return count
+
+            alone = {u for u in units if not near[u] - {u}}
+            cut = {u for u in units - alone if parts(u) > parts(None)}
+            assert {r["unit"] for r in metrics.articulation_points(frame).collect()} == cut and cut
+        want = dict.fromkeys(units, 0.0)
+        for s in units:
+            order, before, paths, dist, todo = [], {u: [] for u in units}, {s: 1}, {s: 0}, deque([s])
+            while todo:
+                x = todo.popleft()
+                order.append(x)
+                for y in out[x]:
+                    if y not in dist:
+                        dist[y] = dist[x] + 1
+                        todo.append(y)
+                    if dist[y] == dist[x] + 1:
+                        paths[y] = paths.get(y, 0) + paths[x]
+                        before[y].append(x)
+            share = dict.fromkeys(units, 0.0)
+            for y in reversed(order):
+                for x in before[y]:
+                    share[x] += paths[x] / paths[y] * (1 + share[y])
+                if y != s:
+                    want[y] += share[y] / ((len(units) - 1) * (len(units) - 2))
+        if n > 100 or seed == 1:
+            got = {r["unit"]: r["betweenness"] for r in metrics.betweenness(frame).collect()}
+            assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-12 for u in units)
