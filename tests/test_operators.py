@@ -456,3 +456,16 @@ def test_articulation_points_and_betweenness_on_random_graphs(spark):
         if n > 100 or seed == 1:
             got = {r["unit"]: r["betweenness"] for r in metrics.betweenness(frame).collect()}
             assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-12 for u in units)
+
+
+def test_quiet_periods_of_a_table(spark):
+    """As by session windows, but a batch has ended when the quiet has passed in full (as in the SQL); a busy key is not one task's."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["p", "q", "r", None]), rng.randrange(0, 4000) * 1.7) for _ in range(300)] + [("c", "p", 0.0), ("c", "q", 30.0), ("c", "p", 59.9), (None, None, 90000.0)]
+    e = spark.createDataFrame(rows, "key string, path string, at double").select("key", "path", F.timestamp_seconds("at").alias("ts"))
+    s = e.groupBy("key", F.session_window("ts", "30 seconds").alias("w")).agg(F.count("*").alias("events"), F.array_sort(F.collect_set("path")).alias("paths")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "paths")
+    flat = lambda df: sorted((str(tuple(r)) for r in df.where("key is null or key <> 'c'").collect()))
+    got = debounced(e, "30 seconds")
+    assert flat(got) == flat(s)
+    assert sorted((r["events"], tuple(r["paths"])) for r in got.where("key = 'c'").collect()) == [(1, ("p",)), (2, ("p", "q"))]
+    assert "session" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
