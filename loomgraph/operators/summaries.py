@@ -75,8 +75,15 @@ def dirty_closure(includes: DataFrame, defines: DataFrame, uses: DataFrame, seed
     includes: file, target. defines: file, macro. uses: file, macro.
     """
     by_include = includes.select(F.col("target").alias("src"), F.col("file").alias("dst"), F.concat(F.lit("includes "), "target").alias("via"))
-    by_macro = defines.select(F.col("file").alias("src"), "macro").join(uses.select(F.col("file").alias("dst"), "macro"), "macro").select("src", "dst", F.concat(F.lit("uses macro "), "macro").alias("via"))
-    return reach(by_include.unionByName(by_macro).distinct(), seeds.select(F.col("path").alias("id"))).select(F.col("id").alias("path"), "depth", F.col("via").alias("reason"))
+
+    def reached(ids: DataFrame) -> DataFrame:
+        """A level's macros stand between its files and the users: no file that defines a macro meets each that uses it."""
+        level = ids.select(F.col("id").alias("src"))
+        macros = defines.select(F.col("file").alias("src"), "macro").join(level, "src", "left_semi").select("macro").distinct()
+        users = uses.join(macros, "macro").select(F.col("file").alias("dst"), F.concat(F.lit("uses macro "), "macro").alias("via"))
+        return by_include.join(level, "src").select("dst", "via").unionByName(users)
+
+    return reach(reached, seeds.select(F.col("path").alias("id"))).select(F.col("id").alias("path"), "depth", F.col("via").alias("reason"))
 
 
 def corpus_health(files: DataFrame) -> DataFrame:

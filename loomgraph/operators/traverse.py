@@ -59,14 +59,15 @@ def reach(links: DataFrame | Callable[[DataFrame], DataFrame], seeds: DataFrame,
     """Breadth-first search over ``links`` (src, dst, via) from ``seeds`` (id): (id, depth, via), seeds at depth 0.
 
     ``links`` may be a function that gives the links of a level's ids, so that a bounded search reads little of the
-    graph. Each level is written to shared storage and met with what is known by an anti join, so lineage stays short
+    graph, or without ``src`` what these ids are linked to. Each level is written to shared storage and met with what is known by an anti join, so lineage stays short
     and nothing but the emptiness of a level (and a few of its ids) reaches the driver.
     """
     known = materialise(seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")), "reach")
     level = known
     for d in range(1, max_depth + 1):
         own = links(level.select("id")) if callable(links) else links
-        found = own.join(level.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("via").alias("via"))
+        own = own.join(level.select(F.col("id").alias("src")), "src") if "src" in own.columns else own
+        found = own.groupBy(F.col("dst").alias("id")).agg(F.min("via").alias("via"))
         level = materialise(found.join(known.select("id"), "id", "left_anti").select("id", F.lit(d).alias("depth"), "via"), "reach")
         if level.isEmpty():
             break

@@ -469,3 +469,20 @@ def test_quiet_periods_of_a_table(spark):
     assert flat(got) == flat(s)
     assert sorted((r["events"], tuple(r["paths"])) for r in got.where("key = 'c'").collect()) == [(1, ("p",)), (2, ("p", "q"))]
     assert "session" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_macro_stands_between_its_files_and_its_users(spark):
+    from loomgraph.operators import summaries, traverse
+
+    files = spark.range(300).select(F.concat(F.lit("d"), "id").alias("file"), F.lit("M").alias("macro"))
+    users = spark.range(300).select(F.concat(F.lit("u"), "id").alias("file"), F.lit("M").alias("macro"))
+    includes = spark.createDataFrame([("x", "u7"), ("y", "x")], "file string, target string")
+    widest, step = [], traverse.reach.__globals__["materialise"]
+    seen = summaries.reach
+    try:
+        summaries.reach = lambda links, seeds: seen(lambda ids: (found := links(ids), widest.append(found.count()))[0], seeds)
+        got = {(r["path"], r["depth"], r["reason"]) for r in summaries.dirty_closure(includes, files, users, files.select(F.col("file").alias("path"))).collect()}
+    finally:
+        summaries.reach = seen
+    assert {("x", 2, "includes u7"), ("y", 3, "includes x"), ("u7", 1, "uses macro M"), ("d1", 0, None)} <= got and len(got) == 602
+    assert max(widest) == 300 and step is not None
