@@ -486,3 +486,15 @@ def test_a_macro_stands_between_its_files_and_its_users(spark):
         summaries.reach = seen
     assert {("x", 2, "includes u7"), ("y", 3, "includes x"), ("u7", 1, "uses macro M"), ("d1", 0, None)} <= got and len(got) == 602
     assert max(widest) == 300 and step is not None
+
+
+def test_ambiguous_references_are_counted_by_class(spark):
+    """Narrowing meets classes of references and definitions, not each pair; counts agree with the pairs."""
+    refs, defs = frames(spark)
+    many = spark.range(400).select(F.lit("module").alias("kind"), F.lit("m").alias("target_name"), F.lit("systemverilog").alias("language"), F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("file"), F.lit(1.0).alias("confidence"), F.col("id").alias("ref_id"))
+    more = spark.range(300).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"), F.lit("module").alias("kind"), F.lit("m").alias("name"), F.lit("systemverilog").alias("language"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("f"), (F.col("id") % 4).cast("string"))).alias("file"), (F.col("id") % 2 == 0).alias("conditional"))
+    assert link.matches(many, more).count() == 3 * more.select("file", "conditional").distinct().count()
+    for r, d in ((refs, defs), (many.select(*refs.columns), more)):
+        pairs = link.resolve(r, d).groupBy("ref_id", "score").agg(F.count("*").alias("n"))
+        assert sorted(map(tuple, link.resolve_counted(r, d).collect())) == sorted(map(tuple, pairs.collect()))
+    assert link.resolve(many.select(*refs.columns), more).count() == 400 * 300
