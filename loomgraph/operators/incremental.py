@@ -34,13 +34,13 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def changed_sources(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Sources whose group of edges differs between two multisets: what a scoped write has to replace."""
-    cols = [c for c in old.columns]
-    a = old.groupBy(*cols).agg(F.count("*").alias("n"))
-    b = new.groupBy(*cols).agg(F.count("*").alias("n"))
-    # One pass with signs instead of two differences.
-    signed = a.unionByName(b.withColumn("n", -F.col("n")))
-    return signed.groupBy(*cols).agg(F.sum("n").alias("n")).where("n <> 0").select("src").distinct()
+    """Sources whose group of edges differs between two multisets: what a scoped write has to replace.
+
+    Rows of both move once, dealt by source and with a sign each, and are only then counted: rows are nearly all distinct, so a
+    table of them before the shuffle would take memory and save nothing."""
+    cols = old.columns
+    signed = old.withColumn("n", F.lit(1)).unionByName(new.withColumn("n", F.lit(-1)))
+    return signed.repartition("src").groupBy(*cols).agg(F.sum("n").alias("n")).where("n <> 0").select("src").distinct()
 
 
 def affected_refs(refs: DataFrame, changed_names: DataFrame) -> DataFrame:

@@ -498,3 +498,11 @@ def test_ambiguous_references_are_counted_by_class(spark):
         pairs = link.resolve(r, d).groupBy("ref_id", "score").agg(F.count("*").alias("n"))
         assert sorted(map(tuple, link.resolve_counted(r, d).collect())) == sorted(map(tuple, pairs.collect()))
     assert link.resolve(many.select(*refs.columns), more).count() == 400 * 300
+
+
+def test_changed_sources_move_rows_once(spark):
+    old = spark.createDataFrame([(1, 2, "x"), (1, 2, "x"), (2, 3, "x"), (3, 4, None), (4, 4, None)], "src long, dst long, kind string")
+    new = spark.createDataFrame([(1, 2, "x"), (2, 3, "x"), (4, 4, None), (5, 1, "y")], "src long, dst long, kind string")
+    got = incremental.changed_sources(old, new)
+    assert {r["src"] for r in got.collect()} == {1, 3, 5}
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
