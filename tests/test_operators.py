@@ -506,3 +506,13 @@ def test_changed_sources_move_rows_once(spark):
     got = incremental.changed_sources(old, new)
     assert {r["src"] for r in got.collect()} == {1, 3, 5}
     assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_unconnected_ports_by_instance(spark):
+    nodes = [("u.a", "port", "a", "f", 1), ("u.b", "port", "b", "f", 2), ("i1", "instance", "i1", "g", 3), ("i2", "instance", "i2", "g", 4), ("i3", "instance", "i3", "g", 5), ("i3", "instance", "i3", "h", 6), ("i4", "instance", "i4", "g", 7)]
+    edges = [("u", "u.a", "declares"), ("u", "u.b", "declares"), ("u", "i9", "declares")] + [(i, "u", "instantiates") for i in ("i1", "i2", "i3", "i4", "i5")] + [("i4", "v", "instantiates")]
+    edges += [("i1", "u.a", "connects"), ("i1", "u.a", "connects"), ("i1", "u.b", "connects"), ("i3", "x.y", "connects"), ("i4", "u.a", "connects"), ("i5", "u.a", "connects")]
+    n, e = spark.createDataFrame(nodes, "id string, kind string, name string, file string, line int"), spark.createDataFrame(edges, "src string, dst string, kind string")
+    got = lint.unconnected_port(n, e)
+    assert sorted((r["node_id"], r["name"], r["file"], r["line"]) for r in got.collect()) == sorted(("i3", p, f, l) for p in "ab" for f, l in (("g", 5), ("h", 6)))
+    assert got._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") + got._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") <= 2
