@@ -516,3 +516,11 @@ def test_unconnected_ports_by_instance(spark):
     got = lint.unconnected_port(n, e)
     assert sorted((r["node_id"], r["name"], r["file"], r["line"]) for r in got.collect()) == sorted(("i3", p, f, l) for p in "ab" for f, l in (("g", 5), ("h", 6)))
     assert got._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") + got._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") <= 2
+
+
+def test_edges_are_dealt_before_they_are_compared(spark):
+    e = spark.createDataFrame([("a", "b", "reads"), ("a", "b", "reads"), ("a", "c", "reads"), ("a", None, "reads")], "src string, dst string, kind string")
+    got = bounded.distinct_edges(e)
+    assert got.count() == 3
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
